@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelframe.llm import exact_dedup, ring_shards, secret_scan
-from reelframe.llm.common import table
+from reelframe.llm import bit_planes, exact_dedup, ring_shards, secret_scan, tier_packing, transducer_bpe
+from reelframe.llm.common import new_path, table
+
+WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,3 +71,27 @@ FROM documents LEFT JOIN said USING (doc_id)
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of a consistent-hash ring with bounded loads."""
     return ring_shards.assign_shards(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def op2_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    coded = transducer_bpe.encode(table(spark, sf_dir, "documents"), WORD_VOCABULARY, carry=["doc_id"])
+    decoded = transducer_bpe.decode(coded, WORD_VOCABULARY)
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return tier_packing.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end_id=0)
+
+
+@query
+def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents read back from a store of bit planes that this query writes to the shared folder."""
+    path = new_path(spark, "bit-planes")
+    bit_planes.write_tokens(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, end_id=2)
+    read = bit_planes.read_tokens(spark, path)
+    return read.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
