@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import bit_planes, exact_dedup, ring_shards, secret_scan, tier_packing, transducer_bpe
+from reelframe.llm import bit_planes, char_models, exact_dedup, quality_trees, ring_shards, secret_scan, tier_packing, transducer_bpe
 from reelframe.llm.common import new_path, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -95,3 +95,23 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit_planes.write_tokens(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, end_id=2)
     read = bit_planes.read_tokens(spark, path)
     return read.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_char_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of the ids is held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    models = char_models.train(documents, ~held_out)
+    found = char_models.identify(documents, models, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; a fifth of the ids is held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    trees = quality_trees.train(documents, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality_trees.score(documents, trees, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
