@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import bit_planes, char_models, exact_dedup, quality_trees, ring_shards, secret_scan, tier_packing, transducer_bpe
+from reelframe.llm import bit_planes, char_models, exact_dedup, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
 from reelframe.llm.common import new_path, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -115,3 +115,17 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = quality_trees.train(documents, table(spark, sf_dir, "labels"), ~held_out)
     found = quality_trees.score(documents, trees, carry=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of near-duplicates."""
+    return simhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index, shards = pruned_graph.build_index(vectors)
+    return pruned_graph.search(index, shards, vectors.where(F.col("vec_id") % 100 == 0))
