@@ -96,14 +96,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: l
     return unpacked(paths, blob=F.col("blob"), **counts, base_sha256=F.sha2(spans, 256), spans=spans), entries
 
 
-def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """df with the found values in text_col replaced by mask: the value of an assignment, a whole key or hex run.
-
-    A value is replaced where it is at least as long as its rule asks; other columns stay as they are.
-    """
-    text = F.col(f"`{text_col}`")
-    pieces, whole, value = F.split(text, ASSIGN, -1), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    cuts = F.arrays_zip(pieces.alias("piece"), whole.alias("match"), value.alias("value"))
+def redacted(text: Column, mask: str = "[secret]") -> Column:
+    """text with the values that the rules find replaced by mask: the value of an assignment, a whole key or hex run."""
+    cuts = F.arrays_zip(
+        F.split(text, ASSIGN, -1).alias("piece"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)).alias("value")
+    )
 
     def rebuilt(x: Column) -> Column:
         kept = F.substring(x["match"], F.lit(1), F.length(x["match"]) - F.length(x["value"]))
@@ -113,4 +110,4 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> Dat
     masked = F.when(text.rlike(ASSIGN), F.array_join(F.transform(cuts, rebuilt), "")).otherwise(text)
     for pattern in (ACCESS, HEX):
         masked = F.regexp_replace(masked, F.lit(pattern), F.lit(mask))
-    return df.withColumn(text_col, masked)
+    return masked
