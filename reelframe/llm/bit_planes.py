@@ -57,7 +57,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     bits = np.zeros((32, n), np.uint8)
     for k, plane in enumerate(planes):
         bits[k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 def write_file(lengths: list[int], ids: np.ndarray, kind: str = "byte", block_ids: int = BLOCK_IDS) -> bytes:

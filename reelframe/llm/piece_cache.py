@@ -11,11 +11,12 @@ import functools
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
 KEPT = 400_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 3_000_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _DOUBLE_SPACE = re.compile(r"\s\s|\x00")
 
@@ -47,13 +48,11 @@ class PieceCache:
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [self.pieces(text) for text in texts]
         new = list(set().union(*cuts).difference(self.known)) if cuts else []
-        ids = self.known if len(self.known) + len(new) <= KEPT else dict(self.known) if new else self.known
-        ids.update(zip(new, self.ids_of(new), strict=True))
-        if ids is not self.known:
-            for piece in new[: max(0, KEPT - len(self.known))]:
-                self.known[piece] = ids[piece]
+        self.known.update(zip(new, self.ids_of(new), strict=True))
         for cut in cuts:
-            yield b"".join(map(ids.__getitem__, cut))
+            yield b"".join(map(self.known.__getitem__, cut))
+        for piece in new[max(0, KEPT - len(self.known) + len(new)) :]:
+            del self.known[piece]
 
 
 class LibraryCache(PieceCache):
@@ -75,6 +74,7 @@ class LibraryCache(PieceCache):
             self.kind = "spaced"
         elif drops_spaces(said):
             self.kind = "words"
+        self.symbols = {b: c for b, c in enumerate(byte_symbols())}
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "words" and not _ODD_SPACE.search(text):
@@ -83,10 +83,34 @@ class LibraryCache(PieceCache):
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return [text]
 
+    def _units(self, piece: str) -> list[str] | None:
+        """The pre-tokens of a word of letters, alone or before a comma or full stop; None for other pieces."""
+        lead, body = (" ", piece[1:]) if self.kind == "spaced" and piece.startswith(" ") else ("", piece)
+        end = [body[-1]] if body[-1:] in (",", ".") else []
+        word = body[:-1] if end else body
+        if self.kind == "words":
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        if self.kind == "text" or not word.isalpha():
+            return None
+        return [(lead + word).encode().decode("latin-1").translate(self.symbols), *end]
+
     def ids_of(self, pieces: list[str]) -> Iterable[bytes]:
-        for k in range(0, len(pieces), 2000):
-            for one in self.tokenizer.encode_batch_fast(pieces[k : k + 2000], add_special_tokens=False):
-                yield array("I", one.ids).tobytes()
+        """Words of letters go to the library's model; all else takes its whole way, added tokens included."""
+        model = self.tokenizer.model.tokenize
+        for piece in pieces:
+            units = self._units(piece)
+            if units is None:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            else:
+                ids = [token.id for unit in units for token in model(unit)]
+            yield array("I", ids).tobytes()
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself if it is printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
 def drops_spaces(said: dict) -> bool:

@@ -32,20 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelframe.llm.common import new_path, packed
-from reelframe.llm.piece_cache import _ODD_SPACE, PieceCache, drops_spaces
+from reelframe.llm.piece_cache import _ODD_SPACE, PieceCache, byte_symbols, drops_spaces
 
 OUTPUTS = ["ids", "decoded"]
 LEXICON_WORDS = 60_000
 LONG_WORD = 64
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself if it is printable, else the next from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b if b in shown else next(rest)) for b in range(256)]
-
-
 class Vocabulary:
     """A tokenizer file: how a text becomes words and a word becomes ids, by exact merges."""
 
