@@ -1,10 +1,399 @@
-"""All queries of the library by name, with DuckDB SQL where SQL can express them."""
+"""All queries of the library by name, with DuckDB SQL where SQL can express them.
+
+A query applies an operator to the driver's tables; the operators themselves take any frame.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from reelframe.functions import binary, formats
+from reelframe.operators import compare, lookup, rules, timing
+from reelframe.plans import planner
+from reelframe.session import table
+from reelframe.sources import containers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query, with its SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# ---------------------------------------------------------------- timing of gaps
+
+
+def _runs_sql(kind: str) -> str:
+    return {
+        "events": "SELECT user_id AS key, row_number() OVER w AS ord, date_diff('microsecond', lag(ts) OVER w, ts) AS delta, 1 AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+        "lineitem": "SELECT l_suppkey AS key, CAST(l_quantity AS BIGINT) AS ord, CAST(l_quantity AS BIGINT) AS delta, 1 AS n FROM lineitem",
+        "conversations": "SELECT conv_id AS key, turn AS ord, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS delta, 1 AS n FROM conversations",
+    }[kind]
+
+
+def _hist_sql(kind: str) -> str:
+    return f"runs AS (SELECT * FROM ({_runs_sql(kind)}) WHERE delta IS NOT NULL AND n > 0), hist AS (SELECT key, delta, sum(n) AS c, min(ord) AS first FROM runs GROUP BY key, delta)"
+
+
+def _timing_sql(kind: str) -> str:
+    return f"""
+WITH {_hist_sql(kind)},
+cum AS (SELECT *, sum(c) OVER (PARTITION BY key) AS n, sum(CASE WHEN delta > 0 THEN c ELSE 0 END) OVER (PARTITION BY key ORDER BY delta) AS cum FROM hist),
+top AS (SELECT key, delta AS dominant, c AS dom FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c DESC, first) AS r FROM hist) WHERE r = 1),
+med AS (SELECT key, min(delta) AS median FROM cum WHERE delta > 0 AND 2 * cum >= n GROUP BY key),
+ref AS (SELECT key, dominant, dom, coalesce(median, dominant) AS reference FROM top LEFT JOIN med USING (key)),
+agg AS (SELECT key, CAST(sum(c) AS BIGINT) AS n, count(*) AS gaps, any_value(dominant) AS dominant, CAST(any_value(dom) AS BIGINT) AS dom,
+  min(CASE WHEN delta > 0 THEN delta END) AS low, max(CASE WHEN delta > 0 THEN delta END) AS high, any_value(reference) AS reference,
+  CAST(sum(CASE WHEN delta > 0 AND 100 * abs(delta - reference) <= greatest(reference, 200) THEN c ELSE 0 END) AS BIGINT) AS steady
+  FROM hist JOIN ref USING (key) GROUP BY key)
+SELECT *, CASE WHEN 1000 * steady >= 995 * n THEN 'cfr' WHEN 1000 * steady >= 950 * n THEN 'near-cfr' ELSE 'vfr' END AS mode FROM agg
+"""
+
+
+def _event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("at"))
+    return timing.gaps(events, "user_id", "at")
+
+
+@query(_timing_sql("events"))
+def timing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.summarize(timing.histogram(_event_gaps(spark, sf_dir)))
+
+
+@query(_timing_sql("lineitem"))
+def timing_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.col("l_quantity").cast("long")
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), quantity.alias("ord"), quantity.alias("delta"), F.lit(1).cast("long").alias("n"))
+    return timing.summarize(timing.histogram(runs))
+
+
+@query(_timing_sql("conversations"))
+def timing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return timing.summarize(timing.histogram(timing.gaps(turns, "conv_id", "turn")))
+
+
+@query(f"WITH {_hist_sql('events')} SELECT key, delta, CAST(c AS BIGINT) AS c FROM hist")
+def delta_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.histogram(_event_gaps(spark, sf_dir)).select("key", "delta", "c")
+
+
+@query(f"WITH {_hist_sql('conversations')} SELECT key, delta AS dominant, CAST(c AS BIGINT) AS dom FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c DESC, first) AS r FROM hist) WHERE r = 1")
+def dominant_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing_conversations(spark, sf_dir).select("key", "dominant", "dom")
+
+
+@query(f"WITH {_hist_sql('lineitem')} SELECT key, min(delta) AS reference FROM (SELECT *, sum(c) OVER (PARTITION BY key) AS n, sum(c) OVER (PARTITION BY key ORDER BY delta) AS cum FROM hist) WHERE 2 * cum >= n GROUP BY key")
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing_lineitem(spark, sf_dir).select("key", "reference")
+
+
+@query("""
+WITH t AS (SELECT user_id, event_type, ts, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS run FROM t)
+SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n FROM r GROUP BY user_id, run
+""")
+def run_length_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.run_lengths(table(spark, sf_dir, "events").select("user_id", "event_type", "ts"), "user_id", "ts", "event_type")
+
+
+# ---------------------------------------------------------------- running values, picks, rates
+
+
+@query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS start FROM documents")
+def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return table(spark, sf_dir, "documents").select("source", "doc_id", (F.sum("n_chars").over(line) - F.col("n_chars")).alias("start"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def primary_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), "b.o_totalprice")
+
+
+@query("""
+SELECT l_suppkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS cents, sum(CAST(l_quantity AS BIGINT))::BIGINT AS seconds,
+  CASE WHEN sum(CAST(l_quantity AS BIGINT)) > 0 THEN CAST(8 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) END AS bitrate
+FROM lineitem GROUP BY l_suppkey
+""")
+def bitrate_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("seconds"))
+    return rows.withColumn("bitrate", F.when(F.col("seconds") > 0, (8 * F.col("cents")).cast("double") / F.col("seconds").cast("double")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r <= 40")
+def tail_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts")))
+    return table(spark, sf_dir, "events").withColumn("r", nth).where("r <= 40").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT key, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id AS key, event_type, min(ts) AS first FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY ALL) GROUP BY key")
+def unknown_types_distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "events").where(~F.col("event_type").isin("click", "view")).groupBy(F.col("user_id").alias("key"), "event_type").agg(F.min("ts").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
+    return kinds.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("types"))
+
+
+# ---------------------------------------------------------------- lookups and nearest entries
+
+_LABELS = ", ".join(f"({k}, '{v}')" for k, v in lookup.PRIMARIES.items())
+_RUNGS = ", ".join(f"('{n}', {w}, {h}, {k}, '{'square' if w == h else 'portrait' if h > w else 'landscape'}')" for k, (n, w, h) in enumerate(lookup.RUNGS))
+_SIZES = "SELECT p_partkey AS file_id, CAST(540 + (p_partkey * 36) % 1512 AS INT) AS width, CAST(540 + (p_partkey * 60) % 1440 AS INT) AS height, CAST(p_size * 2 AS DOUBLE) AS fps, * FROM part"
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, height = (540 + F.col("p_partkey") * 36 % 1512).cast("int"), (540 + F.col("p_partkey") * 60 % 1440).cast("int")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), width.alias("width"), height.alias("height"), (F.col("p_size") * 2).cast("double").alias("fps"), "*")
+
+
+@query(f"WITH names(k, v) AS (VALUES {_LABELS}) SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'not tagged' ELSE coalesce(v, 'unknown (' || n_nationkey || ')') END AS label FROM nation LEFT JOIN names ON k = n_nationkey")
+def label_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = F.when(F.col("n_nationkey") != 3, F.col("n_nationkey"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", lookup.label(tagged).alias("label"))
+
+
+@query(f"""
+WITH rungs(name, w, h, ord, shape) AS (VALUES {_RUNGS}), s AS ({_SIZES}),
+near AS (SELECT file_id, name, row_number() OVER (PARTITION BY file_id ORDER BY abs(w * h - width * height), ord) AS r FROM s JOIN rungs ON shape = CASE WHEN width = height THEN 'square' WHEN height > width THEN 'portrait' ELSE 'landscape' END)
+SELECT s.file_id, CASE WHEN NOT EXISTS (SELECT 1 FROM rungs WHERE w = width AND h = height) THEN name END AS rung,
+  EXISTS (SELECT 1 FROM rungs WHERE w = width AND h = height) AS on_target FROM s JOIN near ON near.file_id = s.file_id AND r = 1
+""")
+def nearest_rung(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sized(spark, sf_dir).select("file_id", lookup.nearest_rung(F.col("width"), F.col("height"))["name"].alias("rung"), lookup.on_target(F.col("width"), F.col("height")).alias("on_target"))
+
+
+@query(f"""
+WITH rates(rate) AS (VALUES (24), (25), (30), (50), (60)), s AS ({_SIZES})
+SELECT file_id, rate FROM (SELECT file_id, rate, row_number() OVER (PARTITION BY file_id ORDER BY abs(rate - least(fps, 60)), rate) AS r FROM s CROSS JOIN rates) WHERE r = 1
+""")
+def nearest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sized(spark, sf_dir).select("file_id", lookup.nearest_rate(F.col("fps")).alias("rate"))
+
+
+@query(f"""
+WITH s AS ({_SIZES})
+SELECT file_id, CAST(floor(CAST(width * height AS DOUBLE) * fps * CAST(0.06 AS DOUBLE) + 0.5) AS BIGINT) AS soft,
+  CAST(floor(least(CAST(40000000 AS DOUBLE), greatest(CAST(2000000 AS DOUBLE), CAST(width * height AS DOUBLE) * fps * CAST(0.2 AS DOUBLE))) + 0.5) AS BIGINT) AS target FROM s
+""")
+def clamp_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h, r = F.col("width").cast("double"), F.col("height"), F.col("fps")
+    return _sized(spark, sf_dir).select("file_id", lookup.soft_bitrate(w, h, r).alias("soft"), lookup.target_bitrate(w, h, r).alias("target"))
+
+
+# ---------------------------------------------------------------- rules
+
+#: A report made of a part, in SQL that both engines read.
+_REPORT = {
+    "file_id": "p_partkey", "fragmented": "p_partkey % 11 = 0", "faststart": "p_partkey % 3 <> 0", "has_video": "p_partkey % 13 <> 0", "has_audio": "p_partkey % 5 <> 0", "sample_entries": "1 + CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END",
+    "timing_mode": "CASE p_partkey % 4 WHEN 0 THEN 'vfr' WHEN 1 THEN 'near-cfr' ELSE 'cfr' END", "fps": "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(p_size * 2 AS double) END", "edit_list": "p_partkey % 7 = 0", "hdr": "p_partkey % 10 = 1",
+    "color_unspecified": "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 2 = 0 END", "video_format": "CASE p_partkey % 6 WHEN 0 THEN 'hvc1' WHEN 1 THEN 'vp09' ELSE 'avc1' END", "chroma": "CASE p_partkey % 8 WHEN 0 THEN '4:2:2' WHEN 1 THEN NULL ELSE '4:2:0' END",
+    "bit_depth": "CASE WHEN p_partkey % 6 = 0 THEN 10 ELSE 8 END", "width": "CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 1080 ELSE CAST(500 + p_partkey % 900 AS int) END", "height": "CASE WHEN p_partkey % 3 = 0 THEN 1920 ELSE CAST(700 + p_partkey % 800 AS int) END",
+    "bitrate": "CAST(p_retailprice * 3000 AS double)", "audio_format": "CASE WHEN p_partkey % 14 = 0 THEN 'ac-3' ELSE 'mp4a' END", "audio_profile": "CASE p_partkey % 12 WHEN 0 THEN 'HE-AAC' WHEN 1 THEN NULL ELSE 'AAC-LC' END",
+    "audio_rate": "CASE WHEN p_partkey % 15 = 0 THEN 44100 ELSE 48000 END", "audio_channels": "CASE p_partkey % 16 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END",
+}
+_REPORT_SQL = f"reports AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _REPORT.items())} FROM part)"
+_FOUND_SQL = f"{_REPORT_SQL}, found AS ({' UNION ALL '.join(f"SELECT file_id, {k} AS rule_ord, '{name}' AS id, '{severity}' AS severity, '{fix}' AS fix FROM reports WHERE {cond}" for k, (name, severity, fix, cond) in enumerate(rules.RULES))})"
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*[f"{v} AS {k}" for k, v in _REPORT.items()])
+
+
+@query(f"WITH {_FOUND_SQL} SELECT * FROM found")
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.findings(_reports(spark, sf_dir))
+
+
+@query(f"""
+WITH {_FOUND_SQL}, ranked AS (SELECT *, CASE severity WHEN 'blocker' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank, CASE fix WHEN 'master' THEN 3 WHEN 'retag' THEN 2 WHEN 'remux' THEN 1 ELSE 0 END AS cost FROM found)
+SELECT file_id, coalesce(arg_max(fix, cost) FILTER (rank < 2 AND fix <> 'reexport'), 'none') AS recommended, coalesce(bool_and(rank = 2), true) AS clean,
+  coalesce(string_agg(id, ',' ORDER BY rank, rule_ord) FILTER (fix = 'reexport'), '') AS reexport, coalesce(string_agg(id, ',' ORDER BY rank, rule_ord), '') AS ids
+FROM reports LEFT JOIN ranked USING (file_id) GROUP BY file_id
+""")
+def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.diagnosis(_reports(spark, sf_dir))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT severity, count(*) AS n FROM found GROUP BY severity")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.severity_counts(findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- comparison
+
+
+@query("""
+WITH d AS (SELECT source, n_chars, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents WHERE source IN ('src1', 'src2')),
+a AS (SELECT * FROM d WHERE source = 'src1'), b AS (SELECT * FROM d WHERE source = 'src2')
+SELECT coalesce(a.ord, b.ord) AS ord, a.n_chars AS before_n_chars, a.lang AS before_lang, b.n_chars AS after_n_chars, b.lang AS after_lang,
+  a.n_chars IS DISTINCT FROM b.n_chars OR a.lang IS DISTINCT FROM b.lang AS differs FROM a FULL JOIN b ON a.ord = b.ord
+""")
+def positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2")).select("source", "n_chars", "lang", nth.alias("ord"))
+    return compare.positional_diff(rows.where("source = 'src1'"), rows.where("source = 'src2'"), "ord", ["n_chars", "lang"])
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS nation, count(*) AS n, min(c_custkey) AS least FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS nation, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1),
+p AS (SELECT c.nation, c.n AS cn, s.n AS sn, c.least AS cl, s.least AS sl FROM c JOIN s USING (nation))
+SELECT nation, field, before, after, before IS NOT DISTINCT FROM after AS same FROM (
+  SELECT nation, 'count' AS field, CAST(cn AS VARCHAR) AS before, CAST(sn AS VARCHAR) AS after FROM p UNION ALL SELECT nation, 'least', CAST(cl AS VARCHAR), CAST(sl AS VARCHAR) FROM p)
+""")
+def field_diff_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("cn"), F.min("c_custkey").alias("cl"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("sn"), F.min("s_suppkey").alias("sl"))
+    return compare.field_diff(c.join(s, "nation"), "nation", {"count": ("cn", "sn"), "least": ("cl", "sl")})
+
+
+# ---------------------------------------------------------------- plans
+
+
+@query("""
+WITH t AS (SELECT doc_id, list_filter(['ftyp', CASE WHEN doc_id % 3 = 0 THEN 'uuid' ELSE 'free' END, 'moov', CASE WHEN doc_id % 4 = 0 THEN 'moov' ELSE 'skip' END, CASE WHEN doc_id % 5 = 0 THEN 'wide' ELSE 'mdat' END, CASE WHEN doc_id % 7 = 0 THEN 'mdat' ELSE 'free' END], lambda x: NOT (x = 'ftyp' AND doc_id % 11 = 0)) AS types, doc_id % 13 = 0 AS fragmented FROM documents),
+n AS (SELECT *, len(list_filter(types, lambda x: x = 'mdat')) AS m, len(list_filter(types, lambda x: x = 'moov')) AS v, list_contains(types, 'uuid') AS u, list_contains(types, 'ftyp') AS f FROM t)
+SELECT doc_id, CASE WHEN fragmented THEN 'the file is fragmented, which needs a real remuxer' WHEN u THEN 'unexpected top-level box(es): uuid' WHEN m = 0 THEN 'no mdat box' WHEN m <> 1 THEN 'media is split across ' || m || ' mdat boxes'
+  WHEN v <> 1 THEN 'expected exactly one moov box' WHEN NOT f THEN 'no ftyp box to identify the container' ELSE '' END AS reason FROM n
+""")
+def support_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    types = F.array_compact(F.array(
+        F.when(d % 11 != 0, "ftyp"), F.when(d % 3 == 0, "uuid").otherwise("free"), F.lit("moov"), F.when(d % 4 == 0, "moov").otherwise("skip"),
+        F.when(d % 5 == 0, "wide").otherwise("mdat"), F.when(d % 7 == 0, "mdat").otherwise("free"),
+    ))
+    return table(spark, sf_dir, "documents").select("doc_id", planner.rewrite_reason(types, d % 13 == 0).alias("reason"))
+
+
+_ESTIMATE_SQL = """
+s AS (SELECT doc_id AS file_id, n_chars * 20000 AS file_size, CAST(doc_id % 60 AS DOUBLE) AS duration, CAST(720 AS INT) AS width, CAST(640 + doc_id % 1280 AS INT) AS height, CAST(24 + doc_id % 50 AS DOUBLE) AS fps, doc_id % 2 = 0 AS native FROM documents),
+m AS (SELECT *, unnest(['remux', 'retag', 'master', 'observed']) AS mode, file_size / CAST(1000000 AS DOUBLE) AS mb, (CASE WHEN duration = 0 THEN CAST(1 AS DOUBLE) ELSE duration END) * least(fps, CAST(60 AS DOUBLE)) AS frames FROM s),
+e AS (SELECT file_id, mode, CASE WHEN mode = 'observed' THEN 'observed' WHEN mode <> 'master' AND native THEN 'native' ELSE 'ffmpeg' END AS engine,
+  CASE WHEN mode = 'observed' THEN greatest(CAST(0.3 AS DOUBLE), mb * CAST(0.008 AS DOUBLE)) WHEN mode = 'master' THEN greatest(CAST(5 AS DOUBLE), floor(CAST(width AS DOUBLE) * height * frames / CAST(2000000 AS DOUBLE) + 0.5))
+  WHEN native THEN greatest(CAST(0.2 AS DOUBLE), mb * CAST(0.002 AS DOUBLE)) ELSE greatest(CAST(2 AS DOUBLE), floor(mb * CAST(0.08 AS DOUBLE) + 0.5)) END AS seconds FROM m)
+"""
+
+
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        d.alias("file_id"), (F.col("n_chars") * 20000).alias("file_size"), (d % 60).cast("double").alias("duration"), F.lit(720).alias("width"), (640 + d % 1280).cast("int").alias("height"), (24 + d % 50).cast("double").alias("fps"), (d % 2 == 0).alias("native")
+    )
+    return planner.estimates(rows)
+
+
+@query(f"WITH {_ESTIMATE_SQL} SELECT * FROM e")
+def mode_plan_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimated(spark, sf_dir)
+
+
+@query(f"""
+WITH rungs(name, w, h, ord, shape) AS (VALUES {_RUNGS}), rates(rate) AS (VALUES (24), (25), (30), (50), (60)), s AS ({_SIZES}),
+near AS (SELECT file_id, w, h, row_number() OVER (PARTITION BY file_id ORDER BY abs(w * h - width * height), ord) AS r FROM s JOIN rungs ON shape = CASE WHEN width = height THEN 'square' WHEN height > width THEN 'portrait' ELSE 'landscape' END),
+rated AS (SELECT file_id, rate, row_number() OVER (PARTITION BY file_id ORDER BY abs(rate - least(fps, 60)), rate) AS q FROM s CROSS JOIN rates),
+t AS (SELECT s.file_id, CASE WHEN w * h < width * height THEN w ELSE width END AS tw, CASE WHEN w * h < width * height THEN h ELSE height END AS th, rate, width, height, fps FROM s JOIN near ON near.file_id = s.file_id AND r = 1 JOIN rated ON rated.file_id = s.file_id AND q = 1)
+SELECT file_id, tw AS width, th AS height, rate AS fps, CAST(floor(least(CAST(40000000 AS DOUBLE), greatest(CAST(2000000 AS DOUBLE), CAST(tw AS DOUBLE) * th * rate * CAST(0.2 AS DOUBLE))) + 0.5) AS BIGINT) AS bitrate,
+  tw <> width OR th <> height AS scaled, abs(rate - fps) > 0.01 AS rate_changed FROM t
+""")
+def master_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sized(spark, sf_dir).select("file_id", planner.master_plan(F.col("width"), F.col("height"), F.col("fps")).alias("p")).select("file_id", "p.*")
+
+
+# ---------------------------------------------------------------- formats
+
+
+@query(f"""
+WITH {_ESTIMATE_SQL} SELECT file_id, mode, CASE WHEN seconds < 0.5 THEN 'instant' WHEN seconds < 2 THEN 'under a second' WHEN seconds < 10 THEN 'a few seconds' WHEN seconds < 60 THEN 'around ' || CAST(floor(seconds / 5 + 0.5) * 5 AS BIGINT) || ' seconds'
+  WHEN seconds / 60 < 10 THEN 'around ' || CAST(floor(seconds / 60 + 0.5) AS BIGINT) || CASE WHEN floor(seconds / 60 + 0.5) = 1 THEN ' minute' ELSE ' minutes' END ELSE CAST(floor(seconds / 60 / 5 + 0.5) * 5 AS BIGINT) || '+ minutes' END AS phrase FROM e
+""")
+def format_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimated(spark, sf_dir).select("file_id", "mode", formats.estimate(F.col("seconds")).alias("phrase"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, CAST(floor(CAST(n_chars AS DOUBLE) / 2 + 0.5) AS BIGINT) AS s FROM documents)
+SELECT doc_id, CASE WHEN s <= 0 THEN '—' WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') ELSE (s % 3600 // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS said FROM t
+""")
+def format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", formats.duration(F.col("n_chars").cast("double") / 2).alias("said"))
+
+
+@query(r"""
+SELECT page_id, substr(regexp_replace(CASE WHEN regexp_replace(url, '\.[^./\\]+$', '') = '' THEN 'video' ELSE regexp_replace(url, '\.[^./\\]+$', '') END, '[\\/:*?"<>|]+', '_', 'g'), 1, 80) || '_clean.mp4' AS name FROM pages
+""")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", formats.output_name(F.col("url"), "clean").alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN 'B' WHEN n_chars < 1048576 THEN 'KB' ELSE 'MB' END AS unit, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS DOUBLE) WHEN n_chars < 1048576 THEN n_chars / CAST(1024 AS DOUBLE) ELSE n_chars / CAST(1048576 AS DOUBLE) END AS scaled FROM documents")
+def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", formats.size_band(F.col("n_chars")).alias("b")).select("doc_id", "b.unit", "b.scaled")
+
+
+# ---------------------------------------------------------------- binary tables
+
+
+@query("SELECT l_suppkey, count(*) AS samples, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ticks FROM lineitem GROUP BY l_suppkey")
+def stts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps to a time-to-sample payload and back."""
+    hist = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("long").alias("delta")).agg(F.count(F.lit(1)).alias("count"))
+    coded = hist.groupBy("l_suppkey").agg(binary.write_stts(F.array_sort(F.collect_list(F.struct("count", "delta")))).alias("data"))
+    runs = coded.select("l_suppkey", F.inline(binary.read_stts(F.col("data"))))
+    return runs.groupBy("l_suppkey").agg(F.sum("count").alias("samples"), F.sum(F.col("count") * F.col("delta")).alias("ticks"))
+
+
+def _conversation_arrays(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", value.cast("long").alias("v")))).alias("a"))
+    return rows.select("conv_id", F.transform("a", lambda x: x["v"]).alias("v"))
+
+
+@query("SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS total FROM conversations GROUP BY conv_id")
+def stsz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _conversation_arrays(spark, sf_dir, F.length("text"))
+    return rows.select("conv_id", binary.read_stsz(binary.write_stsz(F.col("v"))).alias("r")).select("conv_id", F.col("r.count").alias("n"), "r.total")
+
+
+@query("""
+SELECT conv_id, CASE WHEN max(v) >= 4294967296 THEN 'co64' ELSE 'stco' END AS kind, CAST(sum(v) AS BIGINT) AS total, count(*) AS n
+FROM (SELECT conv_id, (turn + 1) * 40000000 * (conv_id % 40) AS v FROM conversations) GROUP BY conv_id
+""")
+def stco_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _conversation_arrays(spark, sf_dir, (F.col("turn") + 1) * 40_000_000 * (F.col("conv_id") % 40))
+    coded = rows.select("conv_id", binary.write_offsets(F.col("v")).alias("w"))
+    back = coded.select("conv_id", F.col("w.kind").alias("kind"), binary.read_offsets(F.col("w.data"), F.col("w.kind")).alias("v"))
+    return back.select("conv_id", "kind", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("v").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CAST(list_sum(list_transform(string_split(md5(CAST(doc_id AS VARCHAR)), ''), lambda c: instr('0123456789abcdef', c) - 1)) AS BIGINT) AS total FROM documents")
+def stz2_nibbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(binary.nibbles(data), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, strlen(text) AS n FROM documents)
+SELECT file_id, unnest([0, 1, 2, 3, 4]) AS node_id, unnest(['ftyp[0]', 'moov[1]', 'moov[1]/udta[0]', 'mdat[2]', 'free[3]']) AS path, CAST(unnest([0, 16, 24, 36, 44 + n]) AS BIGINT) AS start, CAST(unnest([16, 20, 12, 8 + n, 8]) AS BIGINT) AS size FROM d
+""")
+def box_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers made of the documents, and all their boxes."""
+
+    def box(kind: str, payload: Column) -> Column:
+        return F.concat(binary.encoded(F.octet_length(payload).cast("long") + 8, 4), F.lit(kind).cast("binary"), payload)
+
+    empty, text = F.unhex(F.lit("")), F.col("text").cast("binary")
+    content = F.concat(box("ftyp", F.lit("isom0000").cast("binary")), box("moov", box("udta", F.unhex(F.lit("00000000")))), box("mdat", text), box("free", empty))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), content.alias("content"))
+    return containers.boxes(files).select("file_id", "node_id", "path", "start", "size")
