@@ -77,8 +77,7 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    coded = transducer_bpe.encode(table(spark, sf_dir, "documents"), WORD_VOCABULARY, carry=["doc_id"])
-    decoded = transducer_bpe.decode(coded, WORD_VOCABULARY)
+    decoded = transducer_bpe.encode(table(spark, sf_dir, "documents"), WORD_VOCABULARY, carry=["doc_id"], decoded=True)
     n = F.floor(F.octet_length("ids") / 4).cast("long")
     return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

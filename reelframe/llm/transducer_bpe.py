@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Spark counts the words (pre-tokens) of all texts; the LEXICON_WORDS most frequent are compiled with their ids into a
-minimal acyclic automaton whose states with equal right languages are shared.  Each arc carries the number of words
+Spark counts the words (pre-tokens) of all texts; the most frequent, LEXICON_WORDS at most and none that is rarer than
+LEAST_COUNT, are compiled with their ids into a minimal acyclic automaton whose states with equal right languages are shared.  Each arc carries the number of words
 that sort before it in its state, so the sum along a word's path is its rank, which points to its ids.  The automaton
 is one file of flat arrays that Spark hands to every executor, where the workers of a machine memory-map it.  Words
 that are not in it are merged exactly: again and again the pair with the lowest rank, the leftmost of equals.
@@ -22,6 +22,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelframe.llm.common import new_path, packed
+from reelframe.llm.common import cut, new_path, packed
 from reelframe.llm.piece_cache import _ODD_SPACE, PieceCache, byte_symbols, drops_spaces
 
 OUTPUTS = ["ids", "decoded"]
 LEXICON_WORDS = 60_000
+LEAST_COUNT = 3
+YIELD_ROWS = 256
 LONG_WORD = 64
 
 
@@ -270,12 +273,21 @@ def word_counts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def compile_lexicon(df: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compiles the `size` most frequent words of df and hands the file to the executors; returns its name.
+    """Compiles the most frequent words of df and hands the file to the executors; returns its name.
 
-    The driver sees these words alone, `size` rows at most.  The file goes through the shared folder.
+    Words are taken by classes of frequency, sixteen for each doubling, as many whole classes as hold `size` words at
+    most.  The driver sees a row for each class, then these words.  The file goes through the shared folder.
     """
     spark = df.sparkSession
-    frequent = word_counts(df, path, text_col).where(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(size)
+    counted = word_counts(df, path, text_col).where((F.col("n") >= LEAST_COUNT) & (F.length("word") <= LONG_WORD))
+    classed = cut(counted.select("word", F.floor(F.log2("n") * 16).cast("int").alias("class")))
+    least, held = None, 0
+    for r in sorted(classed.groupBy("class").count().collect(), reverse=True):
+        held += r["count"]
+        if held > size:
+            break
+        least = r["class"]
+    frequent = classed.where(F.col("class") >= F.lit(least))
     vocab = vocabulary(path)
     lexicon = Transducer.compiled({r["word"]: vocab.merged(r["word"]) for r in frequent.collect()})
     place = new_path(spark, "lexicon")
@@ -295,20 +307,30 @@ def _write_bytes(spark: SparkSession, place: str, data: bytes) -> None:
         stream.close()
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, lexicon: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:
-    """df with ids: the text's ids as little-endian unsigned 32-bit integers.  lexicon: a name that compile_lexicon returned."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, lexicon: str | None = None, size: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
+    """df with ids: the text's ids as little-endian unsigned 32-bit integers.
+
+    lexicon: a name that compile_lexicon returned.  decoded: whether to decode the ids again in the same pass, which
+    spares the ids a second way through Python.
+    """
     name = lexicon or compile_lexicon(df, path, text_col, size)
     rows = packed(df, text_col, id_col, OUTPUTS, carry).select("_row", "_text")
 
+    added = ["ids", "decoded"] if decoded else ["ids"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache(path, name)
+        cache, vocab = _cache(path, name), vocabulary(path)
         for batch in batches:
-            ids = list(cache.encode(batch.pop("_text")))
-            yield batch.assign(ids=ids)
-
-    schema = T.StructType([rows.schema["_row"], T.StructField("ids", T.BinaryType())])
+            coded = cache.encode(batch.pop("_text"))
+            for at in range(0, len(batch), YIELD_ROWS):
+                part = batch.iloc[at : at + YIELD_ROWS]
+                ids = list(islice(coded, len(part)))
+                part = part.assign(ids=ids)
+                yield part.assign(decoded=[vocab.decode(np.frombuffer(b, "<u4").tolist()) for b in ids]) if decoded else part
+
+    schema = T.StructType([rows.schema["_row"], T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
     out = rows.mapInPandas(run, schema)
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in rows.schema["_row"].dataType.names if c != "_none"], "ids")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in rows.schema["_row"].dataType.names if c != "_none"], *added)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
