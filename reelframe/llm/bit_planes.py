@@ -104,7 +104,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
     """
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, part, number, first = library_cache(vocabulary), TaskContext.get().partitionId(), 0, 0
+        part, number, first = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         names, parts, size = [], [], 0
 
@@ -113,14 +113,15 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
             data = write_file(lengths, np.frombuffer(b"".join(parts), "<u4"), kind)
             return pd.DataFrame({"part": [part], "number": [number], "first": [first], "n_ids": [sum(lengths)], "ids_of": [names], "file": [data]})
 
-        for batch in batches:
-            for name, ids in zip(batch["_id"], cache.encode(batch["_text"]), strict=True):
-                names.append(None if pd.isna(name) else name)
-                parts.append(ids + end)
-                size += len(parts[-1]) // 4
-                if size >= file_ids:
-                    yield closed()
-                    number, first, names, parts, size = number + 1, first + size, [], [], 0
+        with library_cache(vocabulary).task() as cache:
+            for batch in batches:
+                for name, ids in zip(batch["_id"], cache.encode(batch["_text"]), strict=True):
+                    names.append(None if pd.isna(name) else name)
+                    parts.append(ids + end)
+                    size += len(parts[-1]) // 4
+                    if size >= file_ids:
+                        yield closed()
+                        number, first, names, parts, size = number + 1, first + size, [], [], 0
         if parts:
             yield closed()
 

@@ -1,12 +1,13 @@
 """Encoding of texts piece by piece, each distinct piece once.
 
 A text is cut at places over which no token of the vocabulary can reach, so the ids of a text are those of its pieces
-one after the other.  Pieces repeat far more often than texts, so a worker keeps the ids of up to KEPT pieces; beyond
+one after the other.  Pieces repeat far more often than texts, so a task keeps the ids of up to KEPT pieces; beyond
 that it keeps new ones for the batch at hand.  Texts for which the cut would not be exact are encoded whole.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import os
@@ -45,6 +46,14 @@ class PieceCache:
                 batch, chars = [], 0
         yield from self._encode(batch)
 
+    @contextlib.contextmanager
+    def task(self) -> Iterator[PieceCache]:
+        """Forgets the pieces at the end of a task, as Spark keeps the worker for tasks of other kinds."""
+        try:
+            yield self
+        finally:
+            self.known = {}
+
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [self.pieces(text) for text in texts]
         new = list(set().union(*cuts).difference(self.known)) if cuts else []

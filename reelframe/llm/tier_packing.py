@@ -19,6 +19,7 @@ import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from reelframe.llm.piece_cache import library_cache
 TIERS = (1024, 512, 256, 128, 64)
 BLOCK_DOCUMENTS = 2048
 STEP_TOKENS = 1 << 16
+YIELD_ROWS = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -105,9 +107,12 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id"
     rows = packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int").alias("_block"))
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, end = library_cache(vocabulary), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [x + end for x in cache.encode(batch.pop("_text"))]
-            yield batch.assign(_ids=ids)
+        end = np.array([end_id], "<u4").tobytes()
+        with library_cache(vocabulary).task() as cache:
+            for batch in batches:
+                coded = cache.encode(batch.pop("_text"))
+                for at in range(0, len(batch), YIELD_ROWS):
+                    part = batch.iloc[at : at + YIELD_ROWS]
+                    yield part.assign(_ids=[x + end for x in islice(coded, len(part))])
 
     return rows.mapInPandas(encoded, "_id long, _block int, _ids binary").groupBy("_block").applyInPandas(_pack_block, PIECES)
