@@ -62,8 +62,8 @@ def with_repeat_flag(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return hashed.withColumn("_maybe", F.col("_set0") & F.col("_set1")).select(*rows.columns, "_maybe")
 
 
-def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    flagged = with_repeat_flag(packed(df, text_col, id_col, OUTPUTS, carry), max_bits)
+def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_bits: int, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
+    flagged = with_repeat_flag(packed(df, text_col, id_col, outputs, carry), max_bits)
     digest = flagged.select("_id", "_row", "_maybe", F.sha2("_text", 256).alias("_sha"))
     maybe = digest.where("_maybe")
     groups = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
@@ -77,15 +77,12 @@ def _result(rows: DataFrame) -> DataFrame:
 
 def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """Every row of df with keep_id, group_size, kept and text_sha256; of equal texts the largest id stays."""
-    passed, compared = _parts(df, id_col, text_col, carry, max_bits)
+    passed, compared = _parts(df, id_col, text_col, carry, max_bits, OUTPUTS)
     return _result(passed.unionByName(compared))
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row for each distinct text, with the columns of df."""
-    columns = df.columns
-    passed, compared = _parts(df, id_col, text_col, None, max_bits)
+    passed, compared = _parts(df, id_col, text_col, None, max_bits, [])
     stays = compared.where(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
-    names = [c for c in columns if c.lower() not in OUTPUTS]
-    rows = _result(passed.unionByName(stays))
-    return rows.select(*[f"`{c}`" for c in names], *[F.col(c) for c in columns if c not in names])
+    return unpacked(passed.unionByName(stays))
