@@ -98,7 +98,7 @@ class LibraryCache(PieceCache):
         end = [body[-1]] if body[-1:] in (",", ".") else []
         word = body[:-1] if end else body
         if self.kind == "words":
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            word = (word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")).lower()
         if self.kind == "text" or not word.isalpha():
             return None
         return [(lead + word).encode().decode("latin-1").translate(self.symbols), *end]
