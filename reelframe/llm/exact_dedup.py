@@ -2,7 +2,8 @@
 
 Pass 1 sets two slots for each text's 64-bit hash and keeps the slots that were set more than once.  A text of which
 another copy exists has both its slots among them, so pass 2 lets a row pass straight through unless both are there.
-Only the rows that may be repeated shuffle, to be compared by SHA-256.
+Only the rows that may be repeated shuffle, to be compared by SHA-256.  Groups of more than a HOT_GROUPS-th of all
+rows, of which there are fewer than HOT_GROUPS, reach their rows by a broadcast, so no task gets a whole large group.
 
 The filter holds at most max_bits bits, so its broadcast is bounded by max_bits / 64 rows of 16 bytes.  With more rows
 than it has room for, more rows shuffle; the result stays the same.
@@ -23,6 +24,7 @@ from reelframe.llm.common import packed, unpacked
 OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
 MAX_BITS = 1 << 26
 BITS_PER_ROW = 16
+HOT_GROUPS = 1024
 
 
 def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
@@ -50,10 +52,10 @@ def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
     return again.groupBy(_word(F.col("slot")).alias("word")).agg(F.bit_or(_bit(F.col("slot"))).alias("mask"))
 
 
-def with_repeat_flag(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """rows (with _text) and _maybe: false where no other row can have an equal text."""
+def with_repeat_flag(rows: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """rows (with _text, `count` of them) and _maybe: false where no other row can have an equal text."""
     hashed = rows.withColumn("_hash", F.xxhash64("_text"))
-    bits = filter_bits(rows.count(), max_bits)
+    bits = filter_bits(count, max_bits)
     words = repeat_filter(hashed.select("_hash"), bits)
     for k, slot in enumerate(_slots(F.col("_hash"), bits)):
         side = F.broadcast(words.select(F.col("word").alias(f"_word{k}"), F.col("mask").alias(f"_mask{k}")))
@@ -63,12 +65,22 @@ def with_repeat_flag(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_bits: int, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
-    flagged = with_repeat_flag(packed(df, text_col, id_col, outputs, carry), max_bits)
+    rows = packed(df, text_col, id_col, outputs, carry)
+    count = rows.count()
+    flagged = with_repeat_flag(rows, count, max_bits)
     digest = flagged.select("_id", "_row", "_maybe", F.sha2("_text", 256).alias("_sha"))
     maybe = digest.where("_maybe")
     groups = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     passed = digest.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"))
-    return passed, maybe.join(groups, "_sha").select("_id", "_row", "_sha", "_keep", "_size")
+    hot = groups.where(F.col("_size") > F.lit(count // HOT_GROUPS)).select("_sha", F.col("_keep").alias("_hot_keep"), F.col("_size").alias("_hot_size"))
+    marked = maybe.join(F.broadcast(hot), "_sha", "left")
+    # A row that has its answer takes a key of its own, which meets no group and spreads such rows.
+    own = F.concat(F.lit("-"), F.xxhash64("_id", F.monotonically_increasing_id()).cast("string"))
+    marked = marked.withColumn("_key", F.when(F.col("_hot_size").isNull(), F.col("_sha")).otherwise(own))
+    rest = groups.select(F.col("_sha").alias("_key"), "_keep", "_size")
+    met = marked.join(rest, "_key", "left")
+    answer = [F.coalesce(f"_hot{name}", name).alias(name) for name in ("_keep", "_size")]
+    return passed, met.select("_id", "_row", "_sha", *answer)
 
 
 def _result(rows: DataFrame) -> DataFrame:

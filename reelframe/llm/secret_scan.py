@@ -79,7 +79,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: l
     ledger: as LEDGER; blobs it has under RULES_VERSION are not scanned again.  carry: the columns of df to return.
     """
     rows = packed(df, text_col, id_col, OUTPUTS, carry)
-    flagged = with_repeat_flag(rows.select("_text")).select("_maybe", "_text", F.sha2("_text", 256).alias("_blob"))
+    flagged = with_repeat_flag(rows.select("_text"), rows.count()).select("_maybe", "_text", F.sha2("_text", 256).alias("_blob"))
     blobs = flagged.where("not _maybe").select("_blob", "_text").unionByName(flagged.where("_maybe").select("_blob", "_text").dropDuplicates(["_blob"]))
     if ledger is not None:
         known = ledger.where(F.col("rules_version") == RULES_VERSION)

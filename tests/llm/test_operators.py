@@ -22,7 +22,9 @@ def odd(spark):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in ROWS], "doc_id long, text string, kept string, shard int")
 
 
-def test_exact_dedup_cases(spark, odd):
+@pytest.mark.parametrize("hot_groups", [1, 3, 1024])
+def test_exact_dedup_cases(spark, odd, monkeypatch, hot_groups):
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", hot_groups)
     got = sorted((str(r["doc_id"]), r["text"] or "", r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_duplicates(odd, max_bits=1024).collect())
     groups = {}
     for i, t in ROWS:
