@@ -9,11 +9,15 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Boxes that hold boxes, and the deepest level.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "udta", "dinf", "mvex", "moof", "traf", "ilst", "meta"}
 MAX_DEPTH, MAX_TOP_LEVEL = 32, 4096
+NO_PAYLOAD = {"mdat", "free", "skip", "wide"}
+ACCEPTED_TYPES, ACCEPTED_NAME, INTAKE = ("video/mp4", "video/quicktime", "video/x-m4v"), r"\.(mp4|mov|m4v)$", 8
 BOXES = "file_id string, node_id int, parent_id int, depth int, child_ordinal int, path string, type string, start long, size long, header_size int, end long, large boolean"
 
 
@@ -56,13 +60,64 @@ def walk(data: bytes) -> Iterator[tuple]:
         node += 1
 
 
-def boxes(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
-    """One row for each box of each file, as BOXES."""
+def boxes(files: DataFrame, key: str = "file_id", content: str = "content", payloads: bool = False) -> DataFrame:
+    """One row for each box of each file, as BOXES; with payloads, also the bytes of leaves other than media and padding.
+
+    A null content has no boxes, as has one that begins with a malformed size.
+    """
+    schema = BOXES + (", payload binary" if payloads else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BOXES.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            rows = [(str(name), *row) for name, data in zip(batch[key], batch[content], strict=True) if data is not None for row in walk(data)]
-            yield pd.DataFrame(rows, columns=names)
+            for name, data in zip(batch[key], batch[content], strict=True):
+                rows = [(str(name), *row) for row in walk(data)] if data is not None else []
+                if payloads:
+                    rows = [(*r, None if r[6] in CONTAINERS or r[6] in NO_PAYLOAD else data[r[7] + r[9] : r[10]]) for r in rows]
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return files.select(key, content).mapInPandas(run, schema)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, file_size, content) of the accepted files of a folder; content is read only where it is asked for."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.where(accepted(F.col("path"))).select(F.col("path").alias("file_id"), F.col("length").alias("file_size"), "content")
+
+
+def accepted(name, mime_type=None):
+    """Whether a file is taken in: by its type, or by the end of its name in any case."""
+    named = F.lower(name).rlike(ACCEPTED_NAME)
+    return named if mime_type is None else F.coalesce(mime_type.isin(*ACCEPTED_TYPES), F.lit(False)) | F.coalesce(named, F.lit(False))
+
+
+def intake(files: DataFrame, queue: str, order: str, room: int = INTAKE) -> DataFrame:
+    """files with taken: the first `room` of each queue in order are, the others are rejected."""
+    return files.withColumn("taken", F.row_number().over(Window.partitionBy(queue).orderBy(order)) <= room)
+
+
+def children(found: DataFrame, parent: str, kind: str | None = None) -> DataFrame:
+    """The direct children, of one type if given, of the boxes with the path `parent` (with or without ordinals)."""
+    return found.where((parent_path(F.col("path")) == parent) | (plain_path(parent_path(F.col("path"))) == parent)).where(F.lit(True) if kind is None else F.col("type") == kind)
+
+
+def first_child(found: DataFrame, parent: str, kind: str) -> DataFrame:
+    """Of each file and parent the first child of a type."""
+    row = F.min_by(F.struct(*found.columns), "child_ordinal")
+    return children(found, parent, kind).groupBy("file_id", "parent_id").agg(row.alias("r")).select("r.*")
+
+
+def find_all(found: DataFrame, kind: str) -> DataFrame:
+    """All boxes of a type; node_id is their depth-first order."""
+    return found.where(F.col("type") == kind)
+
+
+def plain_path(path):
+    """A path without ordinals."""
+    return F.regexp_replace(path, r"\[\d+\]", "")
+
 
-    return files.select(key, content).mapInPandas(run, BOXES)
+def parent_path(path):
+    """The path of the box around."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
