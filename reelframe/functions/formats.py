@@ -51,3 +51,74 @@ def avc_level(level: Column) -> Column:
 
 def hevc_level(level: Column) -> Column:
     return F.concat(F.floor(level / 30).cast("string"), F.lit("."), js_round(level % 30 / 3).cast("string"))
+
+
+def to_fixed(value: Column, digits: int) -> Column:
+    """`digits` decimals of the exact binary value, halves away from zero upwards, without separators; value is not negative.
+
+    format_number rounds the exact value but sends ties to the even digit; only an odd multiple of 2^-(digits + 1) is
+    a tie, and those are nudged up.
+    """
+    x = value.cast("double")
+    halves = x * 2.0 ** (digits + 1)
+    tie = (halves == F.floor(halves)) & (F.floor(halves) % 2 == 1)
+    return F.regexp_replace(F.format_number(F.when(tie, x + 2.0 ** -(digits + 9)).otherwise(x), digits), ",", "")
+
+
+def size(value: Column) -> Column:
+    """A size in B, KB, MB or GB, with a decimal under ten of the larger units."""
+    b = size_band(value)
+    scaled = F.when(b["scaled"] < 10, to_fixed(b["scaled"], 1)).otherwise(to_fixed(b["scaled"], 0))
+    return F.concat_ws(" ", F.when(b["unit"] == "B", value.cast("string")).otherwise(scaled), b["unit"])
+
+
+def bitrate(bps: Column) -> Column:
+    """kbps, or Mbps with two decimals under ten and one from there; a dash for nothing."""
+    million = bps.cast("double") / 1e6
+    large = F.concat(F.when(bps < 10_000_000, to_fixed(million, 2)).otherwise(to_fixed(million, 1)), F.lit(" Mbps"))
+    return F.when(bps.isNull(), "—").when(bps < 1_000_000, F.concat(js_round(bps.cast("double") / 1000).cast("string"), F.lit(" kbps"))).otherwise(large)
+
+
+def megabits(bps: Column) -> Column:
+    """Mbps with one decimal; 'unknown' for nothing."""
+    return F.when(bps.isNull(), "unknown").otherwise(F.concat(to_fixed(bps.cast("double") / 1e6, 1), F.lit(" Mbps")))
+
+
+def fps(value: Column, missing: str = "—", rounded: bool = True) -> Column:
+    """A frame rate, without decimals if it is whole (after rounding to hundredths, if rounded), else with two."""
+    x = js_round(value * 100).cast("double") / 100 if rounded else value
+    text = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(to_fixed(x, 2))
+    return F.when(value.isNull(), missing).otherwise(F.concat(text, F.lit(" fps")))
+
+
+def dimensions(width: Column, height: Column) -> Column:
+    return F.coalesce(F.concat(width.cast("string"), F.lit(" x "), height.cast("string")), F.lit("—"))
+
+
+def percent(ratio: Column) -> Column:
+    return F.concat(js_round(ratio * 100).cast("string"), F.lit("%"))
+
+
+def size_delta(before: Column, after: Column) -> Column:
+    """struct(text, tone): the signed difference and its share of `before`, null if that is zero."""
+    delta = after - before
+    sign = F.when(delta > 0, "+").otherwise("-")
+    share = to_fixed(F.abs(F.try_divide(delta.cast("double"), before.cast("double"))) * 100, 1)
+    text = F.concat(sign, size(F.abs(delta)), F.lit(" ("), sign, share, F.lit("%)"))
+    return F.struct(F.when(delta == 0, "unchanged").otherwise(text).alias("text"), F.when(delta > 0, "warn").otherwise("good").alias("tone"))
+
+
+def severity_text(blockers: Column, warnings: Column, notes: Column) -> Column:
+    """The counts that are not zero in words."""
+    parts = [F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"))) for n, word in ((blockers, "blocker(s)"), (warnings, "worth fixing"), (notes, "note(s)"))]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("nothing to fix"))
+
+
+def timing_label(mode: Column) -> Column:
+    return F.when(mode == "cfr", "constant").when(mode == "near-cfr", "near constant").when(mode == "vfr", "variable").otherwise("unknown")
+
+
+def color_label(color: Column) -> Column:
+    """A colour struct of the decoders in words."""
+    three = F.concat_ws(" / ", color["primaries_label"], color["transfer_label"], color["matrix_label"])
+    return F.when(color["hdr"], F.concat(F.lit("HDR · "), color["transfer_label"])).when(~color["present"], "not tagged").when(color["rec709"], "Rec.709").otherwise(three)

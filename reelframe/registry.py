@@ -397,3 +397,49 @@ def box_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(box("ftyp", F.lit("isom0000").cast("binary")), box("moov", box("udta", F.unhex(F.lit("00000000")))), box("mdat", text), box("free", empty))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), content.alias("content"))
     return containers.boxes(files).select("file_id", "node_id", "path", "start", "size")
+
+
+def _fixed_sql(x: str, digits: int) -> str:
+    halves = f"(CAST({x} AS DOUBLE) * {2 ** (digits + 1)})"
+    return f"printf('%.{digits}f', CASE WHEN {halves} = floor({halves}) AND CAST(floor({halves}) AS BIGINT) % 2 = 1 THEN {x} + CAST({2.0 ** -(digits + 9)!r} AS DOUBLE) ELSE CAST({x} AS DOUBLE) END)"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, n_chars * 1237 AS v FROM documents), s AS (SELECT *, v / CAST(1024 AS DOUBLE) AS k, v / CAST(1024 AS DOUBLE) / CAST(1024 AS DOUBLE) AS m, v / CAST(1000000 AS DOUBLE) AS mb FROM t)
+SELECT doc_id, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 1048576 THEN CASE WHEN k < 10 THEN {_fixed_sql("k", 1)} ELSE {_fixed_sql("k", 0)} END || ' KB' ELSE CASE WHEN m < 10 THEN {_fixed_sql("m", 1)} ELSE {_fixed_sql("m", 0)} END || ' MB' END AS size,
+  CASE WHEN v < 1000000 THEN CAST(floor(v / CAST(1000 AS DOUBLE) + 0.5) AS BIGINT) || ' kbps' WHEN v < 10000000 THEN {_fixed_sql("mb", 2)} || ' Mbps' ELSE {_fixed_sql("mb", 1)} || ' Mbps' END AS bitrate, {_fixed_sql("mb", 1)} || ' Mbps' AS megabits FROM s
+""")
+def format_size_and_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("n_chars") * 1237
+    return table(spark, sf_dir, "documents").select("doc_id", formats.size(value).alias("size"), formats.bitrate(value).alias("bitrate"), formats.megabits(value).alias("megabits"))
+
+
+@query(f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity / CAST(8 AS DOUBLE) AS r, floor(l_quantity / CAST(8 AS DOUBLE) * 100 + 0.5) / CAST(100 AS DOUBLE) AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE {_fixed_sql("x", 2)} END || ' fps' AS fps, CAST(floor(r * 100 + 0.5) AS BIGINT) || '%' AS share, l_partkey || ' x ' || l_suppkey AS dims FROM t
+""")
+def format_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.col("l_quantity") / 8
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", formats.fps(rate).alias("fps"), formats.percent(rate).alias("share"), formats.dimensions(F.col("l_partkey"), F.col("l_suppkey")).alias("dims")
+    )
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, 1000 + doc_id % 500 AS a, 700 + doc_id % 900 AS b FROM documents), s AS (SELECT *, abs(b - a) AS d, abs((b - a) / CAST(a AS DOUBLE)) * 100 AS p, CASE WHEN b > a THEN '+' ELSE '-' END AS sign FROM t)
+SELECT doc_id, CASE WHEN a = b THEN 'unchanged' ELSE sign || d || ' B (' || sign || {_fixed_sql("p", 1)} || '%)' END AS text, CASE WHEN b > a THEN 'warn' ELSE 'good' END AS tone FROM s
+""")
+def format_size_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", formats.size_delta(1000 + d % 500, 700 + d % 900).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"""
+WITH {_FOUND_SQL}, n AS (SELECT file_id, count(id) FILTER (severity = 'blocker') AS b, count(id) FILTER (severity = 'warning') AS w, count(id) FILTER (severity = 'note') AS o FROM reports LEFT JOIN found USING (file_id) GROUP BY file_id)
+SELECT file_id, coalesce(nullif(concat_ws(', ', CASE WHEN b > 0 THEN b || ' blocker(s)' END, CASE WHEN w > 0 THEN w || ' worth fixing' END, CASE WHEN o > 0 THEN o || ' note(s)' END), ''), 'nothing to fix') AS said FROM n
+""")
+def describe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = _reports(spark, sf_dir)
+    n = findings(spark, sf_dir).groupBy("file_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in rules.SEVERITIES])
+    counts = [F.coalesce(s, F.lit(0)) for s in rules.SEVERITIES]
+    return reports.select("file_id").join(n, "file_id", "left").select("file_id", formats.severity_text(*counts).alias("said"))
