@@ -55,3 +55,39 @@ def estimates(reports: DataFrame, key: str = "file_id") -> DataFrame:
         .otherwise(F.greatest(F.lit(2.0), lookup.js_round(mb * 0.08).cast("double")))
     )
     return rows.select(key, "mode", engine.alias("engine"), seconds.alias("seconds"))
+
+
+#: Flags of an encoder's command line, and the audio that a re-encode aims at.
+BT709_COPY = ("-color_primaries", "bt709", "-color_trc", "bt709", "-colorspace", "bt709")
+BT709_FILTER, EVEN_FILTER, FAST_START = "setparams=color_primaries=bt709:color_trc=bt709:colorspace=bt709", "scale=trunc(iw/2)*2:trunc(ih/2)*2", ("-movflags", "+faststart")
+PRESET, CRF, AUDIO_BITRATE, AUDIO_RATE, AUDIO_CHANNELS = "veryfast", 18, 256_000, 48_000, 2
+
+
+def _words(*words: str) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _streams(has_audio: Column) -> Column:
+    return F.concat(_words("-i", "{input}", "-map", "0:v:0"), F.when(has_audio, _words("-map", "0:a:0")).otherwise(_words()))
+
+
+def copy_arguments(has_audio: Column, retag: bool) -> Column:
+    """The command line that copies the streams, with colour flags if retag."""
+    return F.concat(_streams(has_audio), _words("-c", "copy", *(BT709_COPY if retag else ()), *FAST_START))
+
+
+def master_arguments(plan: Column, hdr: Column, has_audio: Column) -> Column:
+    """The command line of a re-encode after a struct of master_plan; null without a plan."""
+
+    def text(name: str, times: int = 1) -> Column:
+        return (plan[name].cast("long") * times).cast("string")
+
+    scale = F.when(plan["scaled"], F.concat(F.lit("scale="), text("width"), F.lit(":"), text("height"), F.lit(":flags=lanczos"))).otherwise(EVEN_FILTER)
+    filters = F.concat_ws(",", scale, F.when(~hdr, BT709_FILTER), F.lit("format=yuv420p"))
+    grid = F.concat(F.lit("keyint="), text("fps", 2), F.lit(":min-keyint="), text("fps"), F.lit(":scenecut=40"))
+    video = F.array(
+        F.lit("-vf"), filters, F.lit("-fps_mode"), F.lit("cfr"), F.lit("-r"), text("fps"), *[F.lit(w) for w in ("-c:v", "libx264", "-profile:v", "high", "-preset", PRESET, "-crf", str(CRF))],
+        F.lit("-maxrate"), text("bitrate"), F.lit("-bufsize"), text("bitrate", 2), F.lit("-pix_fmt"), F.lit("yuv420p"), F.lit("-x264-params"), grid,
+    )
+    sound = F.when(has_audio, _words("-c:a", "aac", "-b:a", str(AUDIO_BITRATE), "-ar", str(AUDIO_RATE), "-ac", str(AUDIO_CHANNELS))).otherwise(_words())
+    return F.when(plan.isNotNull(), F.concat(_streams(has_audio), video, sound, _words(*FAST_START)))

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelframe.functions import binary, formats
-from reelframe.operators import compare, lookup, rules, timing
+from reelframe.functions import binary, decoders, formats
+from reelframe.operators import analysis, compare, lookup, rules, timing
 from reelframe.plans import planner
 from reelframe.session import table
-from reelframe.sources import containers
+from reelframe.sources import containers, rewrites
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,3 +443,79 @@ def describe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = findings(spark, sf_dir).groupBy("file_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in rules.SEVERITIES])
     counts = [F.coalesce(s, F.lit(0)) for s in rules.SEVERITIES]
     return reports.select("file_id").join(n, "file_id", "left").select("file_id", formats.severity_text(*counts).alias("said"))
+
+
+_ARGS_TAIL = "-c:v libx264 -profile:v high -preset veryfast -crf 18"
+
+
+@query(f"""
+WITH p AS ({ORACLE_SQL["master_plan"]}), t AS (SELECT *, file_id % 10 = 1 AS hdr, file_id % 5 <> 0 AS audio FROM p)
+SELECT file_id, '-i {{input}} -map 0:v:0' || CASE WHEN audio THEN ' -map 0:a:0' ELSE '' END || ' -c copy -color_primaries bt709 -color_trc bt709 -colorspace bt709 -movflags +faststart' AS retag,
+  '-i {{input}} -map 0:v:0' || CASE WHEN audio THEN ' -map 0:a:0' ELSE '' END || ' -vf ' || CASE WHEN scaled THEN 'scale=' || width || ':' || height || ':flags=lanczos' ELSE 'scale=trunc(iw/2)*2:trunc(ih/2)*2' END
+  || CASE WHEN hdr THEN '' ELSE ',setparams=color_primaries=bt709:color_trc=bt709:colorspace=bt709' END || ',format=yuv420p -fps_mode cfr -r ' || fps || ' {_ARGS_TAIL} -maxrate ' || bitrate || ' -bufsize ' || (bitrate * 2)
+  || ' -pix_fmt yuv420p -x264-params keyint=' || (fps * 2) || ':min-keyint=' || fps || ':scenecut=40' || CASE WHEN audio THEN ' -c:a aac -b:a ' || {planner.AUDIO_BITRATE} || ' -ar 48000 -ac 2' ELSE '' END || ' -movflags +faststart' AS master FROM t
+""")
+def plan_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sized(spark, sf_dir).select("file_id", planner.master_plan(F.col("width"), F.col("height"), F.col("fps")).alias("p"))
+    hdr, audio = F.col("file_id") % 10 == 1, F.col("file_id") % 5 != 0
+    return rows.select("file_id", F.array_join(planner.copy_arguments(audio, True), " ").alias("retag"), F.array_join(planner.master_arguments(F.col("p"), hdr, audio), " ").alias("master"))
+
+
+# ---------------------------------------------------------------- containers
+
+
+def _made_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for each part: ftyp, padding, media, then an index with one video whose size, clock and chunks follow from the part."""
+
+    def box(kind: str, *payload: Column) -> Column:
+        body = F.concat(*payload) if payload else F.unhex(F.lit(""))
+        return decoders.let(body, lambda b: F.concat(binary.encoded(F.octet_length(b).cast("long") + 8, 4), F.lit(kind).cast("binary"), b))
+
+    def u(value: Column | int, width: int = 4) -> Column:
+        return binary.encoded((value if isinstance(value, Column) else F.lit(value)).cast("long"), width)
+
+    def zeros(n: int) -> Column:
+        return F.unhex(F.lit("00" * n))
+
+    k = F.col("p_partkey")
+    width, height, seconds = 540 + k * 36 % 1512, 540 + k * 60 % 1440, F.col("p_size")
+    matrix = [F.when(k % 4 == 0, v).otherwise(w) for v, w in zip((0, 4294901760, 0, 65536, 0), (65536, 0, 0, 0, 65536), strict=True)]
+    tkhd = box("tkhd", zeros(12), u(k), zeros(24), *[u(v) for v in matrix], zeros(16), u(width * 65536), u(height * 65536))
+    mdhd = box("mdhd", zeros(12), u(15360), u(seconds * 15360), u(5575, 2), zeros(2))
+    hdlr = box("hdlr", zeros(8), F.lit("vide").cast("binary"), zeros(13))
+    colr = F.when(k % 3 == 0, box("colr", F.lit("nclx").cast("binary"), u(1, 2), u(k % 20, 2), u(1, 2), zeros(1))).otherwise(F.unhex(F.lit("")))
+    entry = box("avc1", zeros(6), u(1, 2), zeros(16), u(width, 2), u(height, 2), zeros(50), colr)
+    tables = [box("stsd", zeros(4), u(1), entry), box("stts", zeros(4), u(1), u(seconds * 30), u(512)), box("stsz", zeros(4), u(1000), u(seconds * 30)), box("stco", zeros(4), u(2), u(40), u(44))]
+    trak = box("trak", tkhd, box("mdia", mdhd, hdlr, box("minf", box("stbl", *tables))))
+    ftyp, media = box("ftyp", F.lit("isom").cast("binary"), u(512), F.lit("isom").cast("binary")), box("mdat", F.lit("AAAABBBB").cast("binary"))
+    moov = box("moov", box("mvhd", zeros(12), u(1000), u(seconds * 1000), zeros(80)), trak)
+    content = F.concat(ftyp, F.when(k % 2 == 0, F.concat(box("free", zeros(4)), media, moov)).otherwise(F.concat(box("free", zeros(4)), media, moov, box("skip"))))
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("file_id"), content.alias("content")).withColumn("file_size", F.octet_length("content").cast("long"))
+
+
+_TRANSFER_SQL = ", ".join(f"({k}, '{v}')" for k, v in decoders.TRANSFERS.items())
+
+
+@query(f"""
+WITH names(v, name) AS (VALUES {_TRANSFER_SQL}), s AS (SELECT p_partkey AS k, 540 + p_partkey * 36 % 1512 AS w, 540 + p_partkey * 60 % 1440 AS h, p_size FROM part)
+SELECT CAST(k AS VARCHAR) AS file_id, k AS track_id, 'H.264 / AVC' AS codec, CAST(p_size AS DOUBLE) AS seconds, p_size * 30 AS samples, p_size * 30000 AS bytes, CAST(240000 AS DOUBLE) AS bitrate,
+  CASE WHEN k % 4 = 0 THEN 90 ELSE 0 END AS rotation, CASE WHEN k % 4 = 0 THEN h ELSE w END AS width, CASE WHEN k % 4 = 0 THEN w ELSE h END AS height, 'cfr' AS timing_mode, CAST(30 AS DOUBLE) AS fps,
+  CASE WHEN k % 3 <> 0 THEN 'not tagged' ELSE coalesce(name, 'unknown (' || (k % 20) || ')') END AS transfer FROM s LEFT JOIN names ON v = k % 20
+""")
+def container_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks decoded from the containers."""
+    found = analysis.tracks(containers.boxes(_made_containers(spark, sf_dir), payloads=True))
+    return found.select("file_id", "track_id", "codec", "seconds", "samples", "bytes", "bitrate", "rotation", "width", "height", "timing_mode", "fps", F.col("color.transfer_label").alias("transfer"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS file_id, 2 AS offsets_moved, true AS faststart, 'ftyp,moov,mdat' AS types, 'BT.709' AS transfer FROM part
+""")
+def container_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers rewritten with their index first and colours tagged, decoded again."""
+    made = rewrites.rewrite(_made_containers(spark, sf_dir), retag=True)
+    boxes = containers.boxes(made, payloads=True)
+    found = analysis.tracks(boxes)
+    said = analysis.reports(made.withColumn("file_size", F.octet_length("content")), boxes, found)
+    tags = found.select("file_id", F.col("color.transfer_label").alias("transfer"))
+    return made.select("file_id", "offsets_moved").join(said.select("file_id", "faststart", F.array_join("types", ",").alias("types")), "file_id").join(tags, "file_id")
