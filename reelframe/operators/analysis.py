@@ -78,10 +78,11 @@ def tracks(boxes: DataFrame) -> DataFrame:
         F.coalesce(binary.unsigned(F.coalesce("stco", "co64"), 4, 4), F.lit(0)).alias("chunks"), F.when((F.col("kind") == "video") & (F.col("m.timescale") > 0), binary.read_stts(F.col("stts"))).alias("_runs"),
     )
     runs = out.select(F.struct("file_id", "ord").alias("key"), F.posexplode("_runs").alias("nth", "run")).select("key", F.col("nth").alias("ord"), F.col("run.delta").alias("delta"), F.col("run.count").alias("n"))
-    timed = timing.summarize(timing.histogram(runs)).select(F.col("key.file_id").alias("file_id"), F.col("key.ord").alias("ord"), "mode", "reference", F.col("n").alias("_n"), "low", "high")
+    timed = timing.summarize(timing.histogram(runs)).select(F.col("key.file_id").alias("file_id"), F.col("key.ord").alias("ord"), "mode", "reference", F.col("n").alias("_n"), "low", "high", "steady")
+    regular = [(F.col("steady") / F.col("_n")).alias("steady_share"), F.when(F.col("reference") > 0, (F.col("high") - F.col("low")) / F.col("reference") * 100).alias("jitter")]
     joined = out.drop("_runs").join(timed, ["file_id", "ord"], "left")
     fps = [F.when(F.col(c) > 0, F.col("timescale").cast("double") / F.col(c)).alias(a) for c, a in (("reference", "fps"), ("high", "min_fps"), ("low", "max_fps"))]
-    return joined.select(*out.drop("_runs").columns, F.coalesce("mode", F.lit("unknown")).alias("timing_mode"), *fps, F.when(F.col("seconds") > 0, F.col("_n") / F.col("seconds")).alias("average_fps"))
+    return joined.select(*out.drop("_runs").columns, F.coalesce("mode", F.lit("unknown")).alias("timing_mode"), *fps, F.when(F.col("seconds") > 0, F.col("_n") / F.col("seconds")).alias("average_fps"), *regular)
 
 
 def encoder_tags(boxes: DataFrame) -> DataFrame:
@@ -105,14 +106,14 @@ def reports(files: DataFrame, boxes: DataFrame, found: DataFrame | None = None)
     kind, top = F.col("type"), F.col("depth") == 0
     layout = boxes.groupBy("file_id").agg(
         F.min(F.when(top & (kind == "moov"), F.col("child_ordinal"))).alias("moov"), F.min(F.when(top & kind.isin("mdat", "moof"), F.col("child_ordinal"))).alias("media"),
-        F.max(F.coalesce((top & (kind == "moof")) | (plain_path(F.col("path")) == "moov/mvex"), F.lit(False))).alias("fragmented"), F.max(top & F.col("large")).alias("large"),
+        F.max(F.coalesce((top & (kind == "moof")) | (plain_path(F.col("path")) == "moov/mvex"), F.lit(False))).alias("fragmented"), F.max(top & F.col("large")).alias("large"), F.max(F.when(top, F.col("end"))).alias("last"),
         F.count_if(top & (kind == "mdat")).alias("mdats"), F.count_if(plain_path(F.col("path")) == "moov/trak").alias("traks"),
         F.min_by("payload", F.when(top & (kind == "ftyp"), F.col("node_id"))).alias("ftyp"), F.min_by("payload", F.when(plain_path(F.col("path")) == "moov/mvhd", F.col("node_id"))).alias("mvhd"),
         F.transform(F.array_sort(F.collect_list(F.when(top, F.struct("child_ordinal", "type")))), lambda x: x["type"]).alias("types"),
     )
     whole = F.struct(*[c for c in found.columns if c != "file_id"])
     picks = [F.max_by(whole, F.when(F.col("kind") == k, F.struct("seconds", (-F.col("ord")).alias("o")))).alias(k) for k in ("video", "audio")]
-    main = found.groupBy("file_id").agg(*picks, F.count(F.lit(1)).alias("tracks"))
+    main = found.groupBy("file_id").agg(*picks, F.count(F.lit(1)).alias("tracks"), F.count_if(F.col("kind") == "audio").alias("sounds"), F.max("track_id").alias("top_id"), F.max(F.col("offsets_kind") == "co64").alias("wide_offsets"))
     rows = files.select("file_id", "file_size").join(layout, "file_id", "left").join(main, "file_id", "left").join(encoder_tags(boxes), "file_id", "left")
     rows = rows.withColumn("brand", decoders.brand(F.col("ftyp"))).withColumn("movie_seconds", decoders.clock(F.col("mvhd"))["seconds"])
     v, a, none = F.col("video"), F.col("audio"), F.coalesce("tracks", F.lit(0))
@@ -126,4 +127,7 @@ def reports(files: DataFrame, boxes: DataFrame, found: DataFrame | None = None)
         v["sample_entries"].alias("sample_entries"), v["timing_mode"].alias("timing_mode"), F.coalesce(v["fps"], v["average_fps"]).alias("fps"), v["edit"]["non_trivial"].alias("edit_list"), v["color"]["hdr"].alias("hdr"), v["color"]["unspecified"].alias("color_unspecified"),
         v["format"].alias("video_format"), v["chroma"].alias("chroma"), v["bit_depth"].alias("bit_depth"), v["width"].alias("width"), v["height"].alias("height"), v["bitrate"].alias("bitrate"),
         a["format"].alias("audio_format"), a["audio_profile"].alias("audio_profile"), a["rate"].alias("audio_rate"), a["channels"].alias("audio_channels"),
+        v["codec"].alias("video_codec"), v["profile"].alias("video_profile"), v["bytes"].alias("video_bytes"), v["min_fps"].alias("min_fps"), v["max_fps"].alias("max_fps"), v["steady_share"].alias("steady_share"), v["jitter"].alias("jitter"), v["edit"].alias("edit"), v["color"].alias("color"),
+        a["codec"].alias("audio_codec"), a["sample_entries"].alias("audio_entries"), a["offsets_kind"].alias("audio_offsets"), a["samples"].alias("audio_samples"), a["chunks"].alias("audio_chunks"),
+        F.coalesce("sounds", F.lit(0)).alias("audio_tracks"), F.greatest(F.lit(0), F.coalesce("top_id", F.lit(0))).alias("max_track_id"), F.coalesce("wide_offsets", F.lit(False)).alias("wide_offsets"), (F.col("file_size") - F.coalesce("last", F.lit(0))).alias("trailing_bytes"),
     )

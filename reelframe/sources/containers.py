@@ -26,22 +26,30 @@ def fourcc(raw: bytes) -> str:
     return "".join(chr(b) if 0x20 <= b <= 0x7E else f"\\x{b:02x}" for b in raw)
 
 
+def header(raw: bytes, room: int) -> tuple[str, int, int, bool] | None:
+    """(type, size, header size, large) of the box that begins with raw, 16 bytes of it if there are, with room bytes to the end; None if malformed."""
+    if room < 8 or len(raw) < 8:
+        return None
+    size, kind = struct.unpack_from(">I4s", raw)
+    head, large = 8, size == 1
+    if large:
+        if len(raw) < 16:
+            return None
+        head, size = 16, struct.unpack_from(">Q", raw, 8)[0]
+    elif size == 0:
+        size = room
+    return (fourcc(kind), size, head, large) if head <= size <= room else None
+
+
 def headers(data: bytes, start: int, end: int, most: int = MAX_TOP_LEVEL) -> Iterator[tuple[str, int, int, int, bool]]:
     """(type, start, size, header size, large) of neighbouring boxes; ends at the first malformed size."""
-    n = 0
-    while end - start >= 8 and n < most:
-        size, kind = struct.unpack_from(">I4s", data, start)
-        head, large = 8, size == 1
-        if large:
-            if end - start < 16:
-                return
-            head, size = 16, struct.unpack_from(">Q", data, start + 8)[0]
-        elif size == 0:
-            size = end - start
-        if size < head or start + size > end:
+    for _ in range(most):
+        found = header(data[start : min(end, start + 16)], end - start)
+        if found is None:
             return
-        yield fourcc(kind), start, size, head, large
-        start, n = start + size, n + 1
+        kind, size, head, large = found
+        yield kind, start, size, head, large
+        start += size
 
 
 def walk(data: bytes) -> Iterator[tuple]:

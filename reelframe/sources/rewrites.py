@@ -9,7 +9,7 @@ Defined results: a file that cannot be rewritten has null content and the reason
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,12 +92,15 @@ def _handler(trak: bytes) -> bytes:
     return b""
 
 
-def rewritten(data: bytes, retag: bool = False) -> tuple[bytes, int, int]:
-    """(content, number of chunk offsets, layout passes) of one file; Declined says why not."""
-    top = list(headers(data, 0, len(data)))
+def laid_out(top: list[tuple], read: Callable[[int, int], bytes], retag: bool = False) -> tuple[bytes, tuple[int, int], int, int]:
+    """(the bytes before the media, the range of the media, number of chunk offsets, layout passes); Declined says why not.
+
+    top: the headers of the file; read(start, size) is asked for ftyp and moov only.
+    """
     kinds = [h[0] for h in top]
     unknown = [k for k in dict.fromkeys(kinds) if k not in KNOWN]
-    if "moof" in kinds or any(h[0] == "mvex" for k, s, n, head, _ in top if k == "moov" for h in headers(data, s + head, s + n)):
+    moovs = [read(s, n) for k, s, n, _, _ in top if k == "moov"]
+    if "moof" in kinds or any(h[0] == "mvex" for m in moovs for one in headers(m, 0, len(m), 1) for h in headers(m, one[3], len(m))):
         raise Declined("the file is fragmented, which needs a real remuxer")
     if unknown:
         raise Declined(f"unexpected top-level box(es): {', '.join(unknown)}")
@@ -105,17 +108,23 @@ def rewritten(data: bytes, retag: bool = False) -> tuple[bytes, int, int]:
         if kinds.count(kind) != 1:
             raise Declined(f"{kinds.count(kind)} {kind} boxes, where one is needed")
     at = {k: (s, n, head) for k, s, n, head, _ in top}
-    (f0, fn, _), (m0, mn, mhead), (d0, dn, dhead) = at["ftyp"], at["moov"], at["mdat"]
-    brand, size = data[f0 : f0 + fn], mn
+    (f0, fn, _), (_, size, mhead), (d0, dn, dhead) = at["ftyp"], at["moov"], at["mdat"]
+    brand, moov = read(f0, fn), moovs[0]
     for turn in range(1, MAX_PASSES + 1):
         moved: list[int] = []
-        index = boxed(b"moov", _index(data, m0 + mhead, m0 + mn, len(brand) + size - d0, (d0 + dhead, d0 + dn), retag, moved))
+        index = boxed(b"moov", _index(moov, mhead, len(moov), len(brand) + size - d0, (d0 + dhead, d0 + dn), retag, moved))
         if len(index) == size:
-            return brand + index + data[d0 : d0 + dn], sum(moved), turn
+            return brand + index, (d0, dn), sum(moved), turn
         size = len(index)
     raise Declined("the layout does not settle")
 
 
+def rewritten(data: bytes, retag: bool = False) -> tuple[bytes, int, int]:
+    """(content, number of chunk offsets, layout passes) of one file; Declined says why not."""
+    front, (start, size), moved, turns = laid_out(list(headers(data, 0, len(data))), lambda s, n: data[s : s + n], retag)
+    return front + data[start : start + size], moved, turns
+
+
 def rewrite(files: DataFrame, retag: bool = False, key: str = "file_id", content: str = "content") -> DataFrame:
     """files rewritten, as REWRITTEN: one row a file."""
 
