@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from reelframe.functions import binary, decoders, formats
 from reelframe.operators import analysis, compare, lookup, rules, timing
-from reelframe.plans import planner
+from reelframe.plans import planner, steps
 from reelframe.session import table
 from reelframe.sources import containers, rewrites
 
@@ -519,3 +519,94 @@ def container_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = analysis.reports(made.withColumn("file_size", F.octet_length("content")), boxes, found)
     tags = found.select("file_id", F.col("color.transfer_label").alias("transfer"))
     return made.select("file_id", "offsets_moved").join(said.select("file_id", "faststart", F.array_join("types", ",").alias("types")), "file_id").join(tags, "file_id")
+
+
+# ---------------------------------------------------------------- plans in steps, comparisons of bytes
+
+
+@query(f"""
+WITH d AS ({ORACLE_SQL["diagnosis"]}) SELECT file_id, CASE WHEN recommended = 'none' THEN 'remux' ELSE recommended END AS mode FROM d
+""")
+def default_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis(spark, sf_dir).select("file_id", steps.default_mode(F.col("recommended")).alias("mode"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Failed to IMPORT ' WHEN 1 THEN 'Network down: import ' WHEN 2 THEN 'bad magic number ' WHEN 3 THEN 'needs SharedArrayBuffer ' WHEN 4 THEN 'load failed: wasm ' ELSE 'stopped ' END || doc_id AS said FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(said, '(?i)import') AND regexp_matches(said, '(?i)fail') THEN 'build' WHEN regexp_matches(said, '(?i)fetch|network|load failed') THEN 'download' WHEN regexp_matches(said, '(?i)webassembly|wasm|magic|compileerror') THEN 'module'
+  WHEN regexp_matches(said, '(?i)sharedarraybuffer|crossoriginisolated') THEN 'threads' ELSE 'other' END AS failure FROM m
+""")
+def load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = ("Failed to IMPORT ", "Network down: import ", "bad magic number ", "needs SharedArrayBuffer ", "load failed: wasm ", "stopped ")
+    said = F.concat(F.element_at(F.array(*[F.lit(s) for s in starts]), (F.col("doc_id") % 6 + 1).cast("int")), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", steps.load_failure(said).alias("failure"))
+
+
+@query("""
+SELECT doc_id, doc_id % 5 <> 0 AS same_length, doc_id % 7 = 0 AND doc_id % 5 <> 0 AS identical, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 32 ELSE -1 END AS first_difference FROM documents
+""")
+def byte_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests against copies in which one byte is another, or that are longer."""
+    d, digest = F.col("doc_id"), F.md5(F.col("doc_id").cast("string").cast("binary"))
+    changed = F.when(d % 7 == 0, digest).otherwise(F.overlay(digest, F.lit("!"), (d % 32 + 1).cast("int"), F.lit(1)))
+    after = F.concat(changed, F.when(d % 5 == 0, "longer").otherwise(""))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", digest.cast("binary").alias("before"), after.cast("binary").alias("after"))
+    return compare.byte_comparison(pairs, "doc_id").fillna(-1, ["first_difference"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 40 ELSE 0 END AS times FROM documents")
+def repeated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    tail = F.concat(F.repeat(F.lit("00000004"), (d % 40 * 2).cast("int")), F.when(d % 3 == 0, F.lit("000000")).otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(compare.repeated_pattern(F.unhex(tail)), F.lit(0)).alias("times"))
+
+
+@query(f"""
+WITH rungs(name, w, h, ord, shape) AS (VALUES {_RUNGS})
+SELECT name, CAST(rate AS INT) AS rate, CAST(floor(least(CAST(40000000 AS DOUBLE), greatest(CAST(2000000 AS DOUBLE), CAST(w AS DOUBLE) * h * rate * CAST(0.2 AS DOUBLE))) + 0.5) AS BIGINT) AS bitrate FROM rungs CROSS JOIN (VALUES (30), (60)) AS r(rate)
+""")
+def guide_bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guide's table: a bitrate for each delivery size at 30 and 60 frames a second."""
+    rows = spark.createDataFrame([(name, w, h, rate) for name, w, h in lookup.RUNGS for rate in (30, 60)], "name string, w int, h int, rate int")
+    return rows.select("name", "rate", lookup.target_bitrate(F.col("w").cast("double"), F.col("h"), F.col("rate")).alias("bitrate"))
+
+
+#: Facts of a report made of a document, in SQL that both engines read.
+_FACTS = {
+    "file_id": "doc_id", "fragmented": "doc_id % 13 = 0", "has_audio": "doc_id % 5 <> 0", "has_video": "doc_id % 23 <> 0", "trailing_bytes": "CASE WHEN doc_id % 17 = 0 THEN 8 ELSE 0 END", "wide_offsets": "doc_id % 19 = 0", "max_track_id": "CASE WHEN doc_id % 29 = 0 THEN 4294967294 ELSE 2 END",
+    "audio_tracks": "CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END", "audio_format": "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'ac-3' ELSE 'mp4a' END", "audio_codec": "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'Dolby Digital' ELSE 'AAC' END",
+    "audio_entries": "CASE WHEN doc_id % 31 = 0 THEN 2 ELSE 1 END", "audio_offsets": "CASE WHEN doc_id % 37 = 0 THEN 'none' ELSE 'stco' END", "audio_samples": "CAST(doc_id % 41 AS bigint) * 20000", "audio_chunks": "CAST(doc_id % 3 AS bigint)",
+}
+_FACTS_SQL = f"facts AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _FACTS.items())} FROM documents)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, split = (F.array(*[F.lit(t) for t in kinds]) for kinds in (("ftyp", "moov", "mdat"), ("ftyp", "free", "mdat", "mdat", "moov")))
+    return table(spark, sf_dir, "documents").selectExpr(*[f"{v} AS {k}" for k, v in _FACTS.items()]).withColumn("types", F.when(F.col("file_id") % 4 == 0, split).otherwise(whole))
+
+
+@query(f"""
+WITH {_FACTS_SQL}, r AS (SELECT file_id, CASE WHEN fragmented THEN 'the file is fragmented' WHEN file_id % 4 = 0 THEN 'the file needs exactly one mdat box; found 2' WHEN trailing_bytes > 0 THEN 'the source already contains bytes outside its declared top-level boxes'
+  WHEN NOT has_video THEN 'there is no video track' WHEN wide_offsets THEN 'every chunk-offset table must use the observed 32-bit stco form' WHEN max_track_id > 2 THEN 'there is no room for both a cloned track_ID and the next_track_ID counter'
+  WHEN audio_tracks = 0 THEN 'there is no AAC audio track to clone' WHEN audio_tracks > 1 THEN 'the transform requires exactly one AAC audio track; found 2' WHEN audio_format <> 'mp4a' THEN 'the audio is ' || audio_codec || ', not AAC, so the exact replication does not apply'
+  WHEN audio_entries > 1 THEN 'the AAC track must contain exactly one sample description' WHEN audio_offsets <> 'stco' THEN 'the AAC track must use a 32-bit stco chunk-offset table' WHEN audio_samples = 0 OR audio_chunks = 0 THEN 'the AAC sample or chunk table is empty'
+  WHEN audio_samples * 992 + 36 > 268435456 THEN 'the observed table expansion would exceed the browser memory budget' ELSE '' END AS reason FROM facts)
+SELECT file_id, reason, reason = '' AS supported, reason = 'there is no AAC audio track to clone' OR reason LIKE 'the audio is %' AS needs_aac FROM r
+""")
+def observed_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark, sf_dir).select("file_id", steps.observed_reason().alias("reason"))
+    return rows.select("file_id", "reason", (F.col("reason") == "").alias("supported"), steps.needs_aac(F.col("reason")).alias("needs_aac"))
+
+
+_COPY_STEPS_SQL = "CASE WHEN reason = '' THEN 'Rewrite the index|Tag colour as Rec.709|Reference the payload, do not copy it' ELSE 'Use the transcoding engine|Copy streams|Tag colour as Rec.709|Move index to the front' END || CASE WHEN has_audio THEN '' ELSE '|No audio track' END"
+
+
+@query(f"""
+WITH {_FACTS_SQL}, r AS (SELECT *, CASE WHEN fragmented THEN 'the file is fragmented, which needs a real remuxer' WHEN file_id % 4 = 0 THEN 'media is split across 2 mdat boxes' ELSE '' END AS reason FROM facts)
+SELECT file_id, CASE WHEN reason = '' THEN 'native' ELSE 'ffmpeg' END AS engine, {_COPY_STEPS_SQL} AS steps, reason FROM r
+""")
+def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine and steps of a rewrite with colour tags."""
+    rows = _facts(spark, sf_dir).withColumn("reason", planner.rewrite_reason(F.col("types"), F.col("fragmented")))
+    labels = F.transform(steps.copy_steps(F.col("reason"), F.col("has_audio"), True), lambda s: s["label"])
+    return rows.select("file_id", F.when(F.col("reason") == "", "native").otherwise("ffmpeg").alias("engine"), F.array_join(labels, "|").alias("steps"), "reason")
