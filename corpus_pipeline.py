@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import char_models, exact_dedup, secret_scan, simhash_trees, tier_packing
+from reelframe.llm import char_models, exact_dedup, near_dedup, secret_scan, tier_packing
 from reelframe.llm.common import new_path, table
 
 
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash_trees.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (5-word shingles, Jaccard 0.8), that with the smallest doc_id."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("secrets", secrets), ("packing", packing)]
-#: Character models and SimHash have no form in SQL; tests/llm holds the rows against brute force.
+#: Character models and packing have no form in SQL; tests/llm holds the rows against brute force.
 ORACLE_SQL = None
 
 
