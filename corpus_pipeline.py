@@ -17,7 +17,10 @@ from reelframe.llm.common import new_path, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a character model of some language accepts; those with no letters, or unlike any language, go."""
     models = char_models.train(docs, F.lit(True))
-    return char_models.identify(docs, models).where("accepted").select(*docs.columns)
+    named = [f"_{k}" for k in range(len(docs.columns))]  # so that no result column replaces one of docs
+    at = dict(zip(docs.columns, named, strict=True))
+    kept = char_models.identify(docs.toDF(*named), models, at["doc_id"], at["text"]).where("accepted")
+    return kept.select(*named).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
