@@ -233,11 +233,11 @@ def train(df: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str
     """Learns from the rows of df where may_learn holds and lang_col is not null."""
     rows = df.where(may_learn & df[f"`{lang_col}`"].isNotNull() & df[f"`{text_col}`"].isNotNull())
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").alias("_text"), F.pmod(F.xxhash64(F.lit("language"), f"`{id_col}`"), F.lit(1 << 30)).alias("_draw"))
-    totals = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(500).collect()}
+    totals = rows.groupBy("_lang").count().collect()
     if not totals:
         return Identifier(order, {}, {}, {}, margin)
-    share = F.coalesce(*[F.when(F.col("_lang") == lang, F.lit(min(1 << 30, int((1 << 30) * per_language / n)))) for lang, n in totals.items()], F.lit(0))
-    sample = rows.where(F.col("_draw") < share)
+    shares = df.sparkSession.createDataFrame([(r["_lang"], min(1 << 30, int((1 << 30) * per_language / r["count"]))) for r in totals], "_lang string, _share long")
+    sample = rows.join(F.broadcast(shares), "_lang").where("_draw < _share").drop("_share")
     calibrates = F.col("_draw") % CALIBRATION == 0
     counts: dict[str, dict[str, int]] = {}
     for r in _grams(sample.where(~calibrates), order).toLocalIterator():
@@ -255,8 +255,8 @@ def train(df: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str
 
     seen = sample.where(calibrates).mapInPandas(measure, "lang string, h double, n long")
     mean = {r["lang"]: r["m"] for r in seen.groupBy("lang").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-    means = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(m)) for lang, m in mean.items()], F.lit(0.0))
-    excess = {r["lang"]: r["x"] for r in seen.groupBy("lang").agg(F.max((F.col("h") - means) * F.sqrt("n")).alias("x")).collect()}
+    means = df.sparkSession.createDataFrame(list(mean.items()), "lang string, m double")
+    excess = {r["lang"]: r["x"] for r in seen.join(F.broadcast(means), "lang").groupBy("lang").agg(F.max((F.col("h") - F.col("m")) * F.sqrt("n")).alias("x")).collect()}
     models.mean = {lang: mean.get(lang, 20.0) for lang in names}
     models.excess = {lang: max(0.0, excess.get(lang, 0.0)) for lang in names}
     return models
