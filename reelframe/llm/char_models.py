@@ -7,8 +7,9 @@ probability, for contexts their weight of the order below.  A text's language is
 per character.
 
 Rejection is calibrated on training documents that the models did not see: the cross-entropy of a text of n characters
-under its best model may exceed the language's mean by `margin` times the largest excess, times square root of n, of
-any calibration document, and by REJECT_FLOOR nats at least.  Texts without letters are rejected always.
+under its best model may exceed the language's mean by `margin` times the EXCESS quantile of what calibration documents
+exceed it by, times square root of n, and by REJECT_FLOOR nats at least.  A quantile, since one outlier would set the
+largest.  Texts without letters are rejected always.
 
 Training takes a bounded sample: about `per_language` documents of each language, drawn by hash from all that may be
 learned from.  Counting runs on Spark; the driver gets the sample's distinct n-grams.
@@ -38,6 +39,7 @@ ORDER = 4
 PER_LANGUAGE = 600
 CALIBRATION = 4  # one training document in so many calibrates
 MARGIN = 2.0
+EXCESS = 0.98
 REJECT_FLOOR = 0.5
 DISCOUNT = 0.75
 BLANK = " "
@@ -146,7 +148,7 @@ def fit(counts: dict[str, int], order: int = ORDER, discount: float = DISCOUNT)
 
 @dataclass
 class Identifier:
-    """Models by language, with the mean cross-entropy and the largest scaled excess of calibration documents."""
+    """Models by language, with the mean cross-entropy and a high quantile of the scaled excess of calibration documents."""
 
     order: int
     models: dict[str, Model]
@@ -256,7 +258,7 @@ def train(df: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str
     seen = sample.where(calibrates).mapInPandas(measure, "lang string, h double, n long")
     mean = {r["lang"]: r["m"] for r in seen.groupBy("lang").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("m")).collect()}
     means = df.sparkSession.createDataFrame(list(mean.items()), "lang string, m double")
-    excess = {r["lang"]: r["x"] for r in seen.join(F.broadcast(means), "lang").groupBy("lang").agg(F.max((F.col("h") - F.col("m")) * F.sqrt("n")).alias("x")).collect()}
+    excess = {r["lang"]: r["x"] for r in seen.join(F.broadcast(means), "lang").groupBy("lang").agg(F.percentile((F.col("h") - F.col("m")) * F.sqrt("n"), EXCESS).alias("x")).collect()}
     models.mean = {lang: mean.get(lang, 20.0) for lang in names}
     models.excess = {lang: max(0.0, excess.get(lang, 0.0)) for lang in names}
     return models
