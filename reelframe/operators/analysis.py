@@ -1,7 +1,7 @@
 """From boxes to tracks, from tracks to one report a file.
 
 Defined results: a track without mdhd or hdlr is counted as skipped and has no row; a file without moov, mvhd or
-tracks has a report with the reason in `error`.  Where a path occurs more than once in a track, the first counts.
+tracks, or with a malformed box in its moov, has a report with the reason in `error`.  Where a path occurs more than once in a track, the first counts.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def reports(files: DataFrame, boxes: DataFrame, found: DataFrame | None = None)
     layout = boxes.groupBy("file_id").agg(
         F.min(F.when(top & (kind == "moov"), F.col("child_ordinal"))).alias("moov"), F.min(F.when(top & kind.isin("mdat", "moof"), F.col("child_ordinal"))).alias("media"),
         F.max(F.coalesce((top & (kind == "moof")) | (plain_path(F.col("path")) == "moov/mvex"), F.lit(False))).alias("fragmented"), F.max(top & F.col("large")).alias("large"), F.max(F.when(top, F.col("end"))).alias("last"),
-        F.count_if(top & (kind == "mdat")).alias("mdats"), F.count_if(plain_path(F.col("path")) == "moov/trak").alias("traks"),
+        F.min("error").alias("damage"), F.count_if(top & (kind == "mdat")).alias("mdats"), F.count_if(plain_path(F.col("path")) == "moov/trak").alias("traks"),
         F.min_by("payload", F.when(top & (kind == "ftyp"), F.col("node_id"))).alias("ftyp"), F.min_by("payload", F.when(plain_path(F.col("path")) == "moov/mvhd", F.col("node_id"))).alias("mvhd"),
         F.transform(F.array_sort(F.collect_list(F.when(top, F.struct("child_ordinal", "type")))), lambda x: x["type"]).alias("types"),
     )
@@ -117,7 +117,7 @@ def reports(files: DataFrame, boxes: DataFrame, found: DataFrame | None = None)
     rows = files.select("file_id", "file_size").join(layout, "file_id", "left").join(main, "file_id", "left").join(encoder_tags(boxes), "file_id", "left")
     rows = rows.withColumn("brand", decoders.brand(F.col("ftyp"))).withColumn("movie_seconds", decoders.clock(F.col("mvhd"))["seconds"])
     v, a, none = F.col("video"), F.col("audio"), F.coalesce("tracks", F.lit(0))
-    error = F.when(F.col("types").isNull(), "no boxes").when(F.col("moov").isNull(), "no moov box").when(F.col("mvhd").isNull(), "no mvhd box").when(none == 0, "no readable tracks")
+    error = F.when(F.col("types").isNull(), "no boxes").when(F.col("moov").isNull(), "no moov box").when(F.col("damage").isNotNull(), F.col("damage")).when(F.col("mvhd").isNull(), "no mvhd box").when(none == 0, "no readable tracks")
     hint = ~F.col("fragmented") & F.arrays_overlap(F.concat(F.array(F.col("brand.major")), F.col("brand.compatible")), F.array(*[F.lit(b) for b in FRAGMENT_BRANDS]))
     notes = F.array_compact(F.array(F.when(F.col("ftyp").isNull(), "no brand"), F.when(F.col("traks") > none, "skipped a track"), F.when(hint, "brand of a streaming layout"), F.when(F.col("mdats") > 1, F.concat(F.lit("media in parts: "), F.col("mdats").cast("string")))))
     return rows.select(

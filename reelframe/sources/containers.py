@@ -8,17 +8,18 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Boxes that hold boxes, and the deepest level.
+#: Boxes that hold boxes, the deepest level, and how many boxes a file may have at the top.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "udta", "dinf", "mvex", "moof", "traf", "ilst", "meta"}
 MAX_DEPTH, MAX_TOP_LEVEL = 32, 4096
 NO_PAYLOAD = {"mdat", "free", "skip", "wide"}
 ACCEPTED_TYPES, ACCEPTED_NAME, INTAKE = ("video/mp4", "video/quicktime", "video/x-m4v"), r"\.(mp4|mov|m4v)$", 8
-BOXES = "file_id string, node_id int, parent_id int, depth int, child_ordinal int, path string, type string, start long, size long, header_size int, end long, large boolean"
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+BOXES = "file_id string, node_id int, parent_id int, depth int, child_ordinal int, path string, type string, start long, size long, header_size int, end long, large boolean, error string"
 
 
 def fourcc(raw: bytes) -> str:
@@ -41,51 +42,122 @@ def header(raw: bytes, room: int) -> tuple[str, int, int, bool] | None:
     return (fourcc(kind), size, head, large) if head <= size <= room else None
 
 
-def headers(data: bytes, start: int, end: int, most: int = MAX_TOP_LEVEL) -> Iterator[tuple[str, int, int, int, bool]]:
-    """(type, start, size, header size, large) of neighbouring boxes; ends at the first malformed size."""
-    for _ in range(most):
+class Malformed(ValueError):
+    """What is wrong with a tree of boxes that has to be whole."""
+
+
+def headers(data: bytes, start: int, end: int, most: int | None = None, strict: bool = False, base: int = 0) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(type, start, size, header size, large) of neighbouring boxes, `most` of them if given.
+
+    A malformed size ends them, or is Malformed if strict; base is added to the offset that is named then.  Up to seven
+    bytes behind the last box have no room for another one and are left alone.
+    """
+    count = 0
+    while end - start >= 8 and (most is None or count < most):
         found = header(data[start : min(end, start + 16)], end - start)
         if found is None:
+            if strict:
+                raise Malformed(f"malformed '{fourcc(data[start + 4 : start + 8])}' box at offset {base + start}, where {end - start} byte(s) are left")
             return
         kind, size, head, large = found
         yield kind, start, size, head, large
-        start += size
+        start, count = start + size, count + 1
 
 
-def walk(data: bytes) -> Iterator[tuple]:
-    """All boxes in pre-order as (node, parent, depth, ordinal, path, type, start, size, header size, end, large)."""
-    node = 0
-    waiting = [(*h, -1, 0, k, "") for k, h in enumerate(headers(data, 0, len(data)))][::-1]
+def inner_start(data: bytes, first: int, end: int) -> int:
+    """Where the boxes within a meta begin: behind four bytes of version and flags, unless it has the plain form."""
+    plain = end - first >= 12 and data[first + 4 : first + 8] in (b"hdlr", b"ilst", b"keys")
+    return first if plain else min(first + 4, end)
+
+
+def _below(data: bytes, node: int, box: tuple, path: str, depth: int, above: str, strict: bool, base: int) -> Iterator[tuple]:
+    """box, which lies at `depth` in a box of type `above`, and all boxes within, in pre-order."""
+    waiting = [(*box, -1, depth, path, above)]
     while waiting:
-        kind, start, size, head, large, parent, depth, ordinal, above = waiting.pop()
-        path = f"{above}/{kind}[{ordinal}]" if above else f"{kind}[{ordinal}]"
-        yield node, parent, depth, ordinal, path, kind, start, size, head, start + size, large
-        if (kind in CONTAINERS or above.rsplit("/", 1)[-1].startswith("ilst[")) and depth < MAX_DEPTH:
-            first = start + head
-            if kind == "meta" and data[first + 4 : first + 8] not in (b"hdlr", b"ilst", b"keys"):
-                first += 4  # the full-box form
-            waiting += [(*h, node, depth + 1, k, path) for k, h in enumerate(headers(data, first, start + size))][::-1]
+        kind, start, size, head, large, parent, depth, path, above = waiting.pop()
+        ordinal = int(path[path.rindex("[") + 1 : -1])
+        yield node, parent, depth, ordinal, path, kind, base + start, size, head, base + start + size, large, None
+        if kind != "stsd" and (kind in CONTAINERS or above == "ilst"):
+            if depth > MAX_DEPTH:
+                if strict:
+                    raise Malformed(f"boxes are nested more than {MAX_DEPTH} levels deep")
+            else:
+                end = start + size
+                first = inner_start(data, start + head, end) if kind == "meta" and above != "ilst" else start + head
+                inside = headers(data, first, end, None, strict, base)
+                waiting += [(*h, node, depth + 1, f"{path}/{h[0]}[{k}]", kind) for k, h in enumerate(inside)][::-1]
         node += 1
 
 
-def boxes(files: DataFrame, key: str = "file_id", content: str = "content", payloads: bool = False) -> DataFrame:
+def tree(data: bytes, box: tuple, node: int = 0, ordinal: int = 0, strict: bool = True, base: int = 0) -> list[tuple]:
+    """The top-level box of a header and all boxes within, numbered from node.
+
+    A moov is parsed strictly, as nothing in a damaged index can be trusted: if anything in it is malformed, it has one
+    row with the reason and none for what it holds.
+    """
+    rows = _below(data, node, box, f"{box[0]}[{ordinal}]", 0, "", strict and box[0] == "moov", base)
+    try:
+        return list(rows)
+    except Malformed as why:
+        kind, start, size, head, large = box
+        return [(node, -1, 0, ordinal, f"{kind}[{ordinal}]", kind, base + start, size, head, base + start + size, large, str(why))]
+
+
+def walk(data: bytes, strict: bool = True) -> Iterator[tuple]:
+    """All boxes in pre-order as (node, parent, depth, ordinal, path, type, start, size, header size, end, large, error)."""
+    node = 0
+    for k, box in enumerate(headers(data, 0, len(data), MAX_TOP_LEVEL)):
+        found = tree(data, box, node, k, strict)
+        yield from found
+        node += len(found)
+
+
+def has_payload(kind: str) -> bool:
+    return kind not in CONTAINERS and kind not in NO_PAYLOAD
+
+
+class Rows:
+    """Rows gathered into Arrow batches of bounded size, however many or few come from one file."""
+
+    def __init__(self, schema: str, most_rows: int = 20_000, most_bytes: int = 32 << 20) -> None:
+        self.schema = pa.schema([(name, ARROW[kind]) for name, kind in (column.split() for column in schema.split(", "))])
+        self.most_rows, self.most_bytes, self.rows, self.bytes = most_rows, most_bytes, [], 0
+
+    def add(self, rows: list[tuple], size: int = 0) -> Iterator[pa.RecordBatch]:
+        self.rows += rows
+        self.bytes += size
+        if len(self.rows) >= self.most_rows or self.bytes >= self.most_bytes:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = zip(*self.rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        self.rows, self.bytes = [], 0
+
+
+def boxes(files: DataFrame, key: str = "file_id", content: str = "content", payloads: bool = False, strict: bool = True) -> DataFrame:
     """One row for each box of each file, as BOXES; with payloads, also the bytes of leaves other than media and padding.
 
-    A null content has no boxes, as has one that begins with a malformed size.
+    A null content has no boxes, as has one that begins with a malformed size.  A moov that is malformed anywhere has
+    one row with the reason in `error` and no boxes within; with strict off, it has those before the malformed one.
     """
     schema = BOXES + (", payload binary" if payloads else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema)
         for batch in batches:
-            for name, data in zip(batch[key], batch[content], strict=True):
-                rows = [(str(name), *row) for row in walk(data)] if data is not None else []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                if data is None:
+                    continue
+                rows = [(name, *row) for row in walk(data, strict)]
                 if payloads:
-                    rows = [(*r, None if r[6] in CONTAINERS or r[6] in NO_PAYLOAD else data[r[7] + r[9] : r[10]]) for r in rows]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    rows = [(*r, data[r[7] + r[9] : r[10]] if has_payload(r[6]) else None) for r in rows]
+                yield from out.add(rows, len(data) if payloads else 0)
+        yield from out.rest()
 
-    return files.select(key, content).mapInPandas(run, schema)
+    return files.select(F.col(key).cast("string"), content).mapInArrow(run, schema)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

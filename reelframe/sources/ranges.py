@@ -12,12 +12,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.sources.containers import BOXES, CONTAINERS, MAX_TOP_LEVEL, NO_PAYLOAD, accepted, header, walk
+from reelframe.sources.containers import BOXES, CONTAINERS, MAX_TOP_LEVEL, Rows, accepted, has_payload, header, tree
 from reelframe.sources.rewrites import Declined, laid_out
 
 WRITTEN = "file_id string, path string, bytes long, offsets_moved long, passes int, error string"
@@ -48,32 +48,34 @@ def _scan(file, size: int) -> Iterator[tuple[str, int, int, int, bool]]:
         start += n
 
 
-def boxes(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """The rows of containers.boxes, of which media and padding are never read."""
+def boxes(files: DataFrame, payloads: bool = False, strict: bool = True) -> DataFrame:
+    """The rows of containers.boxes, of which media and padding are never read; a box that is cut short has an error."""
     schema = BOXES + (", payload binary" if payloads else "")
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(name: str) -> list[tuple]:
+        store, path = _place(name)
+        rows: list[tuple] = []
+        with store.open_input_file(path) as file:
+            for k, (kind, start, size, head, large) in enumerate(_scan(file, file.size())):
+                if kind in CONTAINERS or kind == "ftyp":
+                    file.seek(start)
+                    data = file.read(size)
+                    if len(data) == size:
+                        rows += [(name, *r, *[data[r[6] - start + r[8] : r[9] - start] if has_payload(r[5]) else None] * payloads) for r in tree(data, (kind, 0, size, head, large), len(rows), k, strict, start)]
+                        continue
+                short = f"{len(data)} of {size} bytes could be read" if kind in CONTAINERS or kind == "ftyp" else None
+                rows.append((name, len(rows), -1, 0, k, f"{kind}[{k}]", kind, start, size, head, start + size, large, short, *[None] * payloads))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema)
         for batch in batches:
-            for name in batch["file_id"]:
-                store, path = _place(name)
-                rows, node = [], 0
-                with store.open_input_file(path) as file:
-                    for k, (kind, start, size, head, large) in enumerate(_scan(file, file.size())):
-                        if kind not in CONTAINERS and kind != "ftyp":
-                            rows.append((name, node, -1, 0, k, f"{kind}[{k}]", kind, start, size, head, start + size, large, *[None] * payloads))
-                            node += 1
-                            continue
-                        file.seek(start)
-                        data, first = file.read(size), node
-                        for n, parent, depth, nth, way, sort, at, length, skip, end, wide in walk(data):
-                            body = [None if sort in CONTAINERS or sort in NO_PAYLOAD else data[at + skip : end]] * payloads
-                            rows.append((name, first + n, parent + first if parent >= 0 else -1, depth, nth if depth else k, f"{kind}[{k}]{way[len(kind) + 3 :]}", sort, start + at, length, skip, start + end, wide, *body))
-                            node = first + n + 1
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return files.select("file_id").mapInPandas(run, schema)
+            for name in batch.column(0).to_pylist():
+                rows = rows_of(name)
+                yield from out.add(rows, sum(len(r[-1] or b"") for r in rows) if payloads else 0)
+        yield from out.rest()
+
+    return files.select("file_id").mapInArrow(run, schema)
 
 
 def write_rewrites(files: DataFrame, folder: str, suffix: str = "remuxed", retag: bool = False) -> DataFrame:
@@ -86,7 +88,6 @@ def write_rewrites(files: DataFrame, folder: str, suffix: str = "remuxed", retag
 
     base = F.regexp_extract("file_id", r"([^/]*)$", 1)
     named = files.select("file_id", F.col("output_name") if "output_name" in files.columns else output_name(base, suffix).alias("output_name"))
-    columns = [c.split()[0] for c in WRITTEN.split(", ")]
 
     def one(name: str, out: str) -> tuple:
         store, path = _place(name)
@@ -109,9 +110,11 @@ def write_rewrites(files: DataFrame, folder: str, suffix: str = "remuxed", retag
             target.move(whole, place)
         return name, f"{folder.rstrip('/')}/{out}", len(front) + size, moved, turns, None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = Rows(WRITTEN)
         for batch in batches:
-            for name, out in zip(batch["file_id"], batch["output_name"], strict=True):
-                yield pd.DataFrame([one(name, out)], columns=columns).astype({"bytes": "Int64", "offsets_moved": "Int64", "passes": "Int32"})
+            for name, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from done.add([one(name, out)])
+        yield from done.rest()
 
-    return named.mapInPandas(run, WRITTEN)
+    return named.mapInArrow(run, WRITTEN)

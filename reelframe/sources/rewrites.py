@@ -3,6 +3,9 @@
 Each file is rewritten by itself, so the work spreads over the files and nothing shuffles.  The media bytes stay as
 they are; only the index before them is built anew, with chunk offsets moved by as much as the media moves.
 
+Nothing is guessed: a file whose moov has a malformed box anywhere is declined, and the offsets of a new index are read
+again and compared with the source's before it is handed on.
+
 Defined results: a file that cannot be rewritten has null content and the reason in `error`; a null content too.
 """
 
@@ -11,10 +14,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from reelframe.sources.containers import CONTAINERS, MAX_DEPTH, headers
+from reelframe.sources.containers import CONTAINERS, MAX_DEPTH, MAX_TOP_LEVEL, Malformed, Rows, headers, inner_start, tree
 
 #: What tags BT.709 in limited range, the bytes of a visual sample entry before its boxes, layout passes.
 REC709 = b"nclx" + struct.pack(">HHHB", 1, 1, 1, 0)
@@ -55,18 +59,20 @@ def offsets(payload: bytes, wide: bool) -> tuple[int, ...]:
     return struct.unpack_from(f">{n}{'Q' if wide else 'I'}", payload, 8)
 
 
-def _index(data: bytes, start: int, end: int, shift: int, media: tuple[int, int], retag: bool, moved: list[int], depth: int = 1, above: str = "moov") -> bytes:
-    """The boxes from start to end with offsets shifted; moved gets the number of offsets of each table."""
+def _index(data: bytes, start: int, end: int, shift: int, media: tuple[int, int], retag: bool, moved: list[int], depth: int = 0, above: str = "moov") -> bytes:
+    """The boxes from start to end with offsets shifted; moved gets the number of offsets of each table.
+
+    Every byte lies in a well-formed box, but for up to seven behind the last one, which stay as they are.
+    """
     if depth > MAX_DEPTH:
         raise Declined("boxes are nested too deeply")
     parts, at = [], start
-    for kind, first, size, head, _ in headers(data, start, end):
+    for kind, first, size, head, _ in headers(data, start, end, strict=True):
         body, at = data[first + head : first + size], first + size
         name = data[first + 4 : first + 8]
         if kind in ("stco", "co64"):
             table = offsets(body, kind == "co64")
-            if any(not media[0] <= x < media[1] for x in table):
-                raise Declined("a chunk offset lies outside the media")
+            _within(table, *media, "a chunk offset")
             moved.append(len(table))
             placed = [x + shift for x in table]
             wide = max(placed, default=0) >= 1 << 32
@@ -74,7 +80,10 @@ def _index(data: bytes, start: int, end: int, shift: int, media: tuple[int, int]
             name = b"co64" if wide else b"stco"
         elif kind == "stsd" and retag:
             body = tagged(body)
-        elif kind in CONTAINERS and kind != "meta" and above != "ilst":
+        elif kind == "meta" and above != "ilst":
+            skip = inner_start(body, 0, len(body))
+            body = body[:skip] + _index(body, skip, len(body), shift, media, False, moved, depth + 1, kind)
+        elif kind != "stsd" and (kind in CONTAINERS or above == "ilst"):
             # Colours are tagged where the handler says video.
             video = retag and (kind != "trak" or b"vide" == _handler(body))
             body = _index(body, 0, len(body), shift, media, video, moved, depth + 1, kind)
@@ -83,6 +92,19 @@ def _index(data: bytes, start: int, end: int, shift: int, media: tuple[int, int]
     return b"".join(parts)
 
 
+def _within(table: tuple[int, ...], first: int, end: int, what: str) -> None:
+    if table and not first <= min(table) <= max(table) < end:
+        raise Declined(f"{what} lies outside the media")
+
+
+def offset_tables(moov: bytes) -> list[tuple[int, ...]]:
+    """The chunk-offset tables of a moov box, in order; Declined if any box in it is malformed."""
+    found = tree(moov, next(headers(moov, 0, len(moov), 1, strict=True)))
+    if found[0][-1]:
+        raise Declined(found[0][-1])
+    return [offsets(moov[r[6] + r[8] : r[9]], r[5] == "co64") for r in found if r[5] in ("stco", "co64")]
+
+
 def _handler(trak: bytes) -> bytes:
     for kind, first, size, head, _ in headers(trak, 0, len(trak)):
         if kind == "mdia":
@@ -112,34 +134,49 @@ def laid_out(top: list[tuple], read: Callable[[int, int], bytes], retag: bool =
     brand, moov = read(f0, fn), moovs[0]
     for turn in range(1, MAX_PASSES + 1):
         moved: list[int] = []
-        index = boxed(b"moov", _index(moov, mhead, len(moov), len(brand) + size - d0, (d0 + dhead, d0 + dn), retag, moved))
+        try:
+            index = boxed(b"moov", _index(moov, mhead, len(moov), len(brand) + size - d0, (d0 + dhead, d0 + dn), retag, moved))
+        except Malformed as why:
+            raise Declined(str(why)) from why
         if len(index) == size:
+            _verify(moov, index, len(brand) + size - d0, (len(brand) + size + dhead, len(brand) + size + dn))
             return brand + index, (d0, dn), sum(moved), turn
         size = len(index)
     raise Declined("the layout does not settle")
 
 
+def _verify(before: bytes, after: bytes, shift: int, media: tuple[int, int]) -> None:
+    """Reads the new index again: each offset has moved as the media has, and lies in it."""
+    old, new = offset_tables(before), offset_tables(after)
+    if [tuple(x + shift for x in table) for table in old] != new:
+        raise Declined("a rewritten chunk offset does not follow the media")
+    for table in new:
+        _within(table, *media, "a rewritten chunk offset")
+
+
 def rewritten(data: bytes, retag: bool = False) -> tuple[bytes, int, int]:
     """(content, number of chunk offsets, layout passes) of one file; Declined says why not."""
-    front, (start, size), moved, turns = laid_out(list(headers(data, 0, len(data))), lambda s, n: data[s : s + n], retag)
+    front, (start, size), moved, turns = laid_out(list(headers(data, 0, len(data), MAX_TOP_LEVEL)), lambda s, n: data[s : s + n], retag)
     return front + data[start : start + size], moved, turns
 
 
 def rewrite(files: DataFrame, retag: bool = False, key: str = "file_id", content: str = "content") -> DataFrame:
     """files rewritten, as REWRITTEN: one row a file."""
 
-    def one(name: object, data: bytes | None) -> tuple:
+    def one(name: str, data: bytes | None) -> tuple:
         try:
             if data is None:
                 raise Declined("no content")
-            return str(name), *rewritten(data, retag), None
+            return name, *rewritten(data, retag), None
         except Declined as why:
-            return str(name), None, None, None, str(why)
+            return name, None, None, None, str(why)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in REWRITTEN.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(REWRITTEN)
         for batch in batches:
-            for name, data in zip(batch[key], batch[content], strict=True):
-                yield pd.DataFrame([one(name, data)], columns=columns).astype({"offsets_moved": "Int64", "passes": "Int32"})
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = one(name, content.as_py())
+                yield from out.add([row], len(row[1] or b""))
+        yield from out.rest()
 
-    return files.select(key, content).mapInPandas(run, REWRITTEN)
+    return files.select(F.col(key).cast("string"), content).mapInArrow(run, REWRITTEN)

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from test_analysis import AUDIO, AVC, FTYP, MVHD, box, full, hdlr, mdhd, tkhd, u32, visual
 
 from reelframe.operators import analysis
@@ -61,3 +62,51 @@ def test_rewrite_over_a_frame(spark):
     assert rows["a"]["error"] is None and rows["b"]["content"] is None and rows["c"]["error"] == "no content" and rewrites.rewrite(files.limit(0)).count() == 0
     track = analysis.tracks(containers.boxes(made.where("error IS NULL"), payloads=True)).first()
     assert track["color"]["rec709"] and track["samples"] == 2 and track["timing_mode"] == "cfr"
+
+
+def two_tracks(between, filler=0):
+    """Two videos whose chunks lie in one mdat, with bytes between their traks; returns the file and where its media begins."""
+    def trak(number, place):
+        stbl = box(b"stbl", visual(b"avc1", box(b"avcC", AVC)), full(b"stts", u32(1, 1, 512)), full(b"stsz", u32(4, 1)), full(b"stco", u32(1, place)))
+        return box(b"trak", tkhd(number), box(b"mdia", mdhd(15360, 512), hdlr(b"vide"), box(b"minf", stbl)))
+
+    media = len(FTYP) + 8
+    return FTYP + box(b"mdat", b"AAAABBBB") + box(b"moov", MVHD, trak(1, media), between, trak(2, media + 4))
+
+
+def placed(data):
+    (moov,) = [data[s : s + n] for kind, s, n, _, _ in containers.headers(data, 0, len(data)) if kind == "moov"]
+    return [[data[o : o + 4] for o in table] for table in rewrites.offset_tables(moov)]
+
+
+def test_many_boxes_within_moov_are_all_rewritten(spark):
+    source = two_tracks(box(b"free") * 4200)
+    made, moved, _ = rewrites.rewritten(source)
+    assert placed(made) == placed(source) == [[b"AAAA"], [b"BBBB"]] and moved == 2
+    frame = spark.createDataFrame([("f", len(source), source)], "file_id string, file_size long, content binary")
+    assert analysis.tracks(containers.boxes(frame, payloads=True)).count() == 2
+
+
+@pytest.mark.parametrize("between", [b"\0\0\0\4free", b"\x7f\xff\xff\xfffree", b"\0\0\0\1free"])
+def test_a_malformed_index_is_declined_and_reported(spark, between):
+    source = two_tracks(between)
+    with pytest.raises(rewrites.Declined, match="malformed 'free' box at offset"):
+        rewrites.rewritten(source)
+    frame = spark.createDataFrame([("f", len(source), source)], "file_id string, file_size long, content binary")
+    boxes = containers.boxes(frame, payloads=True)
+    report = analysis.reports(frame, boxes).first()
+    assert report["error"].startswith("malformed 'free' box at offset") and report["tracks"] == 0
+    assert analysis.tracks(boxes).count() == 0 and boxes.where("error is not null").select("type").collect() == [("moov",)]
+    assert analysis.tracks(containers.boxes(frame, payloads=True, strict=False)).count() == 1
+
+
+def test_deep_nesting(spark):
+    def nested(n):
+        inner = b""
+        for _ in range(n):
+            inner = box(b"udta", inner)
+        return FTYP + box(b"moov", inner)
+
+    rows = spark.createDataFrame([(n, nested(n)) for n in (32, 33, 60)], "file_id int, content binary")
+    found = {r["file_id"]: (r["n"], r["e"]) for r in containers.boxes(rows).groupBy("file_id").agg(F.count("*").alias("n"), F.min("error").alias("e")).collect()}
+    assert found["32"] == (34, None) and found["33"][1].startswith("boxes are nested") and found["60"][0] == 2
