@@ -127,8 +127,8 @@ def op5_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest neighbours of each vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
-    index, shards = pruned_graph.build_index(vectors)
-    return pruned_graph.search(index, shards, vectors.where(F.col("vec_id") % 100 == 0))
+    index, cells = pruned_graph.build_index(vectors)
+    return pruned_graph.search(index, cells, vectors.where(F.col("vec_id") % 100 == 0))
 
 
 QUERIES["pipeline"] = corpus_pipeline.run

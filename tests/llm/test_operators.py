@@ -156,14 +156,14 @@ def test_graph_search_recall_and_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(k, [1.0, 0.0]) for k in range(0, 40)] + [(100, [0.0, 2.0]), (100, [0.0, 2.0]), (101, None), (102, [0.0, 0.0]), (103, [nan, 1.0]), (104, [inf, 1.0]), (105, [None, 1.0]), (None, [1.0, 1.0]), (200, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    index, shards = pruned_graph.build_index(df, shard_vectors=2)
+    index, cells = pruned_graph.build_index(df, shard_vectors=2)
     out = {}
-    for r in pruned_graph.search(index, shards, df.where("vec_id % 100 = 0")).collect():
+    for r in pruned_graph.search(index, cells, df.where("vec_id % 100 = 0")).collect():
         out.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
     assert [out[0][k] for k in range(1, 11)] == list(range(1, 11)) and [out[100][k] for k in range(1, 11)] == list(range(10))
     assert 200 not in out
-    index, shards = pruned_graph.build_index(df.limit(0))
-    assert pruned_graph.search(index, shards, df).count() == 0
+    index, cells = pruned_graph.build_index(df.limit(0))
+    assert pruned_graph.search(index, cells, df).count() == 0
 
 
 def test_language_accuracy_and_cases(spark):
