@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections import Counter
@@ -31,6 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from reelframe.llm.common import cut, new_path, packed
 from reelframe.llm.piece_cache import _ODD_SPACE, PieceCache, byte_symbols, drops_spaces
@@ -42,6 +44,19 @@ YIELD_ROWS = 256
 LONG_WORD = 64
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Matches a character that has no category in Python's Unicode tables."""
+    spans: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
 class Vocabulary:
     """A tokenizer file: how a text becomes words and a word becomes ids, by exact merges."""
 
@@ -60,10 +75,19 @@ class Vocabulary:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.table = str.maketrans({b: c for b, c in enumerate(byte_symbols())})
+        self.bytes = {c: b for b, c in enumerate(byte_symbols())}
+        self.library = Tokenizer.from_file(path)
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
 
     def normal_words(self, text: str) -> list[str]:
-        """The words of a text without added tokens.  Lower case goes character by character, so a final sigma stays plain."""
+        """The words of a text without added tokens.  Lower case goes character by character, so a final sigma stays plain.
+
+        A text with a character that Python's Unicode tables do not know is cut by the library's normaliser and
+        pre-tokeniser, whose tables may be newer.
+        """
+        if not text.isascii() and unassigned().search(text):
+            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.bytes.__getitem__, symbols)).decode() for symbols, _ in cut]
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merged(self, word: str) -> list[int]:

@@ -42,6 +42,24 @@ def test_any_text(texts):
         assert [array("I", x).tobytes() for x in ids] == list(piece_cache.library_cache(path).encode(texts))
 
 
+def test_transducer_agrees_with_the_library_on_every_character():
+    cache = transducer_bpe.TransducerCache(transducer_bpe.vocabulary(WORD), transducer_bpe.Transducer.compiled({"a": transducer_bpe.vocabulary(WORD).merged("a")}))
+    library = expected(WORD, [])[0]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}b" for c in points[at : at + 50_000]]
+        want = [array("I", e.ids).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert want == list(cache.encode(texts))
+        cache.known.clear()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(list(" \n\t,.'<|>aeéΣ\x1c\u0558\u1c89\ua7cb\u0301")) | st.characters(categories=["Cn"]), max_size=40), min_size=1, max_size=4))
+def test_transducer_agrees_with_the_library_on_any_text(texts):
+    cache = transducer_bpe.TransducerCache(transducer_bpe.vocabulary(WORD), transducer_bpe.Transducer.compiled({"a": transducer_bpe.vocabulary(WORD).merged("a")}))
+    assert [array("I", x).tobytes() for x in expected_cached(WORD, texts)[1]] == list(cache.encode(texts))
+
+
 _loaded = {}
 
 
