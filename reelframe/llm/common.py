@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; on one machine, a new one where that is unset."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelframe-"))
     return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -33,6 +35,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any store that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, where the loss of an executor does no harm."""
     shared_dir(df.sparkSession)

@@ -1,12 +1,14 @@
 """Exact deduplication by two passes over a Bloom filter, with DataFrame functions only.
 
-Pass 1 sets two slots for each text's 64-bit hash and keeps the slots that were set more than once.  A text of which
-another copy exists has both its slots among them, so pass 2 lets a row pass straight through unless both are there.
-Only the rows that may be repeated shuffle, to be compared by SHA-256.  Groups of more than a HOT_GROUPS-th of all
-rows, of which there are fewer than HOT_GROUPS, reach their rows by a broadcast, so no task gets a whole large group.
+Pass 1 gives each text's 64-bit hash a word of the filter and two bits in it.  What is entered in one task is combined
+there, so one row for each hash and task is exchanged; a hash that was entered more than once has its bits set in the
+filter.  Pass 2 lets a row pass straight through unless both its bits are set in its word.  Only the rows that may be
+repeated shuffle, to be compared by SHA-256.  Groups of more than a HOT_GROUPS-th of all rows, of which there are fewer
+than HOT_GROUPS, reach their rows by a broadcast, so no task gets a whole large group.
 
-The filter holds at most max_bits bits, so its broadcast is bounded by max_bits / 64 rows of 16 bytes.  With more rows
-than it has room for, more rows shuffle; the result stays the same.
+The filter has BITS_PER_ROW bits for each row, at any size, of which only words with a set bit are kept: a row of 16
+bytes for each repeated text at most.  It is broadcast.  Where that would be more than max_words words, the filter is
+folded: words that are equal in their low bits become one, so more rows shuffle and the result stays the same.
 
 Defined results: a null text counts as empty, empty texts are equal to each other, and no normalisation happens.  A
 null id never stays when its group has another id.  Rows that repeat both id and text count in group_size;
@@ -19,55 +21,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import packed, unpacked
+from reelframe.llm.common import cut, packed, unpacked
 
 OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
-MAX_BITS = 1 << 26
+MAX_WORDS = 1 << 22
 BITS_PER_ROW = 16
 HOT_GROUPS = 1024
 
 
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    """The filter's size: a power of two of at least BITS_PER_ROW bits a row, at most max_bits."""
-    return min(max_bits, max(1 << 10, 1 << (BITS_PER_ROW * max(1, rows) - 1).bit_length()))
+def filter_bits(rows: int) -> int:
+    """The filter's size: a power of two of at least BITS_PER_ROW bits a row, up to the bits that a hash can choose from."""
+    return min(1 << 57, max(1 << 10, 1 << (BITS_PER_ROW * max(1, rows) - 1).bit_length()))
 
 
-def _slots(hashed: Column, bits: int) -> list[Column]:
-    mask = F.lit(bits - 1).cast("long")
-    return [hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask)]
+def _word(hashed: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(hashed.bitwiseAND(F.lit(bits - 1).cast("long")), 6)
 
 
-def _word(slot: Column) -> Column:
-    return F.shiftrightunsigned(slot, 6)
+def _bits(hashed: Column) -> Column:
+    """Two bits of a word, by the lowest and the highest six bits of the hash."""
+    one = F.lit(1).cast("long")
+    low, high = hashed.bitwiseAND(F.lit(63)), F.shiftrightunsigned(hashed, 58)
+    return F.call_function("shiftleft", one, low.cast("int")).bitwiseOR(F.call_function("shiftleft", one, high.cast("int")))
 
 
-def _bit(slot: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+def repeat_filter(hashes: DataFrame, bits: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+    """Pass 1: (word, mask) of what more than one row of the column _hash has entered, and the bits left after folding."""
+    entered = hashes.groupBy(_word(F.col("_hash"), bits).alias("word"), _bits(F.col("_hash")).alias("mask")).count().where("count > 1")
+    words = cut(entered.groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    if words.count() > max_words:
+        bits = min(bits, max_words * 64)
+        words = words.groupBy(_word(F.shiftleft("word", 6), bits).alias("word")).agg(F.bit_or("mask").alias("mask"))
+    return words, bits
 
 
-def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: (word, mask) of the slots that more than one entry of the column _hash has set."""
-    slots = hashes.select(F.explode(F.array(*_slots(F.col("_hash"), bits))).alias("slot"))
-    again = slots.groupBy("slot").count().where("count > 1")
-    return again.groupBy(_word(F.col("slot")).alias("word")).agg(F.bit_or(_bit(F.col("slot"))).alias("mask"))
-
-
-def with_repeat_flag(rows: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
+def with_repeat_flag(rows: DataFrame, count: int, max_words: int = MAX_WORDS) -> DataFrame:
     """rows (with _text, `count` of them) and _maybe: false where no other row can have an equal text."""
     hashed = rows.withColumn("_hash", F.xxhash64("_text"))
-    bits = filter_bits(count, max_bits)
-    words = repeat_filter(hashed.select("_hash"), bits)
-    for k, slot in enumerate(_slots(F.col("_hash"), bits)):
-        side = F.broadcast(words.select(F.col("word").alias(f"_word{k}"), F.col("mask").alias(f"_mask{k}")))
-        hashed = hashed.join(side, F.col(f"_word{k}") == _word(slot), "left")
-        hashed = hashed.withColumn(f"_set{k}", F.coalesce(F.col(f"_mask{k}").bitwiseAND(_bit(slot)) != 0, F.lit(False)))
-    return hashed.withColumn("_maybe", F.col("_set0") & F.col("_set1")).select(*rows.columns, "_maybe")
+    words, bits = repeat_filter(hashed.select("_hash"), filter_bits(count), max_words)
+    side = F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
+    met = hashed.join(side, F.col("_word") == _word(F.col("_hash"), bits), "left")
+    own = _bits(F.col("_hash"))
+    return met.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(own) == own, F.lit(False))).select(*rows.columns, "_maybe")
 
 
-def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_bits: int, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
+def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_words: int, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = packed(df, text_col, id_col, outputs, carry)
     count = rows.count()
-    flagged = with_repeat_flag(rows, count, max_bits)
+    flagged = with_repeat_flag(rows, count, max_words)
     digest = flagged.select("_id", "_row", "_maybe", F.sha2("_text", 256).alias("_sha"))
     maybe = digest.where("_maybe")
     groups = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
@@ -87,14 +88,14 @@ def _result(rows: DataFrame) -> DataFrame:
     return unpacked(rows, keep_id=F.col("_keep"), group_size=F.col("_size"), kept=F.col("_id").eqNullSafe(F.col("_keep")), text_sha256=F.col("_sha"))
 
 
-def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """Every row of df with keep_id, group_size, kept and text_sha256; of equal texts the largest id stays."""
-    passed, compared = _parts(df, id_col, text_col, carry, max_bits, OUTPUTS)
+    passed, compared = _parts(df, id_col, text_col, carry, max_words, OUTPUTS)
     return _result(passed.unionByName(compared))
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """One row for each distinct text, with the columns of df."""
-    passed, compared = _parts(df, id_col, text_col, None, max_bits, [])
+    passed, compared = _parts(df, id_col, text_col, None, max_words, [])
     stays = compared.where(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
     return unpacked(passed.unionByName(stays))
