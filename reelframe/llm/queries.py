@@ -38,8 +38,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets by the base rules, each distinct text scanned once."""
-    found, _ = secret_scan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    """Secrets by the base rules, each distinct text scanned once, through a ledger that this query writes to the shared folder."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"], ledger=new_path(spark, "ledger"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
