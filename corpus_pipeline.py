@@ -35,12 +35,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; found secrets are masked in the text, and n_chars follows."""
-    found, _ = secret_scan.scan(docs, carry=[])
-    held = found.where("spans <> ''").select(F.col("blob").alias("_blob")).distinct()
-    marked = docs.join(held, F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_blob"), "left")
-    out = marked.withColumn("text", F.when(F.col("_blob").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"))))
+    flag = next(f"_{k}" for k in range(len(docs.columns) + 1) if f"_{k}" not in docs.columns)
+    out = secret_scan.redact(docs, changed=flag)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_blob").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(F.col(flag), F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
