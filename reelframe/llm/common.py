@@ -47,6 +47,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+HOT_GROUPS = 1024
+BROADCAST_IDS = 2_000_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "_size", hot_groups: int | None = None) -> DataFrame:
+    """rows with the other columns of groups, null where there is none; no task gets a whole large group.
+
+    groups has one row for each key and, in the column `size`, how many of the `total` rows have it.  The keys of more
+    than a HOT_GROUPS-th of them, fewer than HOT_GROUPS, reach their rows by a broadcast; these rows then take keys of
+    their own, which meet nothing and spread.
+    """
+    names = [c for c in groups.columns if c not in (key, size)]
+    hot = groups.where(F.col(size) > F.lit(total // (hot_groups or HOT_GROUPS))).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) + 1
+    marked = marked.withColumn("_own", F.when(F.col("_hot_key").isNull(), F.lit(0).cast("long")).otherwise(own))
+    # zero, but not a constant, which would be taken out of the join
+    rest = groups.select(F.col(key).alias("_rest_key"), F.pmod(F.xxhash64(key), F.lit(1).cast("long")).alias("_rest_own"), F.struct(*names).alias("_rest"))
+    met = marked.join(rest, (F.col(key) == F.col("_rest_key")) & (F.col("_own") == F.col("_rest_own")), "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col("_hot").getField(c), F.col("_rest").getField(c)).alias(c) for c in names])
+
+
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, kept in the shared folder, to be broadcast if it has at most `most` rows; they should be short ones."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def packed(df: DataFrame, text_col: str, id_col: str, outputs: list[str], carry: list[str] | None = None) -> DataFrame:
     """_id, _text (null becomes empty) and _row, a struct of the carried columns that no result column replaces."""
     taken = {name.lower() for name in outputs}

@@ -1,32 +1,38 @@
-"""Connected components of an edge table by alternating large and small stars, as in published work on MapReduce graphs."""
+"""Connected components of an edge table by alternating large and small stars, as in published work on MapReduce graphs.
+
+Defined results: edges from a node to itself and repeated ones are left out, so a node without another has no row; an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut
+from reelframe.llm.common import cut, meet
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of the edges (a, b) the smallest node that it can reach.
 
     Each round links every node to the smallest of its neighbours, first from below, then from above; a logarithmic
-    number of rounds leaves stars around the smallest nodes.  Minima are taken by aggregation, so a node with very many
-    edges costs one row a task.  Each round is cut off in the shared folder.
+    number of rounds leaves stars around the smallest nodes.  Minima are taken by aggregation and reach a node with very
+    many edges by a broadcast, so it costs no task more than others.  Each round is cut off in the shared folder.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, seen = cut(edges), None
-    while True:
+    edges = cut(edges)
+    state, seen = _state(edges), None
+    while state != seen and state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_size"))
+        large = cut(meet(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_size"))
+        moved = meet(large, least, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
+        state, seen = _state(edges), state
     ends = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -21,12 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, packed, unpacked
+from reelframe.llm.common import HOT_GROUPS, cut, meet, packed, unpacked
 
 OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
 MAX_WORDS = 1 << 22
 BITS_PER_ROW = 16
-HOT_GROUPS = 1024
 
 
 def filter_bits(rows: int) -> int:
@@ -49,20 +48,30 @@ def repeat_filter(hashes: DataFrame, bits: int, max_words: int = MAX_WORDS) -> t
     """Pass 1: (word, mask) of what more than one row of the column _hash has entered, and the bits left after folding."""
     entered = hashes.groupBy(_word(F.col("_hash"), bits).alias("word"), _bits(F.col("_hash")).alias("mask")).count().where("count > 1")
     words = cut(entered.groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    return folded(words, bits, max_words)
+
+
+def folded(words: DataFrame, bits: int, max_words: int) -> tuple[DataFrame, int]:
+    """The filter in at most max_words words, and its bits."""
     if words.count() > max_words:
         bits = min(bits, max_words * 64)
         words = words.groupBy(_word(F.shiftleft("word", 6), bits).alias("word")).agg(F.bit_or("mask").alias("mask"))
     return words, bits
 
 
+def in_filter(rows: DataFrame, hashed: str, words: DataFrame, bits: int) -> DataFrame:
+    """rows with _maybe: whether both bits of the column `hashed` are set."""
+    side = F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
+    own = _bits(F.col(hashed))
+    met = rows.join(side, F.col("_word") == _word(F.col(hashed), bits), "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(own) == own, F.lit(False))).drop("_word", "_mask")
+
+
 def with_repeat_flag(rows: DataFrame, count: int, max_words: int = MAX_WORDS) -> DataFrame:
     """rows (with _text, `count` of them) and _maybe: false where no other row can have an equal text."""
     hashed = rows.withColumn("_hash", F.xxhash64("_text"))
     words, bits = repeat_filter(hashed.select("_hash"), filter_bits(count), max_words)
-    side = F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    met = hashed.join(side, F.col("_word") == _word(F.col("_hash"), bits), "left")
-    own = _bits(F.col("_hash"))
-    return met.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(own) == own, F.lit(False))).select(*rows.columns, "_maybe")
+    return in_filter(hashed, "_hash", words, bits).select(*rows.columns, "_maybe")
 
 
 def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, max_words: int, outputs: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -71,17 +80,9 @@ def _parts(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None, m
     flagged = with_repeat_flag(rows, count, max_words)
     digest = flagged.select("_id", "_row", "_maybe", F.sha2("_text", 256).alias("_sha"))
     maybe = digest.where("_maybe")
-    groups = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    groups = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).withColumn("_rows", F.col("_size"))
     passed = digest.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"))
-    hot = groups.where(F.col("_size") > F.lit(count // HOT_GROUPS)).select("_sha", F.col("_keep").alias("_hot_keep"), F.col("_size").alias("_hot_size"))
-    marked = maybe.join(F.broadcast(hot), "_sha", "left")
-    # A row that has its answer takes a key of its own, which meets no group and spreads such rows.
-    own = F.concat(F.lit("-"), F.xxhash64("_id", F.monotonically_increasing_id()).cast("string"))
-    marked = marked.withColumn("_key", F.when(F.col("_hot_size").isNull(), F.col("_sha")).otherwise(own))
-    rest = groups.select(F.col("_sha").alias("_key"), "_keep", "_size")
-    met = marked.join(rest, "_key", "left")
-    answer = [F.coalesce(f"_hot{name}", name).alias(name) for name in ("_keep", "_size")]
-    return passed, met.select("_id", "_row", "_sha", *answer)
+    return passed, meet(maybe, groups, "_sha", count, "_rows", HOT_GROUPS).select("_id", "_row", "_sha", "_keep", "_size")
 
 
 def _result(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ ones meet in a shard.  A shard of one is dropped; a larger one becomes a BK-tree
 distance to the parent; a search follows only the edges within the radius.  A tree is built in the task to which its
 shard is dealt: broadcasting trees of all fingerprints would be without bound.  A shard of more than TREE_SIZE
 fingerprints is split by hash into several trees, each searched for the fingerprints of the others in blocks, so no
-task holds more than 2 * TREE_SIZE of them.
+task holds more than 2 * TREE_SIZE of them; one of more than CROWD trees is dealt into finer shards first.
 
 A tree reports one edge for each fingerprint of a local component, not all pairs; a search ends once it has met every
 local component.  The edges' connected components are the groups.
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, packed
+from reelframe.llm.common import cut, meet, packed, small
 from reelframe.llm.components import components
 
 OUTPUTS = ["fingerprint", "component_id"]
-SHINGLE_WORDS, SEED, RADIUS, BLOCKS, TREE_SIZE = 4, 42, 4, 6, 2048
+SHINGLE_WORDS, SEED, RADIUS, BLOCKS, TREE_SIZE, CROWD, CHOICE = 4, 42, 4, 6, 2048, 32, 40
 _ALL = (1 << 64) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -46,7 +46,11 @@ def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
     ends = [e + k for k, e in enumerate(accumulate(map(len, words)))]
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    hashed = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])] or [digest(joined, SEED)], np.uint64)  # noqa: B905
+    return combined(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])] or [digest(joined, SEED)], np.uint64))  # noqa: B905
+
+
+def combined(hashed: np.ndarray) -> int:
+    """The SimHash of shingles' hashes; zero of none."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashed), 1 << 16):
         part = hashed[k : k + (1 << 16)]
@@ -66,18 +70,31 @@ def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInPandas(run, "_id long, _fp long")
 
 
-def shard_keys(fp: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
-    """An array of the keys of the shards of a fingerprint."""
-    widths = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+def _blocks(fp: Column, blocks: int, bits: int) -> list[tuple[Column, int]]:
+    """(value, width) of each of the blocks into which the low bits of fp are cut."""
+    widths = [bits // blocks + (k < bits % blocks) for k in range(blocks)]
     offsets = [0, *accumulate(widths)]
-    values = [F.shiftrightunsigned(fp, offsets[k]).bitwiseAND(F.lit((1 << widths[k]) - 1)) for k in range(blocks)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key = F.lit(number).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, widths[k]).bitwiseOR(values[k])
-        keys.append(key)
-    return F.array(*keys)
+    return [(F.shiftrightunsigned(fp, offsets[k]).bitwiseAND(F.lit((1 << w) - 1)), w) for k, w in enumerate(widths)]
+
+
+def _joined(parts: list[tuple[Column, int]]) -> Column:
+    out = F.lit(0).cast("long")
+    for value, width in parts:
+        out = F.shiftleft(out, width).bitwiseOR(value)
+    return out
+
+
+def shard_keys(fp: Column, blocks: int = BLOCKS, radius: int = RADIUS, bits: int = 64) -> Column:
+    """An array of the keys of the shards of a fingerprint: the number of the choice of blocks above CHOICE, their bits below."""
+    cut_up = _blocks(fp, blocks, bits)
+    return F.array(*[F.lit(number << CHOICE).cast("long").bitwiseOR(_joined([cut_up[k] for k in chosen])) for number, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+
+
+def other_bits(fp: Column, key: Column) -> Column:
+    """The bits of fp that are not in the key of one of its shards."""
+    cut_up = _blocks(fp, BLOCKS, 64)
+    rests = [_joined([cut_up[k] for k in range(BLOCKS) if k not in chosen]) for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+    return F.element_at(F.array(*rests), (F.shiftright(key, CHOICE) + 1).cast("int"))
 
 
 class Tree:
@@ -170,12 +187,31 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def links(prints: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges (a, b) between the ids of (fp, rep) that connect all fingerprints within the radius of each other."""
+def _sizes(tall: DataFrame) -> DataFrame:
+    """(key, _size) of the shards that hold more than one fingerprint."""
+    return cut(tall.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+
+
+def _dealt(tall: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    return meet(tall, sizes.withColumn("n", F.col("_size")), "key", total).where("n is not null")
+
+
+def links(prints: DataFrame, tree_size: int = TREE_SIZE, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between the ids of (fp, rep) that connect all fingerprints within the radius of each other.
+
+    A shard of more than `crowd` trees is dealt into finer ones, by a choice among blocks of the bits that are not in its
+    key: two of its members differ in so many of these at most.  Keys of finer shards are hashes; if two were equal, one
+    tree would hold both shards, which changes nothing.
+    """
     tall = prints.select(F.explode(shard_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    sizes = tall.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = tall.join(sizes, "key").withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int"))
-    own = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    total, sizes = prints.count() * len(list(combinations(range(BLOCKS), RADIUS))), _sizes(tall)
+    met = _dealt(tall, sizes, total)
+    if not sizes.where(F.col("_size") > crowd * tree_size).isEmpty():
+        crowded = met.where(F.col("n") > crowd * tree_size)
+        fine = crowded.select(F.explode(shard_keys(other_bits(F.col("fp"), F.col("key")), bits=44)).alias("fine"), "key", "fp", "rep").select(F.xxhash64("key", "fine").alias("key"), "fp", "rep")
+        fine_sizes = _sizes(fine)
+        met = met.where(F.col("n") <= crowd * tree_size).unionByName(_dealt(fine, fine_sizes, fine_sizes.agg(F.sum("_size")).first()[0] or 0))
+    own = met.withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     dealt = other.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("asks"), "fp", "rep")
     ordered = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "asks", "fp")
@@ -185,10 +221,10 @@ def links(prints: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of df."""
     rows = cut(with_fingerprints(df, id_col, text_col))
-    prints = rows.where("_id is not null").groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep"))
-    groups = components(links(prints))
-    named = prints.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("group"))
-    joined = rows.join(named, F.col("_fp") == F.col("fp"), "left")
+    prints = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    groups = components(links(prints.where("rep is not null").select("fp", "rep")))
+    named = prints.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("group"), F.col("n").alias("_size"))
+    joined = meet(rows, named, "_fp", rows.count())
     component = F.when(F.col("_id").isNotNull(), F.col("group"))
     return joined.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
@@ -196,4 +232,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose group has a smaller id; rows with a null id stay."""
     gone = near_duplicates(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return df.join(small(gone), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_near_dedup import brute_groups as jaccard_groups
 
-from reelframe.llm import char_models, exact_dedup, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees
+from reelframe.llm import char_models, common, exact_dedup, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees
 from reelframe.llm.common import new_path
 from reelframe.llm.components import components
 from reelframe.llm.queries import QUERIES
@@ -134,8 +135,8 @@ def brute_groups(prints, ids, radius=4):
     return {i: least[find(k)] for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("tree_size", [2048, 7])
-def test_simhash_links(spark, tree_size):
+@pytest.mark.parametrize(("tree_size", "crowd"), [(2048, 32), (7, 32), (3, 2)])
+def test_simhash_links(spark, tree_size, crowd):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 30)]
     prints = list({b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(12)})
@@ -143,7 +144,7 @@ def test_simhash_links(spark, tree_size):
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
     df = spark.createDataFrame(list(zip(signed, ids, strict=True)), "fp long, rep long")
     want = brute_groups(prints, ids)
-    got = {i: i for i in ids} | {r["node"]: r["component"] for r in components(simhash_trees.links(df, tree_size)).collect()}
+    got = {i: i for i in ids} | {r["node"]: r["component"] for r in components(simhash_trees.links(df, tree_size, crowd)).collect()}
     assert got == want
 
 
@@ -159,6 +160,13 @@ def test_simhash_documents(spark, odd):
     assert simhash_trees.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_components_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_GROUPS", 4)
+    edges = spark.createDataFrame([(5, k) for k in range(6, 200)] + [(k, 300) for k in range(180, 260)] + [(400, 401), (401, 402)], "a long, b long")
+    want = {k: 5 for k in (*range(5, 260), 300)} | {400: 400, 401: 400, 402: 400}
+    assert {r["node"]: r["component"] for r in components(edges).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {k: 0 for k in range(41)} | {99: 99, 100: 99}
@@ -230,7 +238,7 @@ def test_pipeline_stages(spark):
     for i, t in rows.items():
         last[t] = max(i, last.get(t, i))
     assert exact == set(last.values())
-    groups = brute_groups([simhash_trees.fingerprint(t) for t in rows.values()], list(rows))
+    groups = jaccard_groups(rows.items())  # the stage takes five words and a similarity of 0.8, not op5's contract
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).collect()} == set(groups.values())
     masked = corpus_pipeline.secrets(spark, docs, SF)
     assert masked.columns == docs.columns
