@@ -33,11 +33,11 @@ def filter_bits(rows: int) -> int:
     return min(1 << 57, max(1 << 10, 1 << (BITS_PER_ROW * max(1, rows) - 1).bit_length()))
 
 
-def _word(hashed: Column, bits: int) -> Column:
+def word_of(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed.bitwiseAND(F.lit(bits - 1).cast("long")), 6)
 
 
-def _bits(hashed: Column) -> Column:
+def bits_of(hashed: Column) -> Column:
     """Two bits of a word, by the lowest and the highest six bits of the hash."""
     one = F.lit(1).cast("long")
     low, high = hashed.bitwiseAND(F.lit(63)), F.shiftrightunsigned(hashed, 58)
@@ -46,7 +46,7 @@ def _bits(hashed: Column) -> Column:
 
 def repeat_filter(hashes: DataFrame, bits: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
     """Pass 1: (word, mask) of what more than one row of the column _hash has entered, and the bits left after folding."""
-    entered = hashes.groupBy(_word(F.col("_hash"), bits).alias("word"), _bits(F.col("_hash")).alias("mask")).count().where("count > 1")
+    entered = hashes.groupBy(word_of(F.col("_hash"), bits).alias("word"), bits_of(F.col("_hash")).alias("mask")).count().where("count > 1")
     words = cut(entered.groupBy("word").agg(F.bit_or("mask").alias("mask")))
     return folded(words, bits, max_words)
 
@@ -55,15 +55,15 @@ def folded(words: DataFrame, bits: int, max_words: int) -> tuple[DataFrame, int]
     """The filter in at most max_words words, and its bits."""
     if words.count() > max_words:
         bits = min(bits, max_words * 64)
-        words = words.groupBy(_word(F.shiftleft("word", 6), bits).alias("word")).agg(F.bit_or("mask").alias("mask"))
+        words = words.groupBy(word_of(F.shiftleft("word", 6), bits).alias("word")).agg(F.bit_or("mask").alias("mask"))
     return words, bits
 
 
 def in_filter(rows: DataFrame, hashed: str, words: DataFrame, bits: int) -> DataFrame:
     """rows with _maybe: whether both bits of the column `hashed` are set."""
     side = F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    own = _bits(F.col(hashed))
-    met = rows.join(side, F.col("_word") == _word(F.col(hashed), bits), "left")
+    own = bits_of(F.col(hashed))
+    met = rows.join(side, F.col("_word") == word_of(F.col(hashed), bits), "left")
     return met.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(own) == own, F.lit(False))).drop("_word", "_mask")
 
 

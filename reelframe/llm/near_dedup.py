@@ -1,37 +1,50 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash trees first, prefixes for the rest.
 
 Texts are linked if their sets of shingles of WORDS words have a Jaccard similarity of at least 0.8; the links' connected
-components are the groups.  Candidates come from prefix filtering, which misses no pair: with all sets sorted alike, two
-that share `overlap` members share L or more of the first n - overlap + L of each, and overlap is 4/5 of n at least.
-Rare shingles sort first; how rare they are is read off a sample of documents, on which only the time depends.  What
-follows the last shingle that two prefixes share bounds the overlap further.  Equal sets are merged first.
+components are the groups.  Three steps find them, each of which leaves less to the next:
+
+1. Equal sets, by a digest.
+2. The BK-trees of simhash_trees over fingerprints of these shingles: what a tree links is compared set by set.
+3. Fingerprints of texts with a similarity of 0.8 differ in some ten bits, out of reach of any tree that prunes.  So the
+   rest comes from prefix filtering, which misses no pair: with all sets sorted alike, two that share `overlap` members
+   share L or more of the first n - overlap + L of each, and overlap is 4/5 of n at least.  Rare shingles sort first; how
+   rare they are is read off a sample of documents, on which only the time depends.  What follows the last shingle that
+   two prefixes share bounds the overlap further.
 
 The members of a large group would all be candidates of each other.  So in PIVOTS rounds the members of each bucket (the
 holders of one shingle) of more than SMALL are compared with the bucket's pivot, and what is linked becomes one
-component; at the end all candidates of different components are compared.  So every pair that may be alike is compared
-or in one component already.
+component; at the end the candidates of different components are compared, those outside a bucket's largest component
+with all others.  So every pair that may be alike is compared or in one component already.
+
+Only shingles that two prefixes hold are shuffled with their holders: a first pass counts them, and a filter of the
+repeated ones (see exact_dedup) is broadcast.  Pairs are compared by their texts, of which those with very many partners
+are dealt out over several keys; no other text is shuffled.
 
 Defined results: a null text counts as empty; texts without words are alike; one with fewer words than a shingle has its
-whole sequence as its only shingle; rows with a null id stay; an empty table gives an empty result.
+whole sequence as its only shingle; rows with a null id stay; an id with several texts is linked by any of them; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, packed
+from reelframe.llm import exact_dedup
+from reelframe.llm.common import cut, meet, packed, small
 from reelframe.llm.components import components
+from reelframe.llm.simhash_trees import combined, links
 
-WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 2, 16, 4000, 2
-BROADCAST_IDS = 2_000_000
+WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 1, 16, 4000, 2
 SHARED = 20  # alike sets of n members share 1 + n // SHARED members of their prefixes at least
+FILTER_WORDS, PARTNERS, BUCKET = 1 << 20, 256, 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -51,7 +64,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text").where("_id is not null")
 
 
-def _common(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, total: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that COMMON or more documents of a sample hold, sorted, and by how many each is held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +72,7 @@ def _common(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
             for text in batch["_text"]:
                 yield pd.DataFrame({"h": shingles(text).view(np.int64)})
 
-    share = min(1.0, sample / max(1, rows.count()))
+    share = min(1.0, sample / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("common"), "_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_text")
     held = drawn.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas()
     keys, counts = held["h"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
@@ -67,9 +80,9 @@ def _common(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
     return keys[order], counts[order]
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """(_id, print, n, prefix): a digest of the set, its size and its first shingles."""
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
+def _known(rows: DataFrame) -> DataFrame:
+    """(_id, print, fp, n, prefix): a digest and the SimHash of the set, its size and its first shingles."""
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, rows.count()))
 
     def prefix(held: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if len(keys):
@@ -83,22 +96,13 @@ def _prefixes(rows: DataFrame) -> DataFrame:
             for k in range(0, len(batch), 1000):
                 part = batch.iloc[k : k + 1000]
                 sets = [shingles(t) for t in part["_text"]]
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "print": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s, keys, counts) for s in sets]})
-
-    return rows.mapInPandas(run, "_id long, print binary, n int, prefix array<long>")
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "held": [shingles(t).view(np.int64) for t in part["_text"]]})
+                prints = np.array([combined(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "print": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "fp": prints, "n": [len(s) for s in sets], "prefix": [prefix(s, keys, counts) for s in sets]})
 
-    return rows.mapInPandas(run, "_id long, held array<long>")
+    return rows.mapInPandas(run, "_id long, print binary, fp long, n int, prefix array<long>")
 
 
-def _alike(shared: Column, n: Column, m: Column) -> Column:
+def _alike(shared: Column | int, n: Column | int, m: Column | int) -> Column | bool:
     """Whether sets of n and m members that share so many have a similarity of 4/5 or more."""
     return shared * 9 >= (n + m) * 4
 
@@ -111,54 +115,97 @@ def _candidates(met: DataFrame) -> DataFrame:
     least = 1 + F.floor(F.least("n1", "n2") / SHARED)
     after = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
     likely = pairs.where((F.col("c") >= least) & _alike(F.col("c") + after, F.col("n1"), F.col("n2")))
-    return cut(likely.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct())
+    return likely.select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen = functools.lru_cache(maxsize=16)(shingles)  # rows with one text follow each other
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch["x"], batch["y"], strict=True):
+            one, other = seen(x), seen(y)
+            keep.append(_alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)))
+        yield batch.loc[keep, ["a", "b"]]
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    asked = pairs.select(F.col("a").alias("_asked")).union(pairs.select("b")).distinct()
-    if asked.count() <= BROADCAST_IDS:  # else the texts of all rows would be shuffled for a few
-        asked = F.broadcast(asked)
-    sets = cut(_sets(rows.join(asked, F.col("_id") == F.col("_asked"), "left_semi")))
-    one, other = sets.select(F.col("_id").alias("a"), F.col("held").alias("x")), sets.select(F.col("_id").alias("b"), F.col("held").alias("y"))
-    both = pairs.join(one, "a").join(other, "b")
-    return cut(both.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))
+    """The pairs (a, b) of ids whose texts are alike.
+
+    Each text goes to its pairs: once, and once more for each PARTNERS of them.
+    """
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    degree = small(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("keys")))
+
+    def dealt(df: DataFrame, side: str, other: str) -> DataFrame:
+        known = df.join(degree.withColumnRenamed("id", side), side)
+        return known.withColumn("salt", F.pmod(F.xxhash64(other), F.col("keys")).cast("int")).drop("keys")
+
+    def texts(side: str, name: str) -> DataFrame:
+        asked = rows.join(degree, F.col("_id") == F.col("id"))
+        return asked.select(F.col("_id").alias(side), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"), F.col("_text").alias(name))
+
+    one = dealt(pairs, "a", "b").join(texts("a", "x"), ["a", "salt"]).drop("salt")
+    both = dealt(one, "b", "a").join(texts("b", "y"), ["b", "salt"]).select("a", "b", "x", "y")
+    return cut(both.mapInPandas(_compare, "a long, b long").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS, small: int = SMALL) -> DataFrame:
+def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
+    """(rep, n, at, key, size) of the shingles that more than one prefix holds, and how many rows that are."""
+    entries = firsts.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "key"))
+    repeated = cut(entries.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    kinds, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    bits = exact_dedup.filter_bits(4 * kinds)
+    words = cut(repeated.groupBy(exact_dedup.word_of(F.col("key"), bits).alias("word")).agg(F.bit_or(exact_dedup.bits_of(F.col("key"))).alias("mask")))
+    likely = exact_dedup.in_filter(entries, "key", *exact_dedup.folded(words, bits, FILTER_WORDS)).where("_maybe").drop("_maybe")
+    met = meet(likely, repeated.withColumn("size", F.col("_size")), "key", total)
+    return cut(met.where("size is not null")), total
+
+
+def _between(named: DataFrame, total: int) -> DataFrame:
+    """The rows (x, y) of members of different components that share a bucket; those of its largest one meet only the others."""
+    by_group = named.groupBy("key", F.col("x.group").alias("group")).agg(F.count(F.lit(1)).alias("c"))
+    main = by_group.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.sum("c").alias("_size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("keys", F.ceil(F.col("size") / BUCKET).cast("int")))
+    others = mixed.where("x.group <> main").select("key", "x", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"))
+    all_ = mixed.select("key", F.col("x").alias("y"), "main", F.pmod(F.xxhash64("x.rep"), F.col("keys")).cast("int").alias("salt"))
+    return others.join(all_, ["key", "salt"]).where("x.group <> y.group and (y.group = main or x.rep < y.rep)").select("x", "y")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS, small_bucket: int = SMALL) -> DataFrame:
     """(doc_id, component_id) for each row of df whose id is not null."""
     rows = _rows(df, id_col, text_col)
-    known = cut(_prefixes(rows))
-    merged = cut(known.groupBy("print").agg(F.min(F.struct("_id", "n", "prefix")).alias("first")).select("print", F.col("first._id").alias("rep"), F.col("first.n").alias("n"), F.col("first.prefix").alias("prefix")))
-    held = merged.select("rep", "n", F.posexplode("prefix").alias("at", "key"))
-    held = cut(held.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"))
-    edges = rows.sparkSession.createDataFrame([], "a long, b long")
-    groups = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    known = cut(_known(rows))
+    total = known.count()
+    equal = known.groupBy("print").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_size"))
+    copies = cut(meet(known.select("_id", "print"), equal, "print", total).where("_id <> rep"))
+    firsts = known.join(small(copies.select("_id", "print").distinct()), ["_id", "print"], "left_anti")
+    same = copies.select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+
+    prints = cut(firsts.groupBy("fp").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_size")))
+    near = meet(firsts.select("_id", "fp"), prints, "fp", total).where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))
+    edges = same.unionByName(_linked(near.unionByName(links(prints.select("fp", "rep"))), rows))
+    groups = cut(components(edges))
 
     def members(part: DataFrame) -> DataFrame:
         named = part.join(groups, F.col("rep") == F.col("node"), "left")
-        return named.select("key", F.struct("rep", "n", "at", F.coalesce("component", "rep").alias("group")).alias("x"))
+        return named.select("key", "size", F.struct("rep", "n", "at", F.coalesce("component", "rep").alias("group")).alias("x"))
 
-    large = held.where(F.col("size") > small)
+    held, entries = _held(firsts)
+    large = held.where(F.col("size") > small_bucket)
     for k in range(pivots):
         named = members(large)
-        pivot = named.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"))
-        pairs = _candidates(named.join(pivot, "key"))
-        if pairs.isEmpty():
-            break
-        edges = edges.unionByName(_linked(pairs, rows))
+        pivot = named.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"), F.count(F.lit(1)).alias("_size"))
+        edges = edges.unionByName(_linked(_candidates(meet(named, pivot, "key", entries)), rows))
         groups = cut(components(edges))
-    few = members(held.where(F.col("size") <= small)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    many = members(large)
-    many = many.join(many.select("key", F.col("x").alias("y")), "key").where("x.rep < y.rep").select("x", "y")
-    edges = edges.unionByName(_linked(_candidates(few.unionByName(many)), rows))
+    edges = edges.unionByName(_linked(_candidates(few.unionByName(_between(members(large), entries))), rows))
     groups = cut(components(edges))
-    named = merged.join(groups, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("group"))
-    return known.select("_id", "print").join(named, "print").select(F.col("_id").alias("doc_id"), F.col("group").alias("component_id"))
+    named = known.select("_id").join(groups, F.col("_id") == F.col("node"), "left")
+    return named.select(F.col("_id").alias("doc_id"), F.coalesce("component", "_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose group has a smaller id; rows with a null id stay."""
     gone = near_duplicates(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return df.join(small(gone), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
