@@ -1,16 +1,19 @@
 """Hierarchical packing of token ids into sequences of several lengths.
 
-Documents are dealt into blocks of about BLOCK_DOCUMENTS by hash, and each block is packed by itself.  Within a block:
-a document's whole windows of the longest tier become sequences at once.  What remains is routed to the tier that is
-the next power of two.  Tier by tier from the longest, each window opens with the longest remainder of its tier; its
-gap is filled with the longest remainders of shorter tiers that fit; if none fits, the shortest remainder is cut, and
-what is left of it is routed again.  So every window is full except the last one of a block.  Sequences are dealt into
-step groups of nearly equal numbers of tokens, the longest first to the group that has least.
+A document's whole windows of the longest tier become sequences where it is encoded, without their ids going anywhere.
+What remains, less than a window, is dealt into blocks of about BLOCK_DOCUMENTS by hash, and each block is packed by
+itself.  Within a block a remainder is routed to the tier that is the next power of two.  Tier by tier from the longest,
+each window opens with the longest remainder of its tier; its gap is filled with the longest remainders of shorter tiers
+that fit; if none fits, the shortest remainder is cut, and what is left of it is routed again.  So every window is full
+except the last one of a block.  Sequences are dealt into step groups of nearly equal numbers of tokens, the longest first
+to the group that has least; whole windows take part in that by a row without ids.
 
-A window's length is a power of two; only the last window of a block needs padding, to the longest tier.
+A window's length is a power of two; only the last window of a block needs padding, to the longest tier.  A block holds
+less than a window for each of its documents, however long they are.
 
 Defined results: a null text counts as empty and has its end id alone; null ids are packed like others; rows that
-repeat share a block; a document of any length is cut into as many windows as it needs; an empty table gives no piece.
+repeat share a block, or several if they are more than a block takes; a document of any length is cut into as many
+windows as it needs; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -19,20 +22,19 @@ import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import packed
+from reelframe.llm.common import packed, small
 from reelframe.llm.piece_cache import library_cache
 
 TIERS = (1024, 512, 256, 128, 64)
 BLOCK_DOCUMENTS = 2048
 STEP_TOKENS = 1 << 16
-YIELD_ROWS = 512
+YIELD_ROWS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -78,41 +80,73 @@ def step_groups(sequences: list[tuple[int, int]], step_tokens: int = STEP_TOKENS
 
 
 def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["_id", "_ids"], kind="stable", na_position="first")
-    texts, names = list(block["_ids"]), block["_id"].to_numpy(object)
-    lengths = [len(ids) // 4 for ids in texts]
-    pieces, sequences = pack_lengths(lengths)
-    base = int(block["_block"].iloc[0]) << 32
-    groups = step_groups(sequences)
-    document, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-    crc = [zlib.crc32(memoryview(texts[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
+    """The pieces of the whole windows (without ids) and of the remainders of a block."""
+    block = block.sort_values(["_id", "_start", "_ids"], kind="stable", na_position="first").reset_index(drop=True)
+    is_whole = block["_ids"].isna().to_numpy()
+    whole, rest = np.flatnonzero(is_whole), np.flatnonzero(~is_whole)
+    wide = "<u4" if len(rest) and block["_wide"].iloc[0] else "<u2"
+    texts = [np.frombuffer(ids, wide).astype("<u4") for ids in block["_ids"].iloc[rest]]
+    pieces, sequences = pack_lengths([len(ids) for ids in texts])
+    sequences = [(TIERS[0], TIERS[0])] * len(whole) + sequences
+    groups, base = np.array(step_groups(sequences), np.int64), int(block["_block"].iloc[0]) << 32
+    document, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True)) if pieces else [np.zeros(0, np.int64)] * 5
+    crc = [zlib.crc32(texts[d][s : s + n]) for d, s, n, _, _ in pieces]
+    row, sequence = np.concatenate([whole, rest[document]]), np.concatenate([np.arange(len(whole)), sequence + len(whole)])
+    names, none = block["_id"].to_numpy(object)[row], np.zeros(len(whole), np.int64)
     return pd.DataFrame(
         {
-            "doc_id": pd.Series([None if pd.isna(n) else int(n) for n in names[document]], dtype="Int64"),
-            "start": start,
-            "length": length,
-            "ids_crc32": crc,
-            "doc_tokens": np.array(lengths, np.int64)[document],
+            "doc_id": pd.Series([None if pd.isna(n) else int(n) for n in names], dtype="Int64"),
+            "start": block["_start"].to_numpy(np.int64)[row] + np.concatenate([none, start]),
+            "length": np.concatenate([none + TIERS[0], length]),
+            "ids_crc32": np.concatenate([block["_crc"].to_numpy(np.int64)[whole], np.array(crc, np.int64)]),
+            "doc_tokens": block["_tokens"].to_numpy(np.int64)[row],
             "sequence_id": base + sequence,
-            "offset": offset,
+            "offset": np.concatenate([none, offset]),
             "tier": np.array([t for t, _ in sequences], np.int32)[sequence],
-            "step_group": base + np.array(groups, np.int64)[sequence],
+            "step_group": base + groups[sequence],
         }
     )
 
 
+def _blocked(rows: DataFrame, blocks: int, block_documents: int) -> DataFrame:
+    """rows with _block, by a hash of id and text; rows that repeat beyond a block's size take several blocks."""
+    keyed = rows.withColumn("_key", F.xxhash64("_id", "_text"))
+    many = small(keyed.groupBy("_key").count().where(F.col("count") > block_documents).select("_key", F.lit(True).alias("_many")))
+    if not many.isEmpty():
+        keyed = keyed.join(many, "_key", "left").withColumn("_key", F.when(F.col("_many"), F.xxhash64("_key", F.monotonically_increasing_id())).otherwise(F.col("_key")))
+    return keyed.select("_id", "_text", F.pmod("_key", F.lit(blocks)).cast("int").alias("_block"))
+
+
 def pack(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     """The pieces of all documents, as PIECES; the ids of a sequence are its pieces in order of offset."""
     blocks = max(1, -(-df.count() // block_documents))
-    rows = packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int").alias("_block"))
+    rows = _blocked(packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text"), blocks, block_documents)
+    window = TIERS[0]
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], "<u4").tobytes()
         with library_cache(vocabulary).task() as cache:
+            wide = max(end_id + 1, cache.tokenizer.get_vocab_size()) > 1 << 16  # else ids travel in two bytes
             for batch in batches:
-                coded = cache.encode(batch.pop("_text"))
-                for at in range(0, len(batch), YIELD_ROWS):
-                    part = batch.iloc[at : at + YIELD_ROWS]
-                    yield part.assign(_ids=[x + end for x in islice(coded, len(part))])
-
-    return rows.mapInPandas(encoded, "_id long, _block int, _ids binary").groupBy("_block").applyInPandas(_pack_block, PIECES)
+                coded, out = cache.encode(batch.pop("_text")), []
+                for name, block in zip(batch["_id"], batch["_block"], strict=True):
+                    ids = next(coded) + end
+                    n = len(ids) // 4
+                    for k in range(n // window):
+                        out.append((name, (block + k) % blocks, k * window, zlib.crc32(memoryview(ids)[4 * k * window : 4 * (k + 1) * window]), n, wide, None))
+                    if n % window:
+                        rest = np.frombuffer(ids, "<u4", offset=4 * (n - n % window))
+                        out.append((name, block, n - n % window, 0, n, wide, (rest if wide else rest.astype("<u2")).tobytes()))
+                    if len(out) >= YIELD_ROWS:
+                        yield _frame(out)
+                        out = []
+                if out:
+                    yield _frame(out)
+
+    schema = "_id long, _block int, _start long, _crc long, _tokens long, _wide boolean, _ids binary"
+    return rows.mapInPandas(encoded, schema).groupBy("_block").applyInPandas(_pack_block, PIECES)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["_id", "_block", "_start", "_crc", "_tokens", "_wide", "_ids"])
+    return out.assign(_id=pd.Series([None if pd.isna(n) else int(n) for n in out["_id"]], dtype="Int64"))

@@ -171,15 +171,22 @@ def test_packed_lengths_fill_their_windows(lengths):
     assert loads.max() - loads.min() <= 1024
 
 
-def test_pack_pieces(spark):
-    rows = [(1, "a"), (2, None), (None, "null id"), (4, "many words " * 2000), (5, "again"), (5, "again")]
+@pytest.mark.parametrize("block", [1, 2, 2048])
+def test_pack_pieces(spark, block):
+    rows = [(1, "a"), (2, None), (None, "null id"), (4, "many words " * 2000), (5, "again"), (5, "again"), (6, "x " * 1023), (7, "x " * 1024), (8, "x " * 2047)]
     df = spark.createDataFrame([(k, x, 7) for k, x in rows], "doc_id long, text string, offset int")
     t, ids = expected(BYTE, [x or "" for _, x in rows])
     whole = sorted((str(k), [*i, 0]) for (k, _), i in zip(rows, ids, strict=True))
-    got = tier_packing.pack(df, BYTE, block_documents=2).collect()
+    got = tier_packing.pack(df, BYTE, block_documents=block).collect()
     assert sum(r["length"] for r in got) == sum(len(i) for _, i in whole)
     by_id = dict(whole)
     for r in got:
         part = by_id[str(r["doc_id"])][r["start"] : r["start"] + r["length"]]
         assert r["ids_crc32"] == zlib.crc32(array("I", part).tobytes()) and r["doc_tokens"] == len(by_id[str(r["doc_id"])])
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in used.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
     assert tier_packing.pack(df.limit(0), BYTE).count() == 0
