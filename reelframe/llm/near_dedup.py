@@ -33,18 +33,19 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.llm import exact_dedup
-from reelframe.llm.common import cut, meet, packed, small
+from reelframe.llm.common import batches_of, cut, meet, packed, small
 from reelframe.llm.components import components
 from reelframe.llm.simhash_trees import combined, links
 
 WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 1, 16, 4000, 2
 SHARED = 20  # alike sets of n members share 1 + n // SHARED members of their prefixes at least
-FILTER_WORDS, PARTNERS, BUCKET = 1 << 20, 256, 4096
+FILTER_WORDS, PARTNERS, BUCKET, BATCH = 1 << 20, 256, 4096, 500
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -93,11 +94,9 @@ def _known(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
-                sets = [shingles(t) for t in part["_text"]]
-                prints = np.array([combined(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "print": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "fp": prints, "n": [len(s) for s in sets], "prefix": [prefix(s, keys, counts) for s in sets]})
+            sets = [shingles(t) for t in batch["_text"]]
+            prints = np.array([combined(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "print": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "fp": prints, "n": [len(s) for s in sets], "prefix": [prefix(s, keys, counts) for s in sets]})
 
     return rows.mapInPandas(run, "_id long, print binary, fp long, n int, prefix array<long>")
 
@@ -118,14 +117,14 @@ def _candidates(met: DataFrame) -> DataFrame:
     return likely.select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen = functools.lru_cache(maxsize=16)(shingles)  # rows with one text follow each other
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = functools.lru_cache(maxsize=4)(shingles)  # rows with one text follow each other
     for batch in batches:
         keep = []
-        for x, y in zip(batch["x"], batch["y"], strict=True):
-            one, other = seen(x), seen(y)
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            one, other = shingles(x.as_py()), seen(y.as_py())
             keep.append(_alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)))
-        yield batch.loc[keep, ["a", "b"]]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -146,7 +145,8 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     one = dealt(pairs, "a", "b").join(texts("a", "x"), ["a", "salt"]).drop("salt")
     both = dealt(one, "b", "a").join(texts("b", "y"), ["b", "salt"]).select("a", "b", "x", "y")
-    return cut(both.mapInPandas(_compare, "a long, b long").distinct())
+    with batches_of(rows.sparkSession, BATCH):
+        return cut(both.mapInArrow(_compare, "a long, b long").distinct())
 
 
 def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
@@ -174,7 +174,8 @@ def _between(named: DataFrame, total: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS, small_bucket: int = SMALL) -> DataFrame:
     """(doc_id, component_id) for each row of df whose id is not null."""
     rows = _rows(df, id_col, text_col)
-    known = cut(_known(rows))
+    with batches_of(df.sparkSession, BATCH):
+        known = cut(_known(rows))
     total = known.count()
     equal = known.groupBy("print").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_size"))
     copies = cut(meet(known.select("_id", "print"), equal, "print", total).where("_id <> rep"))
