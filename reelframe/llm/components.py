@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import cut, meet
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge up at most, and none that has one has another below it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,16 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds leaves stars around the smallest nodes.  Minima are taken by aggregation and reach a node with very
     many edges by a broadcast, so it costs no task more than others.  Each round is cut off in the shared folder.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges)
-    state, seen = _state(edges), None
-    while state != seen and state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _only_stars(edges):
+        both, ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * edges.count()
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_size"))
-        large = cut(meet(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = meet(both, least, "u", ends).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_size"))
-        moved = meet(large, least, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = meet(large, least, "u", ends).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state, seen = _state(edges), state
-    ends = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,10 +11,9 @@ components are the groups.  Three steps find them, each of which leaves less to
    rare they are is read off a sample of documents, on which only the time depends.  What follows the last shingle that
    two prefixes share bounds the overlap further.
 
-The members of a large group would all be candidates of each other.  So in PIVOTS rounds the members of each bucket (the
-holders of one shingle) of more than SMALL are compared with the bucket's pivot, and what is linked becomes one
-component; at the end the candidates of different components are compared, those outside a bucket's largest component
-with all others.  So every pair that may be alike is compared or in one component already.
+The members of a large group would all be candidates of each other.  So the members of each bucket (the holders of one
+shingle) of more than SMALL are first compared with PIVOTS pivots of it, and what is linked becomes one component; then
+the candidates of different components are compared, those outside a bucket's largest component with all others.  So every pair that may be alike is compared or in one component already.
 
 Only shingles that two prefixes hold are shuffled with their holders: a first pass counts them, and a filter of the
 repeated ones (see exact_dedup) is broadcast.  Pairs are compared by their texts, of which those with very many partners
@@ -184,24 +183,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     prints = cut(firsts.groupBy("fp").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_size")))
     near = meet(firsts.select("_id", "fp"), prints, "fp", total).where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))
-    edges = same.unionByName(_linked(near.unionByName(links(prints.select("fp", "rep"))), rows))
-    groups = cut(components(edges))
+    pairs = near.unionByName(links(prints.select("fp", "rep")))
+    held, entries = _held(firsts)
+    large = held.where(F.col("size") > small_bucket)
+    alone = large.select("key", "size", F.struct("rep", "n", "at", F.col("rep").alias("group")).alias("x"))
+    for k in range(pivots):
+        pivot = alone.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"), F.count(F.lit(1)).alias("_size"))
+        pairs = pairs.unionByName(_candidates(meet(alone, pivot, "key", entries)))
+    groups = cut(components(same.unionByName(_linked(pairs, rows))))
 
     def members(part: DataFrame) -> DataFrame:
         named = part.join(groups, F.col("rep") == F.col("node"), "left")
         return named.select("key", "size", F.struct("rep", "n", "at", F.coalesce("component", "rep").alias("group")).alias("x"))
 
-    held, entries = _held(firsts)
-    large = held.where(F.col("size") > small_bucket)
-    for k in range(pivots):
-        named = members(large)
-        pivot = named.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"), F.count(F.lit(1)).alias("_size"))
-        edges = edges.unionByName(_linked(_candidates(meet(named, pivot, "key", entries)), rows))
-        groups = cut(components(edges))
     few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    edges = edges.unionByName(_linked(_candidates(few.unionByName(_between(members(large), entries))), rows))
-    groups = cut(components(edges))
+    more = _linked(_candidates(few.unionByName(_between(members(large), entries))), rows)
+    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = known.select("_id").join(groups, F.col("_id") == F.col("node"), "left")
     return named.select(F.col("_id").alias("doc_id"), F.coalesce("component", "_id").alias("component_id"))
 
