@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelframe.llm.common import packed
+from reelframe.llm.common import packed, release
 
 OUTPUTS = ["lang_pred", "score", "cross_entropy", "accepted"]
 ORDER = 4
@@ -274,6 +274,7 @@ def identify(df: DataFrame, models: Identifier, id_col: str = "doc_id", text_col
             for at in range(0, len(batch), YIELD_ROWS):
                 part = batch.iloc[at : at + YIELD_ROWS].reset_index(drop=True)
                 yield pd.concat([part, shared.value.predict(list(part.pop("_text")))], axis=1)
+        release()
 
     more = T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, accepted boolean")
     out = rows.mapInPandas(run, T.StructType([rows.schema["_row"], *more.fields]))

@@ -8,10 +8,13 @@ has a column that is named like a result column, the result replaces it.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,20 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Gives back the memory that a task has freed, as Spark keeps its Python worker for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def hot_size(total: int, hot_groups: int) -> int:
+    """More rows than this are a hot group: a power of two, so that plans over growing tables stay alike, or 0."""
+    share = total // hot_groups
+    return 1 << (share - 1).bit_length() if share > 0 else 0
+
+
 HOT_GROUPS = 1024
 BROADCAST_IDS = 2_000_000
 
@@ -73,7 +90,7 @@ def meet(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "
     their own, which meet nothing and spread.
     """
     names = [c for c in groups.columns if c not in (key, size)]
-    hot = groups.where(F.col(size) > F.lit(total // (hot_groups or HOT_GROUPS))).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    hot = groups.where(F.col(size) > F.lit(hot_size(total, hot_groups or HOT_GROUPS))).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) + 1
     marked = marked.withColumn("_own", F.when(F.col("_hot_key").isNull(), F.lit(0).cast("long")).otherwise(own))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.llm import exact_dedup
-from reelframe.llm.common import batches_of, cut, meet, packed, small
+from reelframe.llm.common import batches_of, cut, meet, packed, release, small
 from reelframe.llm.components import components
 from reelframe.llm.simhash_trees import combined, links
 
@@ -96,6 +96,7 @@ def _known(rows: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch["_text"]]
             prints = np.array([combined(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "print": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "fp": prints, "n": [len(s) for s in sets], "prefix": [prefix(s, keys, counts) for s in sets]})
+        release()
 
     return rows.mapInPandas(run, "_id long, print binary, fp long, n int, prefix array<long>")
 
@@ -124,6 +125,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, other = shingles(x.as_py()), seen(y.as_py())
             keep.append(_alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:

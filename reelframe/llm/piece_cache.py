@@ -16,6 +16,8 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+from reelframe.llm.common import release
+
 KEPT = 400_000
 BATCH_CHARS = 3_000_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -53,6 +55,7 @@ class PieceCache:
             yield self
         finally:
             self.known = {}
+            release()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [self.pieces(text) for text in texts]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, exists, new_path, packed, unpacked
+from reelframe.llm.common import cut, exists, hot_size, new_path, packed, unpacked
 from reelframe.llm.exact_dedup import HOT_GROUPS, with_repeat_flag
 
 OUTPUTS = ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
@@ -123,7 +123,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: l
     found = _findings(spark, ledger, version)
     paths = packed(df, text_col, id_col, OUTPUTS, carry).select("_id", "_row", F.sha2("_text", 256).alias("blob"))
     size = paths.count()
-    hot = F.broadcast(paths.groupBy("blob").count().where(F.col("count") > F.lit(size // HOT_GROUPS + 1)).select("blob", F.lit(True).alias("_hot")))  # fewer than HOT_GROUPS
+    hot = F.broadcast(paths.groupBy("blob").count().where(F.col("count") > F.lit(hot_size(size, HOT_GROUPS) + 1)).select("blob", F.lit(True).alias("_hot")))  # fewer than HOT_GROUPS
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     met = paths.join(hot, "blob", "left").withColumn("_salt", salt).drop("_hot").join(found.join(hot, "blob", "left").withColumn("_salt", salts).drop("_hot"), ["blob", "_salt"], "left")

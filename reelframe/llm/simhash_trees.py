@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, meet, packed, small
+from reelframe.llm.common import cut, meet, packed, release, small
 from reelframe.llm.components import components
 
 OUTPUTS = ["fingerprint", "component_id"]
@@ -185,6 +185,8 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = []
     found.extend(tree.edges())
     yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    del tree, found
+    release()
 
 
 def _sizes(tall: DataFrame) -> DataFrame:
