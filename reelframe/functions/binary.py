@@ -74,3 +74,69 @@ def read_offsets(data: Column, kind: Column) -> Column:
 def nibbles(data: Column) -> Column:
     """The 4-bit values of a binary, the high one of each byte first."""
     return F.transform(F.split(F.regexp_replace(F.hex(data), "(.)(?=.)", "$1,"), ","), lambda c: F.conv(c, 16, 10).cast("int"))
+
+
+def write_stsc(runs: Column) -> Column:
+    """A sample-to-chunk payload from an array of struct(first_chunk, samples_per_chunk, description)."""
+    return _table(encoded(F.size(runs).cast("long"), 4), _joined(runs, lambda r: F.concat(*[encoded(r[name], 4) for name in ("first_chunk", "samples_per_chunk", "description")])))
+
+
+def read_stsc(data: Column) -> Column:
+    """An array of struct(first_chunk, samples_per_chunk, description); a declared count beyond the payload is cut."""
+    names = ("first_chunk", "samples_per_chunk", "description")
+    return F.transform(_entries(data, 8, 12, unsigned(data, 4, 4)), lambda at: F.struct(*[unsigned(data, at + 4 * k, 4).alias(name) for k, name in enumerate(names)]))
+
+
+def is_exact_table(data: Column, width: int) -> Column:
+    """Whether a table's payload is as long as its count says, with entries of `width` bytes and nothing behind them."""
+    return F.coalesce(F.octet_length(data) == 8 + unsigned(data, 4, 4) * width, F.lit(False))
+
+
+def patched(data: Column, offset: Column | int, value: Column, width: int) -> Column:
+    """data with the unsigned integer at a byte offset replaced; null where it lies beyond the end."""
+    at = offset if isinstance(offset, Column) else F.lit(offset)
+    head, tail = F.substring(data, F.lit(1), at.cast("int")), F.substring(data, (at + width + 1).cast("int"), F.octet_length(data))
+    return F.when(at + width <= F.octet_length(data), F.concat(head, encoded(value, width), tail))
+
+
+def _by_version(data: Column, narrow: int, wide: int) -> tuple[Column, Column]:
+    """(whether the version is 1, the offset of a field that depends on it)."""
+    one = unsigned(data, 0, 1) == 1
+    return one, F.when(one, wide).otherwise(narrow)
+
+
+def media_duration(data: Column) -> Column:
+    """The ticks of mdhd."""
+    one, at = _by_version(data, 16, 24)
+    return F.when(one, unsigned(data, at, 8)).otherwise(unsigned(data, at, 4))
+
+
+def with_media_duration(data: Column, ticks: Column) -> Column:
+    """mdhd with other ticks; more than four bytes hold are an error in version 0."""
+    one, at = _by_version(data, 16, 24)
+    return F.when(one, patched(data, at, ticks, 8)).otherwise(patched(data, at, F.when(~one, ticks), 4))
+
+
+def track_number(data: Column) -> Column:
+    """The track_ID of tkhd."""
+    return unsigned(data, _by_version(data, 12, 20)[1], 4)
+
+
+def with_track_number(data: Column, number: Column) -> Column:
+    return patched(data, _by_version(data, 12, 20)[1], number, 4)
+
+
+def next_track_number(data: Column) -> Column:
+    """The next_track_ID of mvhd, its last four bytes."""
+    return unsigned(data, _by_version(data, 96, 108)[1], 4)
+
+
+def with_next_track_number(data: Column, number: Column) -> Column:
+    return patched(data, _by_version(data, 96, 108)[1], number, 4)
+
+
+def unescaped(name: Column) -> Column:
+    """The four bytes of a box type that is shown with \\xNN for bytes that are not printable; null if they are not four."""
+    parts = F.regexp_extract_all(name, F.lit(r"(?s)\\x[0-9a-f]{2}|."), F.lit(0))
+    codes = F.transform(parts, lambda x: F.when(F.length(x) == 4, F.upper(F.substring(x, 3, 2))).otherwise(F.hex(F.encode(x, "ISO-8859-1"))))
+    return F.when(F.size(parts) == 4, F.unhex(F.array_join(codes, "")))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from reelframe.functions import formats
 
 
-def positional_diff(before: DataFrame, after: DataFrame, on: str, fields: list[str]) -> DataFrame:
-    """Full outer join on a position: (on, before_x, after_x for each field, differs)."""
-    a = before.select(on, *[F.col(f).alias(f"before_{f}") for f in fields])
-    b = after.select(on, *[F.col(f).alias(f"after_{f}") for f in fields])
+def positional_diff(before: DataFrame, after: DataFrame, on: str | list[str], fields: list[str]) -> DataFrame:
+    """Full outer join on a position, one column or several: (on, before_x, after_x for each field, differs)."""
+    on = [on] if isinstance(on, str) else on
+    a = before.select(*on, *[F.col(f).alias(f"before_{f}") for f in fields])
+    b = after.select(*on, *[F.col(f).alias(f"after_{f}") for f in fields])
     same = F.lit(True)
     for f in fields:
         same = same & F.col(f"before_{f}").eqNullSafe(F.col(f"after_{f}"))

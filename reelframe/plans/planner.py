@@ -19,6 +19,7 @@ def rewrite_reason(types: Column, fragmented: Column) -> Column:
         return F.size(F.filter(types, lambda t: t == kind))
 
     unknown = F.array_except(types, F.array(*[F.lit(k) for k in KNOWN_BOXES]))
+    # The wording of the reasons.
     return (
         F.when(fragmented, "the file is fragmented, which needs a real remuxer")
         .when(F.size(unknown) > 0, F.concat(F.lit("unexpected top-level box(es): "), F.array_join(unknown, ", ")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelframe.functions import binary, decoders, formats
-from reelframe.operators import analysis, compare, lookup, rules, timing
+from reelframe.operators import analysis, compare, lookup, rules, running, timing
 from reelframe.plans import planner, steps
 from reelframe.session import table
 from reelframe.sources import containers, rewrites
@@ -115,14 +115,12 @@ def run_length_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS start FROM documents")
 def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "documents").select("source", "doc_id", (F.sum("n_chars").over(line) - F.col("n_chars")).alias("start"))
+    return running.running_sum(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), "start").drop("n_chars")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def primary_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k")))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), "b.o_totalprice")
+    return running.primary(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
 @query("""
@@ -131,14 +129,13 @@ SELECT l_suppkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS c
 FROM lineitem GROUP BY l_suppkey
 """)
 def bitrate_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("seconds"))
-    return rows.withColumn("bitrate", F.when(F.col("seconds") > 0, (8 * F.col("cents")).cast("double") / F.col("seconds").cast("double")))
+    cents, seconds = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
+    return running.rate(table(spark, sf_dir, "lineitem"), "l_suppkey", cents, seconds).withColumnRenamed("amount", "cents")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r <= 40")
 def tail_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts")))
-    return table(spark, sf_dir, "events").withColumn("r", nth).where("r <= 40").select("user_id", "event_id", "event_type")
+    return running.tail(table(spark, sf_dir, "events"), "user_id", "ts", 40).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT key, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id AS key, event_type, min(ts) AS first FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY ALL) GROUP BY key")
@@ -237,15 +234,20 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT source, n_chars, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents WHERE source IN ('src1', 'src2')),
-a AS (SELECT * FROM d WHERE source = 'src1'), b AS (SELECT * FROM d WHERE source = 'src2')
-SELECT coalesce(a.ord, b.ord) AS ord, a.n_chars AS before_n_chars, a.lang AS before_lang, b.n_chars AS after_n_chars, b.lang AS after_lang,
-  a.n_chars IS DISTINCT FROM b.n_chars OR a.lang IS DISTINCT FROM b.lang AS differs FROM a FULL JOIN b ON a.ord = b.ord
+WITH d AS (SELECT source, n_chars, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents),
+s AS (SELECT source, lead(source) OVER (ORDER BY source) AS other FROM (SELECT DISTINCT source FROM documents)),
+a AS (SELECT d.source AS pair, d.* FROM d JOIN s USING (source) WHERE other IS NOT NULL), b AS (SELECT s.source AS pair, d.* FROM d JOIN s ON d.source = s.other)
+SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.ord, b.ord) AS ord, a.n_chars AS before_n_chars, a.lang AS before_lang, b.n_chars AS after_n_chars, b.lang AS after_lang,
+  a.n_chars IS DISTINCT FROM b.n_chars OR a.lang IS DISTINCT FROM b.lang AS differs FROM a FULL JOIN b ON a.pair = b.pair AND a.ord = b.ord
 """)
 def positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2")).select("source", "n_chars", "lang", nth.alias("ord"))
-    return compare.positional_diff(rows.where("source = 'src1'"), rows.where("source = 'src2'"), "ord", ["n_chars", "lang"])
+    """The documents of each source against those of the next one, by position."""
+    documents = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang")
+    sources = documents.select("source").distinct().withColumn("other", F.lead("source").over(Window.orderBy("source"))).where("other IS NOT NULL")  # a row a source
+    rows = running.numbered(documents, "source", "doc_id").withColumn("ord", F.col("ord").cast("int"))
+    before = rows.join(sources, "source").withColumn("pair", F.col("source"))
+    after = rows.join(sources.select(F.col("source").alias("pair"), F.col("other").alias("source")), "source")
+    return compare.positional_diff(before, after, ["pair", "ord"], ["n_chars", "lang"])
 
 
 @query("""
@@ -610,3 +612,109 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _facts(spark, sf_dir).withColumn("reason", planner.rewrite_reason(F.col("types"), F.col("fragmented")))
     labels = F.transform(steps.copy_steps(F.col("reason"), F.col("has_audio"), True), lambda s: s["label"])
     return rows.select("file_id", F.when(F.col("reason") == "", "native").otherwise("ffmpeg").alias("engine"), F.array_join(labels, "|").alias("steps"), "reason")
+
+
+# ---------------------------------------------------------------- damaged and unusual containers
+
+
+def _box(kind: str, *payload: Column) -> Column:
+    body = F.concat(*payload) if payload else F.unhex(F.lit(""))
+    return decoders.let(body, lambda b: F.concat(binary.encoded(F.octet_length(b).cast("long") + 8, 4), F.lit(kind).cast("binary"), b))
+
+
+def _odd_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part two tracks with offsets into one mdat; between them nothing, a malformed box, many boxes, or an offset of 64 bits or beyond the media."""
+    k = F.col("p_partkey")
+
+    def u(value: Column | int, width: int = 4) -> Column:
+        return binary.encoded((value if isinstance(value, Column) else F.lit(value)).cast("long"), width)
+
+    def trak(table: Column) -> Column:
+        return _box("trak", _box("mdia", _box("minf", _box("stbl", table))))
+
+    narrow = _box("stco", u(0), u(1), u(24))
+    second = F.when(k % 5 == 3, _box("co64", u(0), u(1), u(28, 8))).when(k % 5 == 4, _box("stco", u(0), u(1), u(32))).otherwise(_box("stco", u(0), u(1), u(28)))
+    between = F.when(k % 5 == 1, F.concat(u(4), F.lit("free").cast("binary"))).when(k % 5 == 2, F.unhex(F.repeat(F.lit("0000000866726565"), 5000))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(_box("ftyp", F.lit("isom").cast("binary"), u(0)), _box("mdat", F.lit("AAAABBBB").cast("binary")), _box("moov", trak(narrow), between, trak(second)))
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("file_id"), content.alias("content"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN p_partkey % 5 = 1 THEN 0 ELSE 2 END AS tracks, CASE p_partkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 5015 ELSE 13 END AS boxes,
+  CASE WHEN p_partkey % 5 = 1 THEN 'malformed ''free'' box at offset 92, where 60 byte(s) are left' END AS error FROM part
+""")
+def container_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of containers of which some have a damaged index."""
+    found = containers.boxes(_odd_containers(spark, sf_dir))
+    return found.groupBy("file_id").agg(F.count_if(F.col("type") == "trak").alias("tracks"), F.count(F.lit(1)).alias("boxes"), F.min("error").alias("error"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS file_id, CASE p_partkey % 5 WHEN 1 THEN 'malformed ''free'' box at offset 60, where 60 byte(s) are left' WHEN 4 THEN 'a chunk offset lies outside the media' END AS error,
+  CASE p_partkey % 5 WHEN 1 THEN '' WHEN 4 THEN '' WHEN 2 THEN '40136,40140' ELSE '136,140' END AS offsets FROM part
+""")
+def container_rewrites_declined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same containers rewritten: why one is declined, or its new offsets."""
+    made = rewrites.rewrite(_odd_containers(spark, sf_dir))
+    tables = containers.boxes(made, payloads=True).where(F.col("type").isin("stco", "co64"))
+    at = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", binary.read_offsets(F.col("payload"), F.col("type")).alias("o")))), lambda x: F.array_join(x["o"].cast("array<string>"), ",")), ",")
+    return made.select("file_id", "error").join(tables.groupBy("file_id").agg(at.alias("offsets")), "file_id", "left").withColumn("offsets", F.coalesce("offsets", F.lit("")))
+
+
+@query("SELECT conv_id, count(*) AS chunks, CAST(sum((turn + 1) * length(text)) AS BIGINT) AS total, true AS exact FROM conversations GROUP BY conv_id")
+def stsc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of samples a chunk to a sample-to-chunk payload and back."""
+    run = F.struct((F.col("turn") + 1).cast("long").alias("first_chunk"), F.length("text").cast("long").alias("samples_per_chunk"), F.lit(1).cast("long").alias("description"))
+    coded = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(binary.write_stsc(F.array_sort(F.collect_list(run))).alias("data"))
+    back = coded.select("conv_id", binary.read_stsc(F.col("data")).alias("r"), binary.is_exact_table(F.col("data"), 12).alias("exact"))
+    return back.select("conv_id", F.size("r").cast("long").alias("chunks"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["first_chunk"] * x["samples_per_chunk"]).alias("total"), "exact")
+
+
+@query("SELECT doc_id, doc_id * 3 AS ticks, doc_id + 7 AS track, doc_id + 8 AS next_track, 100 + CASE WHEN doc_id % 2 = 1 THEN 12 ELSE 0 END AS bytes, doc_id % 3 = 0 AS exact FROM documents")
+def header_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of headers of both versions written and read again, and whether a table is as long as it says."""
+    d, wide = F.col("doc_id"), F.col("doc_id") % 2 == 1
+    start = F.unhex(F.when(wide, "01000000").otherwise("00000000"))
+
+    def blank(n: int) -> Column:
+        return F.concat(start, F.unhex(F.repeat(F.lit("00"), n)))
+
+    mdhd, tkhd, mvhd = binary.with_media_duration(F.when(wide, blank(32)).otherwise(blank(20)), d * 3), binary.with_track_number(blank(92), d + 7), binary.with_next_track_number(F.when(wide, blank(108)).otherwise(blank(96)), d + 8)
+    exact = binary.is_exact_table(F.unhex(F.concat(F.lit("0000000000000001"), F.when(d % 3 == 0, "00000000").otherwise("0000000000"))), 4)
+    return table(spark, sf_dir, "documents").select("doc_id", binary.media_duration(mdhd).alias("ticks"), binary.track_number(tkhd).alias("track"), binary.next_track_number(mvhd).alias("next_track"), F.octet_length(mvhd).cast("long").alias("bytes"), exact.alias("exact"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 256 BETWEEN 32 AND 126 THEN chr(CAST(doc_id % 256 AS INT)) ELSE '\x' || lower(lpad(to_hex(doc_id % 256), 2, '0')) END || 'too' AS shown, true AS same FROM documents
+""")
+def box_type_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box types shown, and turned back into bytes."""
+    raw = F.concat(binary.encoded(F.col("doc_id") % 256, 1), F.lit("too").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", decoders.fourcc(F.col("raw"), 0).alias("shown"), "raw").select("doc_id", "shown", (binary.unescaped(F.col("shown")) == F.col("raw")).alias("same"))
+
+
+@query("""
+SELECT n AS level, (n // 10) || '.' || (n % 10) AS avc, (n // 30) || '.' || CAST(floor(n % 30 / CAST(3 AS DOUBLE) + 0.5) AS BIGINT) AS hevc FROM (SELECT p_partkey % 256 AS n FROM part)
+""")
+def codec_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey") % 256
+    return table(spark, sf_dir, "part").select(n.alias("level"), formats.avc_level(n).alias("avc"), formats.hevc_level(n).alias("hevc"))
+
+
+@query(r"""
+WITH f AS (SELECT page_id, page_id % 7 AS queue, CASE page_id % 4 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'clip.mov.txt' WHEN 2 THEN 'a.m4v' ELSE 'photo.jpg' END AS name, CASE WHEN page_id % 9 = 3 THEN 'video/mp4' END AS kind FROM pages)
+SELECT page_id, queue, row_number() OVER (PARTITION BY queue ORDER BY page_id) <= 8 AS taken FROM f WHERE lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mov' OR lower(name) LIKE '%.m4v' OR kind = 'video/mp4'
+""")
+def intake_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are accepted by name or type, of which each queue takes eight."""
+    p = F.col("page_id")
+    name = F.when(p % 4 == 0, "clip.MP4").when(p % 4 == 1, "clip.mov.txt").when(p % 4 == 2, "a.m4v").otherwise("photo.jpg")
+    files = table(spark, sf_dir, "pages").select("page_id", (p % 7).alias("queue"), name.alias("name"), F.when(p % 9 == 3, "video/mp4").alias("kind"))
+    return containers.intake(files.where(containers.accepted(F.col("name"), F.col("kind"))), "queue", "page_id").select("page_id", "queue", "taken")
+
+
+@query(f"""
+WITH {_FOUND_SQL} SELECT file_id, rule_ord, CASE severity WHEN 'blocker' THEN 'Blocker' WHEN 'warning' THEN 'Worth fixing' ELSE 'For information' END AS severity, CASE fix WHEN 'none' THEN 'No action needed' WHEN 'remux' THEN 'Fixed by remux' WHEN 'retag' THEN 'Fixed by colour tagging' WHEN 'master' THEN 'Needs a re-encode' ELSE 'Re-export from your editor' END AS fix FROM found
+""")
+def finding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).select("file_id", "rule_ord", rules.shown(F.col("severity"), rules.SEVERITY_LABELS).alias("severity"), rules.shown(F.col("fix"), rules.FIX_LABELS).alias("fix"))
