@@ -640,7 +640,7 @@ def _odd_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN p_partkey % 5 = 1 THEN 0 ELSE 2 END AS tracks, CASE p_partkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 5015 ELSE 13 END AS boxes,
+SELECT CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN p_partkey % 5 = 1 THEN 0 ELSE 2 END AS tracks, CASE p_partkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 5013 ELSE 13 END AS boxes,
   CASE WHEN p_partkey % 5 = 1 THEN 'malformed ''free'' box at offset 92, where 60 byte(s) are left' END AS error FROM part
 """)
 def container_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
