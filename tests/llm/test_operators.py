@@ -114,7 +114,7 @@ def test_a_new_shard_moves_little():
         nodes = sorted((int(c), k % 25) for k, c in enumerate(rng.choice(1 << 16, 25 * 160, replace=False)) if k % 25 < shards)
         place[shards] = {(c, r): s for c, a, b, s, _ in ring_shards.walk(loads, nodes, shards) for r in range(a, b)}
     moved = sum(place[24][k] != place[25][k] for k in place[24])
-    assert moved < 0.35 * len(place[24])  # dealing by remainder would move 96 %
+    assert moved < 0.08 * len(place[24])  # ideally 4 %; dealing by remainder would move 96 %
 
 
 def brute_groups(prints, ids, radius=4):
