@@ -18,8 +18,8 @@ from collections.abc import Iterable, Iterator
 
 from reelframe.llm.common import release
 
-KEPT = 400_000
-BATCH_CHARS = 3_000_000
+KEPT = 200_000
+BATCH_CHARS = 500_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _DOUBLE_SPACE = re.compile(r"\s\s|\x00")
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,16 @@ BLOCK_DOCUMENTS = 2048
 STEP_TOKENS = 1 << 16
 YIELD_ROWS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: What is known of a window or remainder where its document is encoded: name, type in Spark, type in Arrow.
+ENCODED = (
+    ("_id", "long", pa.int64()),
+    ("_block", "int", pa.int32()),
+    ("_start", "long", pa.int64()),
+    ("_crc", "long", pa.int64()),
+    ("_tokens", "long", pa.int64()),
+    ("_wide", "boolean", pa.bool_()),
+    ("_ids", "binary", pa.binary()),
+)
 
 
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
@@ -123,13 +134,14 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id"
     rows = _blocked(packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text"), blocks, block_documents)
     window = TIERS[0]
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         with library_cache(vocabulary).task() as cache:
             wide = max(end_id + 1, cache.tokenizer.get_vocab_size()) > 1 << 16  # else ids travel in two bytes
             for batch in batches:
-                coded, out = cache.encode(batch.pop("_text")), []
-                for name, block in zip(batch["_id"], batch["_block"], strict=True):
+                # text by text, as a batch of long texts is several times as large in Python's strings
+                coded, out = cache.encode(text.as_py() for text in batch.column("_text")), []
+                for name, block in zip(batch.column("_id").to_pylist(), batch.column("_block").to_pylist(), strict=True):
                     ids = next(coded) + end
                     n = len(ids) // 4
                     for k in range(n // window):
@@ -138,15 +150,15 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id"
                         rest = np.frombuffer(ids, "<u4", offset=4 * (n - n % window))
                         out.append((name, block, n - n % window, 0, n, wide, (rest if wide else rest.astype("<u2")).tobytes()))
                     if len(out) >= YIELD_ROWS:
-                        yield _frame(out)
+                        yield _batch(out)
                         out = []
                 if out:
-                    yield _frame(out)
+                    yield _batch(out)
 
-    schema = "_id long, _block int, _start long, _crc long, _tokens long, _wide boolean, _ids binary"
-    return rows.mapInPandas(encoded, schema).groupBy("_block").applyInPandas(_pack_block, PIECES)
+    schema = ", ".join(f"{name} {kind}" for name, kind, _ in ENCODED)
+    return rows.mapInArrow(encoded, schema).groupBy("_block").applyInPandas(_pack_block, PIECES)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["_id", "_block", "_start", "_crc", "_tokens", "_wide", "_ids"])
-    return out.assign(_id=pd.Series([None if pd.isna(n) else int(n) for n in out["_id"]], dtype="Int64"))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(values, kind) for values, (_, _, kind) in zip(zip(*rows, strict=True), ENCODED, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _, _ in ENCODED])
