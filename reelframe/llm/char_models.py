@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from reelframe.llm.common import packed, release
 
 OUTPUTS = ["lang_pred", "score", "cross_entropy", "accepted"]
+PREDICTED = pa.schema(zip(OUTPUTS, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))
 ORDER = 4
 PER_LANGUAGE = 600
 CALIBRATION = 4  # one training document in so many calibrates
@@ -202,7 +204,7 @@ class Identifier:
         return pd.DataFrame({"lang_pred": names[best], "score": score, "cross_entropy": np.where(known, low, np.nan), "accepted": known & (low <= allowed)})
 
 
-def _batches(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _batches(sizes: list[int], most: int = 300_000) -> Iterator[tuple[int, int]]:
     first, total = 0, 0
     for k, n in enumerate(sizes):
         if total and total + n > most:
@@ -269,13 +271,14 @@ def identify(df: DataFrame, models: Identifier, id_col: str = "doc_id", text_col
     shared = df.sparkSession.sparkContext.broadcast(models)
     rows = packed(df, text_col, id_col, OUTPUTS, carry).select("_row", "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), YIELD_ROWS):
-                part = batch.iloc[at : at + YIELD_ROWS].reset_index(drop=True)
-                yield pd.concat([part, shared.value.predict(list(part.pop("_text")))], axis=1)
+            for at in range(0, batch.num_rows, YIELD_ROWS):
+                part = batch.slice(at, YIELD_ROWS)
+                said = pa.RecordBatch.from_pandas(shared.value.predict(part.column("_text").to_pylist()), PREDICTED, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *said.columns], ["_row", *OUTPUTS])
         release()
 
     more = T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, accepted boolean")
-    out = rows.mapInPandas(run, T.StructType([rows.schema["_row"], *more.fields]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["_row"], *more.fields]))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in rows.schema["_row"].dataType.names if c != "_none"], *OUTPUTS)
