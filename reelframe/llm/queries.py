@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import bit_planes, char_models, exact_dedup, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
+from reelframe.llm import bit_planes, char_models, exact_dedup, hashed_bpe, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
 from reelframe.llm.common import new_path, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,6 +132,14 @@ def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruned_graph.search(index, cells, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+@query
+def op13_hashed_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids and decoded bytes of every document, as digests."""
+    decoded = hashed_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, carry=["doc_id"], decoded=True)
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
