@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import bit_planes, char_models, exact_dedup, hashed_bpe, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
+from reelframe.llm import bit_planes, block_max, char_models, exact_dedup, hashed_bpe, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
 from reelframe.llm.common import new_path, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -132,6 +132,32 @@ def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruned_graph.search(index, cells, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+@query
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each item of the benchmark."""
+    index = block_max.build_index(table(spark, sf_dir, "documents"))
+    found = block_max.search(index, table(spark, sf_dir, "benchmark"))
+    index.remove()
+    return found
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL["op11_block_max"] = f"""
+WITH held AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{block_max.TERM}')) AS term FROM documents),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{block_max.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS d, sum(n)::BIGINT AS l FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * d + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term, d),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * d) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op13_hashed_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids and decoded bytes of every document, as digests."""
