@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm import bit_planes, block_max, char_models, exact_dedup, hashed_bpe, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
+from reelframe.llm import bit_planes, block_max, char_models, exact_dedup, hashed_bpe, phrase_bitmaps, pruned_graph, quality_trees, ring_shards, secret_scan, simhash_trees, tier_packing, transducer_bpe
 from reelframe.llm.common import new_path, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -158,6 +158,39 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@query
+def op12_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return phrase_bitmaps.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_phrase_bitmaps"] = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, p, count(*) AS f FROM (
+    SELECT lang, unnest(w) AS p FROM words
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, p, f AS a, string_split(p, ' ') AS w FROM phrases WHERE f >= 10 AND p LIKE '% %'),
+cuts AS (
+  SELECT lang, p, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM candidates
+  UNION ALL SELECT lang, p, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE len(w) = 3),
+scored AS (
+  SELECT c.lang, c.p, a, k, h.f AS l, t.f AS r, CAST(1000000 * a::HUGEINT * a // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM cuts c JOIN phrases h ON h.lang = c.lang AND h.p = head JOIN phrases t ON t.lang = c.lang AND t.p = tail
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, p, max(a) AS m FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS p, a FROM candidates WHERE len(w) = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE len(w) = 3) GROUP BY ALL),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.p) AS rank
+  FROM scored s LEFT JOIN longer USING (lang, p) WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, rank, p AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_hashed_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids and decoded bytes of every document, as digests."""
