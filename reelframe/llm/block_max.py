@@ -44,7 +44,7 @@ from reelframe.llm.common import batches_of, cut, new_path, packed, release, rem
 #: What separates terms, and the same for Spark: bytes of ASCII that are neither letters nor digits.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-BLOCK_DOCUMENTS, BLOCK_ENTRIES, READ_BLOCKS, QUERY_CELLS, SEEDS, BEST = 64, 1 << 16, 64, 1 << 22, 2, 10
+BLOCK_DOCUMENTS, BLOCK_ENTRIES, READ_BLOCKS, QUERY_CELLS, SEEDS, BEST = 64, 1 << 16, 32, 1 << 22, 2, 10
 BLOCKS = "block long, ids array<long>, lengths array<long>, vocab array<binary>, most array<int>, held array<int>, starts array<int>, terms array<int>, times array<long>"
 
 
@@ -177,14 +177,14 @@ class Block:
         terms = batch.column("vocab")[k].values
         place = pc.fill_null(pc.index_in(vocab, value_set=terms), -1).to_numpy(zero_copy_only=False)
         self.present = np.flatnonzero(place >= 0)
-        self.place, self.terms, self.weights = place[self.present], len(terms), table[self.present]
+        self.place, self.terms, self.table = place[self.present], len(terms), table
 
     def column(self, name: str) -> np.ndarray:
         return self.batch.column(name)[self.k].values.to_numpy(zero_copy_only=False)
 
     def bounds(self) -> np.ndarray:
         """For each query what no score in the block passes."""
-        return self.column("most")[self.place].astype(self.weights.dtype) @ self.weights
+        return self.column("most")[self.place].astype(self.table.dtype) @ self.table[self.present]
 
     def scores(self, queries: np.ndarray) -> np.ndarray:
         """A row for each of the queries, a column for each document."""
@@ -195,9 +195,9 @@ class Block:
             known = term >= 0
             document = np.repeat(np.arange(len(lengths)), np.diff(starts))[known]
             m = np.array([lengthening(int(n), *self.totals) for n in lengths], np.int64)
-            self.seen = np.zeros((len(self.place), len(lengths)), self.weights.dtype)
+            self.seen = np.zeros((len(self.place), len(lengths)), self.table.dtype)
             self.seen[term[known], document] = impacts(self.column("times")[known], m[document])
-        return self.weights[:, queries].T @ self.seen
+        return self.table[np.ix_(self.present, queries)].T @ self.seen
 
 
 class Best:

@@ -60,14 +60,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is computed within hands Python so many rows at a time, for rows that may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """What is computed within reads and hands Python so many rows at a time, for rows that may be long."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def release() -> None:
