@@ -204,19 +204,24 @@ class Phrases:
     def _frequent(self, names: list[str]) -> DataFrame:
         return cut(self._counted(len(names) == 3, False).groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= self.least))
 
+    def _collected(self, rows: DataFrame) -> pa.Table:
+        """Rows of checked number and size, which go to the driver in large batches, and from there to all shards."""
+        with batches_of(self.spark, YIELD_ROWS):
+            return rows.toArrow()
+
     def _counted(self, triples: bool, named: bool) -> DataFrame:
         """The phrases of each shard: (shard if named, g1, g2, g3 if triples, n)."""
         spark, rows = self.spark, self.shards.select("shard", "lang", "vocab", "sizes", "places", "bits")
         languages = pairs = None
         if self.few_words:
-            known = self.words.select("lang", "word", "id").toArrow()  # of checked size
+            known = self._collected(self.words.select("lang", "word", "id"))
             languages = {lang: known.filter(pc.equal(known["lang"], lang)).drop(["lang"]).combine_chunks() for lang in known["lang"].unique().to_pylist()}
             languages = spark.sparkContext.broadcast({lang: (t["word"].combine_chunks().cast(pa.binary()), t["id"].to_numpy()) for lang, t in languages.items()})
         else:
             each = self.shards.select("shard", "lang", F.posexplode("vocab").alias("k", "word")).join(self.words.select("lang", "word", "id"), ["lang", "word"])
             rows = rows.join(each.groupBy("shard").agg(F.collect_list(F.struct("k", "id")).alias("own_words")), "shard")
         if triples and self.few_pairs:
-            known = self.pairs.select("g1", "g2").toArrow()  # of checked size
+            known = self._collected(self.pairs.select("g1", "g2"))
             pairs = spark.sparkContext.broadcast((known["g1"].to_numpy(), known["g2"].to_numpy()))
         elif triples:
             own = self._counted(False, True).join(self.pairs, ["g1", "g2"]).groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("own_pairs"))
