@@ -13,7 +13,11 @@ components are the groups.  Three steps find them, each of which leaves less to
 
 The members of a large group would all be candidates of each other.  So the members of each bucket (the holders of one
 shingle) of more than SMALL are first compared with PIVOTS pivots of it, and what is linked becomes one component; then
-the candidates of different components are compared, those outside a bucket's largest component with all others.  So every pair that may be alike is compared or in one component already.
+those outside a bucket's largest component are compared with all others.  That happens in blocks of BLOCK members of
+either side, to which the members bring their sets: products of matrices give what each two share, and only links leave
+a block, one a member at most.  No pair is a row before it is known to be a link, unless one of its sets has more than
+WHOLE members: these bring their prefixes, which leave the pairs that may be alike to be compared by their texts.  So
+every pair that may be alike is compared or in one component already.
 
 Only shingles that two prefixes hold are shuffled with their holders: a first pass counts them, and a filter of the
 repeated ones (see exact_dedup) is broadcast.  Pairs are compared by their texts, of which those with very many partners
@@ -44,7 +48,7 @@ from reelframe.llm.simhash_trees import combined, links
 
 WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 1, 16, 4000, 2
 SHARED = 20  # alike sets of n members share 1 + n // SHARED members of their prefixes at least
-FILTER_WORDS, PARTNERS, BUCKET, BATCH = 1 << 20, 256, 4096, 500
+FILTER_WORDS, PARTNERS, BATCH, BLOCK, WHOLE, COLUMNS = 1 << 20, 256, 500, 512, 2048, 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -162,14 +166,118 @@ def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
     return cut(met.where("size is not null")), total
 
 
-def _between(named: DataFrame, total: int) -> DataFrame:
-    """The rows (x, y) of members of different components that share a bucket; those of its largest one meet only the others."""
+def _sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, whole, held) of the ids in the column rep: the set of WHOLE hashes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text.as_py()) for text in batch.column(1)]
+            held = [s.view(np.int64) if len(s) <= WHOLE else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["rep", "held"])
+
+    asked = rows.join(small(ids), F.col("_id") == F.col("rep")).select("rep", "_text")
+    with batches_of(rows.sparkSession, BATCH):
+        return cut(asked.mapInArrow(run, "rep long, held array<long>"))
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of one side shares with each of the other, by products of matrices of 0 and 1."""
+    out = np.zeros((len(one), len(other)), np.float32)
+    known, column = np.unique(np.concatenate(one + other), return_inverse=True)
+    sides, at = [], 0
+    for sets in (one, other):
+        sizes = [len(x) for x in sets]
+        sides.append((np.repeat(np.arange(len(sets)), sizes), column[at : at + sum(sizes)]))
+        at += sum(sizes)
+    both = np.flatnonzero(np.bincount(sides[0][1], minlength=len(known)).astype(bool) & np.bincount(sides[1][1], minlength=len(known)).astype(bool))
+    place = np.full(len(known), -1)
+    place[both] = np.arange(len(both))
+    for first in range(0, len(both), COLUMNS):
+        tables = []
+        for (row, column), sets in zip(sides, (one, other), strict=True):
+            c = place[column] - first
+            kept = (place[column] >= 0) & (c >= 0) & (c < COLUMNS)
+            table = np.zeros((len(sets), min(COLUMNS, len(both) - first)), np.float32)
+            table[row[kept], c[kept]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a table of links the smallest row that they lead to; the number of rows where none."""
+    n = len(linked)
+    row = np.arange(n)
+    while True:
+        column = np.where(linked, row[:, None], n).min(axis=0, initial=n)
+        lower = np.minimum(row, np.where(linked, column[None, :], n).min(axis=1, initial=n))
+        if (lower == row).all():
+            return row, column
+        row = lower
+
+
+def _block_links(block: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links, pairs to be compared by texts) of a block's rows (side, rep, group, n, held, prefix)."""
+    sides = [[r for r in block if r[0] == k] for k in (0, 1)]
+    if not sides[0] or not sides[1]:
+        return [], []
+    data = [[np.asarray(r[4] if r[4] is not None else r[5], np.int64) for r in side] for side in sides]
+    shared = _shared(*data)
+    n, m = (np.array([r[3] for r in side], np.int64) for side in sides)
+    apart = np.array([r[2] for r in sides[0]])[:, None] != np.array([r[2] for r in sides[1]])[None, :]
+    sure = np.array([r[4] is not None for r in sides[0]])[:, None] & np.array([r[4] is not None for r in sides[1]])[None, :]
+    total = n[:, None] + m[None, :]
+    row, column = _forest(apart & sure & (shared * 9 >= total * 4))
+    names = [[r[1] for r in side] for side in sides]
+    links = [(names[0][k], names[0][to]) for k, to in enumerate(row.tolist()) if to != k]
+    links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row)]
+    least = np.minimum(n[:, None], m[None, :])
+    likely = apart & ~sure & (shared >= 1 + least // SHARED) & (least * 9 >= total * 4)
+    return links, [(names[0][i], names[1][j]) for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True)]
+
+
+def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+    """(a, b, sure) between members of different components that share a large bucket; those of its largest one meet only the others.
+
+    sure: whether the two are known to be alike.
+    """
     by_group = named.groupBy("key", F.col("x.group").alias("group")).agg(F.count(F.lit(1)).alias("c"))
     main = by_group.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.sum("c").alias("_size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("keys", F.ceil(F.col("size") / BUCKET).cast("int")))
-    others = mixed.where("x.group <> main").select("key", "x", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"))
-    all_ = mixed.select("key", F.col("x").alias("y"), "main", F.pmod(F.xxhash64("x.rep"), F.col("keys")).cast("int").alias("salt"))
-    return others.join(all_, ["key", "salt"]).where("x.group <> y.group and (y.group = main or x.rep < y.rep)").select("x", "y")
+    mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("keys", F.ceil(F.col("size") / BLOCK).cast("int")))
+    own, every = F.pmod(F.xxhash64("x.rep"), F.col("keys")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1))
+    others = mixed.where("x.group <> main").select("key", F.lit(0).alias("side"), own.alias("one"), every.alias("other"), "x")
+    all_ = mixed.select("key", F.lit(1).alias("side"), every.alias("one"), own.alias("other"), "x")
+    reps = mixed.select("x.rep").distinct()
+    sets = _sets(reps, rows)
+    long = small(sets.where("held is null").select(F.col("rep").alias("_id")).distinct())
+    prefixes = firsts.join(long, "_id", "left_semi").select(F.col("_id").alias("rep"), F.col("n").alias("_n"), "prefix")
+    known = sets.join(prefixes, "rep", "left").select("rep", "held", "prefix", F.coalesce(F.size("held"), "_n").alias("n"))
+    dealt = others.unionByName(all_).select("key", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, []
+
+        def done() -> pa.RecordBatch:
+            links, pairs = _block_links(block)
+            a, b = ([r[k] for r in links + pairs] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(links) + [False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
+
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("key", "one", "other", "side", "rep", "group", "n")]
+            held, prefix = batch.column("held"), batch.column("prefix")
+            for k, (key, one, other, side, rep, group, n) in enumerate(zip(*columns, strict=True)):
+                if (key, one, other) != at:
+                    if block:
+                        yield done()
+                    at, block = (key, one, other), []
+                block.append((side, rep, group, n, held[k].values.to_numpy() if held[k].is_valid else None, prefix[k].values.to_numpy() if prefix[k].is_valid else None))
+        if block:
+            yield done()
+        release()
+
+    with batches_of(rows.sparkSession, BATCH):
+        ordered = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "side")
+        return cut(ordered.mapInArrow(run, "a long, b long, sure boolean").distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS, small_bucket: int = SMALL) -> DataFrame:
@@ -200,7 +308,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    more = _linked(_candidates(few.unionByName(_between(members(large), entries))), rows)
+    met = _in_blocks(members(large), rows, firsts, entries)
+    more = _linked(_candidates(few).unionByName(met.where("not sure").select("a", "b")), rows).unionByName(met.where("sure").select("a", "b"))
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = known.select("_id").join(groups, F.col("_id") == F.col("node"), "left")
     return named.select(F.col("_id").alias("doc_id"), F.coalesce("component", "_id").alias("component_id"))

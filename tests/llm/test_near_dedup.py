@@ -58,3 +58,30 @@ def test_near_stage_chains_and_odd_rows(spark, pivots):
     left = [r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()]
     assert sorted(str(i) for i in left) == sorted(["None", "0", "200", "202", "204", *(str(i) for i, _ in odd)])
     assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_short_and_long_members(spark, monkeypatch):
+    """Many holders of one passage, some near each other and some not, in blocks of four and with sets that do not fit."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    passage = " ".join(f"p{k}" for k in range(36))
+    rows = [(k, f"{passage} " + " ".join(f"d{k // 3}x{j}" for j in range(3 + k % 7))) for k in range(60)]
+    rows += [(500 + k, " ".join(f"q{(k * 7 + j) % 97 if j % 30 == 0 else j}" for j in range(90))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert 2 < len(set(want.values())) < len(rows)
+    for whole in (2048, 38, 4):
+        monkeypatch.setattr(near_dedup, "WHOLE", whole)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, small_bucket=4).collect()} == want
+
+
+def test_shared_counts_and_forests():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    one, other = ([np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(n)] for n in (7, 9))
+    assert near_dedup._shared(one, other).tolist() == [[len(np.intersect1d(a, b)) for b in other] for a in one]
+    linked = np.zeros((4, 4), bool)
+    for i, j in ((3, 0), (2, 0), (2, 1), (1, 1)):  # a path through all but row 0
+        linked[i, j] = True
+    row, column = near_dedup._forest(linked)
+    assert row.tolist() == [0, 1, 1, 1] and column.tolist() == [1, 1, 4, 4]
