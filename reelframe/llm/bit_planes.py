@@ -21,7 +21,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ MAGIC = b"RFBP1\n"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 20
 LEVEL = 3
+STORED = {"part": pa.int32(), "number": pa.int32(), "first": pa.int64(), "n_ids": pa.int64(), "ids_of": pa.list_(pa.int64()), "file": pa.binary()}
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -100,23 +101,26 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", kind: str = "byte", file_ids: int = FILE_IDS) -> None:
     """Encodes the texts with a tokenizer file, appends end_id to each and writes the store to path, in order of id.
 
-    The texts are dealt out by ranges of the id, then sorted and encoded range by range.
+    The texts are dealt out by ranges of the id, then sorted and encoded range by range.  Rows of one id, or without one,
+    are told apart by their text and place, so any number of them spreads over tasks.
     """
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, first = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         names, parts, size = [], [], 0
 
-        def closed() -> pd.DataFrame:
+        def closed() -> pa.RecordBatch:
             lengths = [len(p) // 4 for p in parts]
             data = write_file(lengths, np.frombuffer(b"".join(parts), "<u4"), kind)
-            return pd.DataFrame({"part": [part], "number": [number], "first": [first], "n_ids": [sum(lengths)], "ids_of": [names], "file": [data]})
+            values = (part, number, first, sum(lengths), names, data)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, STORED.values(), strict=True)], list(STORED))
 
         with library_cache(vocabulary).task() as cache:
             for batch in batches:
-                for name, ids in zip(batch["_id"], cache.encode(batch["_text"]), strict=True):
-                    names.append(None if pd.isna(name) else name)
+                coded = cache.encode(text.as_py() for text in batch.column(1))
+                for name, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                    names.append(name)
                     parts.append(ids + end)
                     size += len(parts[-1]) // 4
                     if size >= file_ids:
@@ -126,8 +130,10 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
             yield closed()
 
     kept = packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text")
-    ordered = kept.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first())
-    ordered.mapInPandas(files, "part int, number int, first long, n_ids long, ids_of array<long>, file binary").write.parquet(path)
+    keyed = kept.select("_id", "_text", F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.col("_id").asc_nulls_first(), "_hash", "_row"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
+    ordered.mapInArrow(files, "part int, number int, first long, n_ids long, ids_of array<long>, file binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -137,15 +143,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = store.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part, as many as the writer had tasks
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                lengths, ids = read_file(row.file)
+            names = batch.column("ids_of")
+            for k, (base, first) in enumerate(zip(batch.column("base").to_pylist(), batch.column("first").to_pylist(), strict=True)):
+                lengths, ids = read_file(batch.column("file")[k].as_py())
                 ends = np.cumsum(lengths)
                 data = ids.tobytes()
                 texts = [data[4 * (e - n) : 4 * e] for n, e in zip(lengths, ends, strict=True)]
-                names = pd.Series([None if n is None or n != n else int(n) for n in row.ids_of], dtype="Int64")
-                yield pd.DataFrame({"doc_id": names, "start": row.base + row.first + ends - lengths, "ids": texts})
+                yield pa.RecordBatch.from_arrays([names[k].values, pa.array(base + first + ends - lengths), pa.array(texts, pa.binary())], ["doc_id", "start", "ids"])
 
     rows = store.join(F.broadcast(offsets), "part").select("base", "first", "ids_of", "file")
-    return rows.mapInPandas(documents, "doc_id long, start long, ids binary")
+    return rows.mapInArrow(documents, "doc_id long, start long, ids binary")

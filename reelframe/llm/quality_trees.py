@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,11 +153,11 @@ def score(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(trees)
     rows = packed(df, text_col, id_col, OUTPUTS, carry).select("_row", "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.pop("_text")], float).reshape(-1, len(STATISTICS))
-            yield batch.assign(score=shared.value.scores(x))
+            x = np.array([statistics(text.as_py()) for text in batch.column(1)], float).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["_row", "score"])
 
-    out = rows.mapInPandas(run, T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())]))
     names = [F.col("_row").getField(c).alias(c) for c in rows.schema["_row"].dataType.names if c != "_none"]
     return out.select(*names, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -24,6 +24,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +62,13 @@ def combined(hashed: np.ndarray) -> int:
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _fp): the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.pop("_text")], np.uint64).view(np.int64)
-            yield batch.assign(_fp=prints)
+            prints = np.array([fingerprint(text.as_py()) for text in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["_id", "_fp"])
 
     rows = packed(df, text_col, id_col, OUTPUTS, []).select(F.col("_id").cast("long").alias("_id"), "_text")
-    return rows.mapInPandas(run, "_id long, _fp long")
+    return rows.mapInArrow(run, "_id long, _fp long")
 
 
 def _blocks(fp: Column, blocks: int, bits: int) -> list[tuple[Column, int]]:

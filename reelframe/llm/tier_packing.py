@@ -24,8 +24,8 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,27 +90,29 @@ def step_groups(sequences: list[tuple[int, int]], step_tokens: int = STEP_TOKENS
     return out
 
 
-def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
+def _pack_block(block: pa.Table) -> pa.Table:
     """The pieces of the whole windows (without ids) and of the remainders of a block."""
-    block = block.sort_values(["_id", "_start", "_ids"], kind="stable", na_position="first").reset_index(drop=True)
-    is_whole = block["_ids"].isna().to_numpy()
+    order = pc.sort_indices(block, [(name, "ascending") for name in ("_id", "_start", "_ids")], null_placement="at_start")
+    block = block.take(order).combine_chunks()
+    known, first_ids = {name: block[name].to_numpy() for name in ("_start", "_crc", "_tokens")}, block["_ids"]
+    is_whole = first_ids.is_null().to_numpy()
     whole, rest = np.flatnonzero(is_whole), np.flatnonzero(~is_whole)
-    wide = "<u4" if len(rest) and block["_wide"].iloc[0] else "<u2"
-    texts = [np.frombuffer(ids, wide).astype("<u4") for ids in block["_ids"].iloc[rest]]
+    wide = "<u4" if block["_wide"][0].as_py() else "<u2"
+    texts = [np.frombuffer(first_ids[k].as_py(), wide).astype("<u4") for k in rest.tolist()]
     pieces, sequences = pack_lengths([len(ids) for ids in texts])
     sequences = [(TIERS[0], TIERS[0])] * len(whole) + sequences
-    groups, base = np.array(step_groups(sequences), np.int64), int(block["_block"].iloc[0]) << 32
+    groups, base = np.array(step_groups(sequences), np.int64), block["_block"][0].as_py() << 32
     document, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True)) if pieces else [np.zeros(0, np.int64)] * 5
     crc = [zlib.crc32(texts[d][s : s + n]) for d, s, n, _, _ in pieces]
     row, sequence = np.concatenate([whole, rest[document]]), np.concatenate([np.arange(len(whole)), sequence + len(whole)])
-    names, none = block["_id"].to_numpy(object)[row], np.zeros(len(whole), np.int64)
-    return pd.DataFrame(
+    none = np.zeros(len(whole), np.int64)
+    return pa.table(
         {
-            "doc_id": pd.Series([None if pd.isna(n) else int(n) for n in names], dtype="Int64"),
-            "start": block["_start"].to_numpy(np.int64)[row] + np.concatenate([none, start]),
+            "doc_id": block["_id"].take(pa.array(row)),
+            "start": known["_start"][row] + np.concatenate([none, start]),
             "length": np.concatenate([none + TIERS[0], length]),
-            "ids_crc32": np.concatenate([block["_crc"].to_numpy(np.int64)[whole], np.array(crc, np.int64)]),
-            "doc_tokens": block["_tokens"].to_numpy(np.int64)[row],
+            "ids_crc32": np.concatenate([known["_crc"][whole], np.array(crc, np.int64)]),
+            "doc_tokens": known["_tokens"][row],
             "sequence_id": base + sequence,
             "offset": np.concatenate([none, offset]),
             "tier": np.array([t for t, _ in sequences], np.int32)[sequence],
@@ -156,7 +158,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id"
                     yield _batch(out)
 
     schema = ", ".join(f"{name} {kind}" for name, kind, _ in ENCODED)
-    return rows.mapInArrow(encoded, schema).groupBy("_block").applyInPandas(_pack_block, PIECES)
+    return rows.mapInArrow(encoded, schema).groupBy("_block").applyInArrow(_pack_block, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

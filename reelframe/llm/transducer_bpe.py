@@ -27,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -342,19 +343,20 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     added = ["ids", "decoded"] if decoded else ["ids"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         with _cache(path, name).task() as cache:
             for batch in batches:
-                coded = cache.encode(batch.pop("_text"))
-                for at in range(0, len(batch), YIELD_ROWS):
-                    part = batch.iloc[at : at + YIELD_ROWS]
-                    ids = list(islice(coded, len(part)))
-                    part = part.assign(ids=ids)
-                    yield part.assign(decoded=[vocab.decode(np.frombuffer(b, "<u4").tolist()) for b in ids]) if decoded else part
+                row, coded = batch.column(0), cache.encode(text.as_py() for text in batch.column(1))
+                for at in range(0, len(row), YIELD_ROWS):
+                    ids = list(islice(coded, min(YIELD_ROWS, len(row) - at)))
+                    columns = [row.slice(at, len(ids)), pa.array(ids, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array((vocab.decode(np.frombuffer(b, "<u4").tolist()) for b in ids), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, ["_row", *added])
 
     schema = T.StructType([rows.schema["_row"], T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
-    out = rows.mapInPandas(run, schema)
+    out = rows.mapInArrow(run, schema)
     return out.select(*[F.col("_row").getField(c).alias(c) for c in rows.schema["_row"].dataType.names if c != "_none"], *added)
 
 
