@@ -52,24 +52,41 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is computed within leaves no shuffle files behind: its result is kept or written, so they serve no more."""
+    with setting(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, where the loss of an executor does no harm."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is computed within reads and hands Python so many rows at a time, for rows that may be long."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
-    before = [spark.conf.get(name) for name in names]
-    for name in names:
-        spark.conf.set(name, rows)
+def setting(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """The session's settings changed for what is computed within."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        for name, value in zip(names, before, strict=True):
-            spark.conf.set(name, value)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is computed within reads and hands Python so many rows at a time, for rows that may be long."""
+    with setting(spark, dict.fromkeys(("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"), rows)):
+        yield
 
 
 def release() -> None:
