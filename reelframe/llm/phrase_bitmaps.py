@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 from reelframe.llm.block_max import Numbers
 from reelframe.llm.common import batches_of, cut, new_path, release, remove
 
-SHARD_WORDS, GATHER, TOLD, TOLD_BYTES, SALTS, YIELD_ROWS = 1 << 21, 1 << 19, 4_000_000, 64 << 20, 16, 1 << 17
-LEAST, COVERED, FIRST = 10, 50, 2000
+SHARD_WORDS, GATHER, TOLD, TOLD_BYTES, SALTS, YIELD_ROWS = 1 << 22, 1 << 18, 4_000_000, 64 << 20, 16, 1 << 17
+LEAST, COVERED, FIRST, PAIRED = 10, 50, 2000, 1 << 31
 _END = b"\xff"  # no byte of UTF-8, and so of no word
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 SHARDS = "shard long, lang string, n long, vocab array<binary>, held array<int>, sizes array<int>, places array<int>, bits binary"
@@ -181,10 +181,10 @@ def _position(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def _told(rows: DataFrame, told: int, word: str | None = None) -> bool:
-    """Whether rows are few and short enough to be broadcast."""
+def _told(rows: DataFrame, told: int, word: str | None = None) -> tuple[int, bool]:
+    """The number of rows, and whether they are few and short enough to be broadcast."""
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(word)) if word else F.lit(0)).first()
-    return n <= told and (size or 0) <= TOLD_BYTES
+    return n, n <= told and (size or 0) <= TOLD_BYTES
 
 
 class Phrases:
@@ -194,15 +194,28 @@ class Phrases:
         self.shards, self.least, self.told, self.spark = shards, least, told, shards.sparkSession
         each = shards.select("lang", F.explode(F.arrays_zip("vocab", "held")).alias("w")).select("lang", "w.vocab", "w.held")
         counted = each.groupBy("lang", F.col("vocab").alias("word")).agg(F.sum("held").alias("f")).where(F.col("f") >= least)
-        self.words = cut(counted.withColumn("id", F.monotonically_increasing_id()))
-        self.few_words = _told(self.words, told, "word")
+        kept = cut(counted.withColumn("_m", F.monotonically_increasing_id()))  # 33 bits count within a partition
+        part = F.shiftright("_m", 33).alias("_part")
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = kept.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+        base = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        dense = F.col("base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+        self.words = kept.withColumn("_part", part).join(F.broadcast(base), "_part").select("lang", "word", "f", dense.alias("id"))
+        self.n_words, self.few_words = _told(self.words, told, "word")
         with batches_of(self.spark, 1):  # a shard is large
             self.pairs = self._frequent(["g1", "g2"])
-            self.few_pairs = _told(self.pairs, told)
+            _, self.few_pairs = _told(self.pairs, told)
             self.triples = self._frequent(["g1", "g2", "g3"])
 
     def _frequent(self, names: list[str]) -> DataFrame:
-        return cut(self._counted(len(names) == 3, False).groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= self.least))
+        """(names, a) of the frequent phrases.  Numbers of words are dense, so two of them fit a long below PAIRED words, which makes rows short."""
+        rows = self._counted(len(names) == 3, False)
+        if self.n_words < PAIRED:
+            code = F.shiftleft(F.col("g1"), 31).bitwiseOR(F.col("g2"))
+            rows = rows.select(code.alias("code"), *names[2:], "n")
+            counted = rows.groupBy("code", *names[2:]).agg(F.sum("n").alias("a")).where(F.col("a") >= self.least)
+            return cut(counted.select(F.shiftright("code", 31).alias("g1"), F.col("code").bitwiseAND(F.lit((1 << 31) - 1)).alias("g2"), *names[2:], "a"))
+        return cut(rows.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= self.least))
 
     def _collected(self, rows: DataFrame) -> pa.Table:
         """Rows of checked number and size, which go to the driver in large batches, and from there to all shards."""
@@ -255,8 +268,7 @@ class Phrases:
 
     def candidates(self) -> DataFrame:
         """(lang, phrase, a, l, r, score, covered) of all phrases: covered is the largest number of a longer one that holds it."""
-        words = self.words.select("id", "lang", "word", "f")
-        words, pairs = F.broadcast(words) if self.few_words else words, F.broadcast(self.pairs) if self.few_pairs else self.pairs
+        words, pairs = self.words.select("id", "lang", "word", "f"), self.pairs
 
         def named(df: DataFrame, number: int) -> DataFrame:
             side = words.select(F.col("id").alias(f"g{number}"), F.col("word").cast("string").alias(f"w{number}"), F.col("f").alias(f"f{number}"), *([F.col("lang")] if number == 1 else []))

@@ -57,6 +57,12 @@ def test_phrases_are_exact(spark, options):
     assert want and found(spark, docs, **options) == sorted(want)
 
 
+def test_more_words_than_fit_half_a_long(spark, monkeypatch):
+    monkeypatch.setattr(phrase_bitmaps, "PAIRED", 0)
+    docs = made(9)
+    assert found(spark, docs, shard_words=200) == sorted(brute(docs))
+
+
 def test_bytes_and_pieces(spark):
     docs = [("en", "a" * 7 + " " + " ".join(["b c"] * 9)), ("en", "b,c" * 20), ("en", "b c " * 40 + "b"), ("fr", "q\x00r s\x85t " * 30)]
     assert found(spark, docs) == sorted(brute(docs))
