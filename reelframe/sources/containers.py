@@ -18,7 +18,7 @@ CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "udta", "dinf", "m
 MAX_DEPTH, MAX_TOP_LEVEL = 32, 4096
 NO_PAYLOAD = {"mdat", "free", "skip", "wide"}
 ACCEPTED_TYPES, ACCEPTED_NAME, INTAKE = ("video/mp4", "video/quicktime", "video/x-m4v"), r"\.(mp4|mov|m4v)$", 8
-ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 BOXES = "file_id string, node_id int, parent_id int, depth int, child_ordinal int, path string, type string, start long, size long, header_size int, end long, large boolean, error string"
 
 
