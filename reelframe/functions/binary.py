@@ -140,3 +140,20 @@ def unescaped(name: Column) -> Column:
     parts = F.regexp_extract_all(name, F.lit(r"(?s)\\x[0-9a-f]{2}|."), F.lit(0))
     codes = F.transform(parts, lambda x: F.when(F.length(x) == 4, F.upper(F.substring(x, 3, 2))).otherwise(F.hex(F.encode(x, "ISO-8859-1"))))
     return F.when(F.size(parts) == 4, F.unhex(F.array_join(codes, "")))
+
+
+def number(value: Column | int, width: int = 4) -> Column:
+    """A column or a fixed number in `width` bytes."""
+    return encoded((value if isinstance(value, Column) else F.lit(value)).cast("long"), width)
+
+
+def zeros(n: int) -> Column:
+    return F.unhex(F.lit("00" * n))
+
+
+def boxed(kind: str | Column, *payload: Column) -> Column:
+    """A box of a type with a payload in parts."""
+    name = F.lit(kind).cast("binary") if isinstance(kind, str) else kind.cast("binary")
+    body = F.concat(*payload) if payload else zeros(0)
+    whole = F.transform(F.array(body), lambda b: F.concat(encoded(F.octet_length(b).cast("long") + 8, 4), name, b))
+    return F.element_at(whole, 1)

@@ -392,9 +392,7 @@ SELECT file_id, unnest([0, 1, 2, 3, 4]) AS node_id, unnest(['ftyp[0]', 'moov[1]'
 def box_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers made of the documents, and all their boxes."""
 
-    def box(kind: str, payload: Column) -> Column:
-        return F.concat(binary.encoded(F.octet_length(payload).cast("long") + 8, 4), F.lit(kind).cast("binary"), payload)
-
+    box = binary.boxed
     empty, text = F.unhex(F.lit("")), F.col("text").cast("binary")
     content = F.concat(box("ftyp", F.lit("isom0000").cast("binary")), box("moov", box("udta", F.unhex(F.lit("00000000")))), box("mdat", text), box("free", empty))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), content.alias("content"))
@@ -469,16 +467,7 @@ def plan_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _made_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container for each part: ftyp, padding, media, then an index with one video whose size, clock and chunks follow from the part."""
 
-    def box(kind: str, *payload: Column) -> Column:
-        body = F.concat(*payload) if payload else F.unhex(F.lit(""))
-        return decoders.let(body, lambda b: F.concat(binary.encoded(F.octet_length(b).cast("long") + 8, 4), F.lit(kind).cast("binary"), b))
-
-    def u(value: Column | int, width: int = 4) -> Column:
-        return binary.encoded((value if isinstance(value, Column) else F.lit(value)).cast("long"), width)
-
-    def zeros(n: int) -> Column:
-        return F.unhex(F.lit("00" * n))
-
+    box, u, zeros = binary.boxed, binary.number, binary.zeros
     k = F.col("p_partkey")
     width, height, seconds = 540 + k * 36 % 1512, 540 + k * 60 % 1440, F.col("p_size")
     matrix = [F.when(k % 4 == 0, v).otherwise(w) for v, w in zip((0, 4294901760, 0, 65536, 0), (65536, 0, 0, 0, 65536), strict=True)]
@@ -617,17 +606,9 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- damaged and unusual containers
 
 
-def _box(kind: str, *payload: Column) -> Column:
-    body = F.concat(*payload) if payload else F.unhex(F.lit(""))
-    return decoders.let(body, lambda b: F.concat(binary.encoded(F.octet_length(b).cast("long") + 8, 4), F.lit(kind).cast("binary"), b))
-
-
 def _odd_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part two tracks with offsets into one mdat; between them nothing, a malformed box, many boxes, or an offset of 64 bits or beyond the media."""
-    k = F.col("p_partkey")
-
-    def u(value: Column | int, width: int = 4) -> Column:
-        return binary.encoded((value if isinstance(value, Column) else F.lit(value)).cast("long"), width)
+    k, _box, u = F.col("p_partkey"), binary.boxed, binary.number
 
     def trak(table: Column) -> Column:
         return _box("trak", _box("mdia", _box("minf", _box("stbl", table))))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from reelframe import registry
+from reelframe import media_queries, registry
 from reelframe.functions import binary
 from reelframe.operators import timing
 from reelframe.sources import containers
