@@ -16,8 +16,10 @@ shingle) of more than SMALL are first compared with PIVOTS pivots of it, and wha
 those outside a bucket's largest component are compared with all others.  That happens in blocks of BLOCK members of
 either side, to which the members bring their sets: products of matrices give what each two share, and only links leave
 a block, one a member at most.  No pair is a row before it is known to be a link, unless one of its sets has more than
-WHOLE members: these bring their prefixes, which leave the pairs that may be alike to be compared by their texts.  So
-every pair that may be alike is compared or in one component already.
+WHOLE members: these bring their prefixes, and the pairs that may be alike leave the block of the first shingle that they
+share, to be compared by their texts.  For blocks the prefix that shares one member (L = 1) is enough.  So every pair that
+may be alike is compared or in one component already.  A set of whose prefix too few members are held by any other has
+no partner, and takes no part from the start.
 
 Only shingles that two prefixes hold are shuffled with their holders: a first pass counts them, and a filter of the
 repeated ones (see exact_dedup) is broadcast.  Pairs are compared by their texts, of which those with very many partners
@@ -40,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelframe.llm import exact_dedup
 from reelframe.llm.common import batches_of, cut, meet, packed, release, small
@@ -48,7 +51,7 @@ from reelframe.llm.simhash_trees import combined, links
 
 WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 1, 16, 4000, 2
 SHARED = 20  # alike sets of n members share 1 + n // SHARED members of their prefixes at least
-FILTER_WORDS, PARTNERS, BATCH, BLOCK, WHOLE, COLUMNS = 1 << 20, 256, 500, 512, 2048, 4096
+FILTER_WORDS, PARTNERS, BATCH, BLOCK, WHOLE, COLUMNS = 1 << 20, 256, 500, 512, 256, 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -162,8 +165,9 @@ def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
     bits = exact_dedup.filter_bits(4 * kinds)
     words = cut(repeated.groupBy(exact_dedup.word_of(F.col("key"), bits).alias("word")).agg(F.bit_or(exact_dedup.bits_of(F.col("key"))).alias("mask")))
     likely = exact_dedup.in_filter(entries, "key", *exact_dedup.folded(words, bits, FILTER_WORDS)).where("_maybe").drop("_maybe")
-    met = meet(likely, repeated.withColumn("size", F.col("_size")), "key", total)
-    return cut(met.where("size is not null")), total
+    met = meet(likely, repeated.withColumn("size", F.col("_size")), "key", total).where("size is not null")
+    known = met.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("rep")))  # no more than the prefix of a set
+    return cut(known.where(F.col("_held") > F.floor(F.col("n") / (SHARED * 5 / 4))).drop("_held")), total
 
 
 def _sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -216,8 +220,16 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = lower
 
 
-def _block_links(block: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, pairs to be compared by texts) of a block's rows (side, rep, group, n, held, prefix)."""
+def _first_shared(one: np.ndarray, other: np.ndarray) -> int:
+    """The first of the shingles that two prefixes share; both are in the order of the same rareness."""
+    return int(one[np.isin(one, other).argmax()])
+
+
+def _block_links(key: int, block: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links, pairs to be compared by texts) of the rows (side, rep, group, n, held, prefix) of a block of holders of the shingle key.
+
+    Either of held, a whole set, and prefix is null.  A pair with a long set is given if key is the first that they share.
+    """
     sides = [[r for r in block if r[0] == k] for k in (0, 1)]
     if not sides[0] or not sides[1]:
         return [], []
@@ -233,7 +245,12 @@ def _block_links(block: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[
     links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row)]
     least = np.minimum(n[:, None], m[None, :])
     likely = apart & ~sure & (shared >= 1 + least // SHARED) & (least * 9 >= total * 4)
-    return links, [(names[0][i], names[1][j]) for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True)]
+    pairs = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True):
+        # a whole set is in no order, so a pair of one and a prefix is given in each block
+        if sides[0][i][4] is not None or sides[1][j][4] is not None or _first_shared(data[0][i], data[1][j]) == key:
+            pairs.append((names[0][i], names[1][j]))
+    return links, pairs
 
 
 def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
@@ -258,7 +275,7 @@ def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int)
         at, block = None, []
 
         def done() -> pa.RecordBatch:
-            links, pairs = _block_links(block)
+            links, pairs = _block_links(at[0], block)
             a, b = ([r[k] for r in links + pairs] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(links) + [False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
 
@@ -296,6 +313,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = near.unionByName(links(prints.select("fp", "rep")))
     held, entries = _held(firsts)
     large = held.where(F.col("size") > small_bucket)
+    shortest = large.where(F.col("at") <= F.floor(F.col("n") / 5))
     alone = large.select("key", "size", F.struct("rep", "n", "at", F.col("rep").alias("group")).alias("x"))
     for k in range(pivots):
         pivot = alone.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"), F.count(F.lit(1)).alias("_size"))
@@ -308,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    met = _in_blocks(members(large), rows, firsts, entries)
+    met = _in_blocks(members(shortest), rows, firsts, entries)
     more = _linked(_candidates(few).unionByName(met.where("not sure").select("a", "b")), rows).unionByName(met.where("sure").select("a", "b"))
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = known.select("_id").join(groups, F.col("_id") == F.col("node"), "left")
