@@ -102,7 +102,7 @@ def _tracks(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("handler", kind)
 
 
-def _facts(files: DataFrame, top: DataFrame, nodes: DataFrame) -> DataFrame:
+def _facts(lengths: DataFrame, top: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row for each file: where its boxes lie, its sound track with all that is computed from it, and why it is declined."""
     at = {kind: F.max(F.when(F.col("type") == kind, F.struct("start", "size", "header_size"))).alias(f"_{kind}") for kind in ("ftyp", "moov", "mdat")}
     counts = [F.count_if(F.col("type") == kind) for kind in ("ftyp", "moov", "mdat")]
@@ -111,7 +111,7 @@ def _facts(files: DataFrame, top: DataFrame, nodes: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(F.col("type").isin(*DROPPED), F.struct("child_ordinal", "type")))), lambda x: x["type"]).alias("dropped"), F.max("error").alias("_error"),
     )
     media = F.struct((F.col("_mdat.start") + F.col("_mdat.header_size")).alias("start"), (F.col("_mdat.start") + F.col("_mdat.size")).alias("end"))
-    whole = files.select(F.col("file_id").cast("string").alias("file_id"), F.octet_length("content").alias("_length")).join(boxes, "file_id", "left").withColumn("_media", media)
+    whole = lengths.select("file_id", F.col("file_size").alias("_length")).join(boxes, "file_id", "left").withColumn("_media", media)
     tracks = kept(_tracks(nodes))
     numbers = nodes.where("type = 'tkhd'").groupBy("file_id").agg(F.max(binary.track_number(F.col("payload"))).alias("_most"), F.bool_or(binary.track_number(F.col("payload")).isNull()).alias("_unnumbered"))
     header = nodes.where("type = 'mvhd' AND depth = 1").groupBy("file_id").agg(F.min_by(F.struct("path", "payload"), "place").alias("mvhd"))
@@ -183,13 +183,23 @@ def transform(files: DataFrame, tag: str | None = None, key: str = "file_id", co
     """
     files = files.select(F.col(key).cast("string").alias("file_id"), F.col(content).alias("content"))
     top = kept(containers.boxes(files).where("depth = 0"))
-    nodes = kept(trees.parts(files, entries=True))
-    facts = kept(_facts(files, top, nodes))
+    brand = F.expr("substring(content, CAST(start + 1 AS int), CAST(size AS int))")
+    brands = files.join(top.where("type = 'ftyp'"), "file_id").groupBy("file_id").agg(F.min_by(brand, "start").alias("_brand"))
+    return transform_index(files.select("file_id", F.octet_length("content").cast("long").alias("file_size")), top, brands, files, tag)
+
+
+def transform_index(lengths: DataFrame, top: DataFrame, brands: DataFrame, indexes: DataFrame, tag: str | None = None) -> DataFrame:
+    """transform() of files of which only headers and indexes were read.
+
+    lengths: (file_id, file_size); top: their top-level boxes as containers.BOXES; brands: (file_id, _brand), the whole
+    ftyp box; indexes: (file_id, content) with the moov box, alone or not.
+    """
+    nodes = kept(trees.parts(indexes, entries=True))
+    facts = kept(_facts(lengths, top, nodes))
     good = facts.where("error IS NULL")
     edited = kept(_edits(nodes, good, tag))
-    brand = files.join(good.select("file_id", "_ftyp"), "file_id").select("file_id", F.expr("substring(content, CAST(_ftyp.start + 1 AS int), CAST(_ftyp.size AS int))").alias("_brand"))
     sizes = trees.measured(edited).where("path NOT LIKE '%/%'").select("file_id", F.col("size").alias("_index"))
-    laid = good.join(sizes, "file_id").join(brand, "file_id")
+    laid = good.join(sizes, "file_id").join(brands, "file_id")
     begins = F.octet_length("_brand") + F.col("_index") + F.col("_mdat.header_size")
     length = F.col("_mdat.size") - F.col("_mdat.header_size")
     laid = laid.withColumns({"_begins": begins, "offset_shift": begins - F.col("_media.start"), "_tail": begins + length})
