@@ -121,6 +121,20 @@ def handler(data: Column) -> Column:
     return F.when(F.octet_length(data) >= 12, F.decode(F.substring(data, 9, 4), "ISO-8859-1")).otherwise("none")
 
 
+def is_video(hdlr: Column) -> Column:
+    """Whether a payload of hdlr is that of a picture track; false where there is none."""
+    return F.coalesce(handler(hdlr) == "vide", F.lit(False))
+
+
+def is_audio(hdlr: Column) -> Column:
+    return F.coalesce(handler(hdlr) == "soun", F.lit(False))
+
+
+def is_aac(hdlr: Column, stsd: Column) -> Column:
+    """Whether a sound track's first sample entry is mp4a."""
+    return is_audio(hdlr) & F.coalesce((F.octet_length(stsd) >= 16) & (fourcc(stsd, 12) == "mp4a"), F.lit(False))
+
+
 def kind(name: Column) -> Column:
     return named(name, HANDLERS, F.lit("other"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import binary, decoders, descriptors, formats
 from reelframe.functions.binary import boxed, number, zeros
-from reelframe.operators import analysis, compare, exact
+from reelframe.operators import analysis, compare, exact, timing
 from reelframe.plans import steps
-from reelframe.registry import _FACTS_SQL, _facts, _fixed_sql, _made_containers, query
+from reelframe.registry import _FACTS_SQL, _event_gaps, _facts, _fixed_sql, _hist_sql, _made_containers, query
 from reelframe.session import table
 from reelframe.sources import containers, observed, rewrites, trees
 
@@ -329,3 +329,32 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHE
 def rate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame rates as findings name them."""
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", formats.fps(F.col("l_quantity") / 8, rounded=False).alias("label"))
+
+
+@query(f"WITH {_hist_sql('events')}, n AS (SELECT key, count(*) AS runs FROM runs GROUP BY key) SELECT key, max(n.runs) AS runs, count(*) AS gaps, CAST(max(c) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS dominant_share FROM hist JOIN n USING (key) GROUP BY key")
+def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, different gaps and the share of the most frequent gap of each user."""
+    return timing.run_counts(timing.histogram(_event_gaps(spark, sf_dir)))
+
+
+@query(f"""
+WITH p AS ({_PART}) SELECT file_id, 1 AS videos, CASE WHEN k % 7 = 0 THEN 0 ELSE 1 END AS sounds, CASE WHEN k % 7 IN (0, 1) THEN 0 ELSE 1 END AS aac FROM p
+""")
+def track_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tracks of each file are picture, sound, and sound in AAC, by their handlers and sample entries."""
+    rows = analysis.track_boxes(containers.boxes(_sounding(spark, sf_dir), payloads=True))
+    h, d = F.col("hdlr"), F.col("stsd")
+    return rows.groupBy("file_id").agg(*[F.count_if(test).alias(name) for name, test in (("videos", decoders.is_video(h)), ("sounds", decoders.is_audio(h)), ("aac", decoders.is_aac(h, d)))])
+
+
+@query("""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id % 12 AS pads, strlen(text) AS n FROM documents),
+b AS (SELECT *, unnest(range(pads + 2)) AS ordinal FROM d), s AS (SELECT *, CASE WHEN ordinal = 0 THEN 16 WHEN ordinal <= pads THEN 9 ELSE 8 + n END AS size, 16 + 9 * pads + 8 + n AS total FROM b)
+SELECT file_id, CAST(ordinal AS INT) AS ordinal, CASE WHEN ordinal = 0 THEN 'ftyp' WHEN ordinal <= pads THEN 'free' ELSE 'mdat' END AS type, size, greatest(CAST(0.4 AS DOUBLE), CAST(size AS DOUBLE) / CAST(total AS DOUBLE) * 100) AS share, ordinal < 8 AS in_legend FROM s
+""")
+def box_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of top-level boxes, and which a legend names, in containers with a document as media and up to eleven paddings."""
+    pads = F.unhex(F.repeat(F.lit("000000096672656500"), (F.col("doc_id") % 12).cast("int")))
+    content = F.concat(boxed("ftyp", _text("isom"), zeros(4)), pads, boxed("mdat", _text(F.col("text"))))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), content.alias("content")).withColumn("file_size", F.octet_length("content").cast("long"))
+    return analysis.layout(files, containers.boxes(files))

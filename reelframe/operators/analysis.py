@@ -131,3 +131,17 @@ def reports(files: DataFrame, boxes: DataFrame, found: DataFrame | None = None)
         a["codec"].alias("audio_codec"), a["sample_entries"].alias("audio_entries"), a["offsets_kind"].alias("audio_offsets"), a["samples"].alias("audio_samples"), a["chunks"].alias("audio_chunks"),
         F.coalesce("sounds", F.lit(0)).alias("audio_tracks"), F.greatest(F.lit(0), F.coalesce("top_id", F.lit(0))).alias("max_track_id"), F.coalesce("wide_offsets", F.lit(False)).alias("wide_offsets"), (F.col("file_size") - F.coalesce("last", F.lit(0))).alias("trailing_bytes"),
     )
+
+
+#: The least share that a box is shown with, in percent, and how many boxes the legend names.
+LEAST_SHARE, LEGEND = 0.4, 8
+
+
+def layout(files: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(file_id, ordinal, type, size, share, in_legend): the top-level boxes of each file of files (file_id, file_size).
+
+    share: of the file's size in percent, as wide as it is drawn.  The first LEGEND boxes are named in the legend.
+    """
+    top = boxes.where("depth = 0").select("file_id", F.col("child_ordinal").alias("ordinal"), "type", "size")
+    share = F.greatest(F.lit(LEAST_SHARE), F.col("size").cast("double") / F.greatest(F.col("file_size"), F.lit(1)).cast("double") * 100)
+    return top.join(files.select("file_id", "file_size"), "file_id").select("file_id", "ordinal", "type", "size", share.alias("share"), (F.col("ordinal") < LEGEND).alias("in_legend"))

@@ -14,8 +14,8 @@ STEADY, NEARLY_STEADY, TOLERANCE_PERCENT, TOLERANCE_TICKS = 995, 950, 1, 2
 
 
 def histogram(runs: DataFrame, key: str = "key", delta: str = "delta", count: str = "n", order: str = "ord") -> DataFrame:
-    """(key, delta, c, first): rows of each gap and where it comes first; runs without rows are left out."""
-    return runs.where(F.col(count) > 0).groupBy(key, delta).agg(F.sum(count).alias("c"), F.min(order).alias("first"))
+    """(key, delta, c, first, runs): rows of each gap, where it comes first, and in how many runs; runs without rows are left out."""
+    return runs.where(F.col(count) > 0).groupBy(key, delta).agg(F.sum(count).alias("c"), F.min(order).alias("first"), F.count(F.lit(1)).alias("runs"))
 
 
 def summarize(hist: DataFrame, key: str = "key", delta: str = "delta") -> DataFrame:
@@ -41,6 +41,12 @@ def summarize(hist: DataFrame, key: str = "key", delta: str = "delta") -> DataFr
     return out.withColumn("mode", F.when(share >= STEADY * F.col("n"), "cfr").when(share >= NEARLY_STEADY * F.col("n"), "near-cfr").otherwise("vfr"))
 
 
+def run_counts(hist: DataFrame, key: str = "key") -> DataFrame:
+    """One row a key: runs, different gaps, and the share of rows with the most frequent one."""
+    share = F.max("c").cast("double") / F.sum("c").cast("double")
+    return hist.groupBy(key).agg(F.sum("runs").alias("runs"), F.count(F.lit(1)).alias("gaps"), share.alias("dominant_share"))
+
+
 def gaps(rows: DataFrame, key: str, at: str) -> DataFrame:
     """(key, ord, delta, n): the gaps between neighbours along `at` within each key."""
     line = Window.partitionBy(key).orderBy(at)

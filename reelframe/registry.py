@@ -553,13 +553,18 @@ def repeated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH rungs(name, w, h, ord, shape) AS (VALUES {_RUNGS})
-SELECT name, CAST(rate AS INT) AS rate, CAST(floor(least(CAST(40000000 AS DOUBLE), greatest(CAST(2000000 AS DOUBLE), CAST(w AS DOUBLE) * h * rate * CAST(0.2 AS DOUBLE))) + 0.5) AS BIGINT) AS bitrate FROM rungs CROSS JOIN (VALUES (30), (60)) AS r(rate)
+WITH rungs(name, w, h, ord, shape) AS (VALUES {_RUNGS}), s AS ({_SIZES}),
+near AS (SELECT file_id, name, w, h, row_number() OVER (PARTITION BY file_id ORDER BY abs(w * h - width * height), ord) AS r FROM s JOIN rungs ON shape = CASE WHEN width = height THEN 'square' WHEN height > width THEN 'portrait' ELSE 'landscape' END
+  WHERE NOT EXISTS (SELECT 1 FROM rungs x WHERE x.w = width AND x.h = height)),
+counted AS (SELECT name, w, h, count(*) AS files FROM near WHERE r = 1 GROUP BY ALL)
+SELECT name, files, CAST(rate AS INT) AS rate, CAST(floor(least(CAST(40000000 AS DOUBLE), greatest(CAST(2000000 AS DOUBLE), CAST(w AS DOUBLE) * h * rate * CAST(0.2 AS DOUBLE))) + 0.5) AS BIGINT) AS bitrate FROM counted CROSS JOIN (VALUES (30), (60)) AS r(rate)
 """)
 def guide_bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The guide's table: a bitrate for each delivery size at 30 and 60 frames a second."""
-    rows = spark.createDataFrame([(name, w, h, rate) for name, w, h in lookup.RUNGS for rate in (30, 60)], "name string, w int, h int, rate int")
-    return rows.select("name", "rate", lookup.target_bitrate(F.col("w").cast("double"), F.col("h"), F.col("rate")).alias("bitrate"))
+    """The guide's table for the sizes that the files need: how many files come to each, and its bitrate at 30 and 60 frames a second."""
+    sizes = F.element_at(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for _, w, h in lookup.RUNGS]), F.array_position(F.array(*[F.lit(name) for name, _, _ in lookup.RUNGS]), F.col("name")).cast("int"))
+    near = _sized(spark, sf_dir).select(lookup.nearest_rung(F.col("width"), F.col("height"))["name"].alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+    rows = near.select("name", "files", sizes.alias("size"), F.explode(F.array(F.lit(30), F.lit(60))).alias("rate"))
+    return rows.select("name", "files", "rate", lookup.target_bitrate(F.col("size.w").cast("double"), F.col("size.h"), F.col("rate")).alias("bitrate"))
 
 
 #: Facts of a report made of a document, in SQL that both engines read.
@@ -581,7 +586,7 @@ WITH {_FACTS_SQL}, r AS (SELECT file_id, CASE WHEN fragmented THEN 'the file is
   WHEN NOT has_video THEN 'there is no video track' WHEN wide_offsets THEN 'every chunk-offset table must use the observed 32-bit stco form' WHEN max_track_id > 2 THEN 'there is no room for both a cloned track_ID and the next_track_ID counter'
   WHEN audio_tracks = 0 THEN 'there is no AAC audio track to clone' WHEN audio_tracks > 1 THEN 'the transform requires exactly one AAC audio track; found 2' WHEN audio_format <> 'mp4a' THEN 'the audio is ' || audio_codec || ', not AAC, so the exact replication does not apply'
   WHEN audio_entries > 1 THEN 'the AAC track must contain exactly one sample description' WHEN audio_offsets <> 'stco' THEN 'the AAC track must use a 32-bit stco chunk-offset table' WHEN audio_samples = 0 OR audio_chunks = 0 THEN 'the AAC sample or chunk table is empty'
-  WHEN audio_samples * 992 + 36 > 268435456 THEN 'the observed table expansion would exceed the browser memory budget' ELSE '' END AS reason FROM facts)
+  WHEN audio_samples * 992 + 36 > 268435456 THEN 'the grown tables would pass the memory limit' ELSE '' END AS reason FROM facts)
 SELECT file_id, reason, reason = '' AS supported, reason = 'there is no AAC audio track to clone' OR reason LIKE 'the audio is %' AS needs_aac FROM r
 """)
 def observed_support(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,18 @@ def local_session(name: str = "reelframe", cores: int | str = "*", shuffle_parti
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, read by Spark alone so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def package_zip(folder: str) -> str:
+    """The library as one zip in a folder, for --py-files or ship()."""
+    root = Path(__file__).resolve().parent
+    path = str(Path(folder) / "reelframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands the library to the Python workers of a session whose executors do not have it installed."""
+    spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp(prefix="reelframe-zip-")))

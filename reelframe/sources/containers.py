@@ -172,9 +172,20 @@ def accepted(name, mime_type=None):
     return named if mime_type is None else F.coalesce(mime_type.isin(*ACCEPTED_TYPES), F.lit(False)) | F.coalesce(named, F.lit(False))
 
 
-def intake(files: DataFrame, queue: str, order: str, room: int = INTAKE) -> DataFrame:
-    """files with taken: the first `room` of each queue in order are, the others are rejected."""
-    return files.withColumn("taken", F.row_number().over(Window.partitionBy(queue).orderBy(order)) <= room)
+def intake(files: DataFrame, queue: str, order: str, room: int = INTAKE, salts: int = 64) -> DataFrame:
+    """files with taken: the first `room` of each queue in order are, the others are rejected.
+
+    A queue of any length spreads over `salts` parts, of which each hands on `room` rows at most; the last place that is
+    taken then goes to all rows of the queue.  Among equal orders a hash of the row decides; rows that are equal in
+    all columns are taken or rejected together.  Rows without a queue are a queue.
+    """
+    place = F.struct(F.col(order).alias("o"), F.xxhash64(*[f"`{c}`" for c in files.columns]).alias("h"))
+    keyed = files.select(F.col(queue).alias("_queue"), place.alias("_place"))
+    parts = Window.partitionBy("_queue", F.pmod("_place.h", F.lit(salts))).orderBy("_place")
+    near = keyed.withColumn("_n", F.row_number().over(parts)).where(F.col("_n") <= room)
+    last = near.withColumn("_n", F.row_number().over(Window.partitionBy("_queue").orderBy("_place"))).where(F.col("_n") == room).select("_queue", F.col("_place").alias("_last"))
+    met = files.withColumn("_at", place).join(last, F.col(queue).eqNullSafe(F.col("_queue")), "left")
+    return met.select(*[f"`{c}`" for c in files.columns if c != "taken"], F.coalesce(F.col("_at") <= F.col("_last"), F.lit(True)).alias("taken"))
 
 
 def children(found: DataFrame, parent: str, kind: str | None = None) -> DataFrame:

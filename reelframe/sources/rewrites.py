@@ -23,6 +23,8 @@ from reelframe.sources.containers import CONTAINERS, MAX_DEPTH, MAX_TOP_LEVEL, M
 #: What tags BT.709 in limited range, the bytes of a visual sample entry before its boxes, layout passes.
 REC709 = b"nclx" + struct.pack(">HHHB", 1, 1, 1, 0)
 VISUAL_ENTRY, MAX_PASSES = 86, 6
+#: Boxes that hold places in the file besides chunk offsets; what they point to would move away.
+POINTERS = ("saio", "iloc")
 KNOWN, DROPPED = ("ftyp", "moov", "mdat", "free", "skip", "wide"), ("free", "skip", "wide")
 REWRITTEN = "file_id string, content binary, offsets_moved long, passes int, error string"
 
@@ -70,6 +72,8 @@ def _index(data: bytes, start: int, end: int, shift: int, media: tuple[int, int]
     for kind, first, size, head, _ in headers(data, start, end, strict=True):
         body, at = data[first + head : first + size], first + size
         name = data[first + 4 : first + 8]
+        if kind in POINTERS:
+            raise Declined(f"a {kind} box holds offsets that are not moved")
         if kind in ("stco", "co64"):
             table = offsets(body, kind == "co64")
             _within(table, *media, "a chunk offset")

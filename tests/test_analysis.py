@@ -154,3 +154,26 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"no")
     files = containers.read_files(spark, str(tmp_path))
     assert files.count() == 1 and containers.boxes(files).where("depth = 0").count() == 3
+
+
+def test_intake_of_one_long_queue(spark):
+    """Nine tenths of the rows are one queue; the largest task of the ranking has its share of them only."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 != 0, "q").alias("u"), F.col("id").alias("k"), F.lit(1).alias("taken"))
+    out = containers.intake(rows, "u", "k", room=8)
+    assert out.columns == ["u", "k", "taken"] and out.count() == 20_000
+    assert sorted(r["k"] for r in out.where("taken AND u = 'q'").collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert sorted(r["k"] for r in out.where("taken AND u IS NULL").collect()) == list(range(0, 80, 10))
+    few = spark.createDataFrame([("a", 5), ("a", 5), ("b", 1)], "u string, k long")
+    assert containers.intake(few, "u", "k", room=8).where("taken").count() == 3 and containers.intake(few.limit(0), "u", "k").count() == 0
+
+
+def test_the_library_as_a_zip(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from reelframe.session import package_zip, ship
+
+    path = package_zip(str(tmp_path))
+    said = subprocess.run([sys.executable, "-c", "import reelframe.sources.trees as t; print(t.__file__)"], env={"PYTHONPATH": path, "PATH": "/usr/bin"}, cwd="/", capture_output=True, text=True)
+    assert "reelframe.zip" in said.stdout, said.stderr
+    ship(spark)

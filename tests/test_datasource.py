@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelframe.sources import containers, datasource, ranges
-from tests.test_observed import source, target
-from tests.test_trees import written
+from test_observed import source, target
+from test_trees import written
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelframe.sources import containers, observed, trees
-from tests.test_trees import written
+from test_trees import written
 
 FTYP, MEDIA = written((b"ftyp", b"isom0000")), b"VVVVVVVVaaaaaaaaaaaabbbbbbbbbbbb"
 

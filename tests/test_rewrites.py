@@ -110,3 +110,9 @@ def test_deep_nesting(spark):
     rows = spark.createDataFrame([(n, nested(n)) for n in (32, 33, 60)], "file_id int, content binary")
     found = {r["file_id"]: (r["n"], r["e"]) for r in containers.boxes(rows).groupBy("file_id").agg(F.count("*").alias("n"), F.min("error").alias("e")).collect()}
     assert found["32"] == (34, None) and found["33"][1].startswith("boxes are nested") and found["60"][0] == 2
+
+
+@pytest.mark.parametrize("kind", [b"saio", b"iloc"])
+def test_other_offsets_are_declined(kind):
+    with pytest.raises(rewrites.Declined, match=kind.decode()):
+        rewrites.rewritten(two_tracks(box(kind, u32(0, 1, 24))))
