@@ -114,10 +114,13 @@ def _alike(shared: Column | int, n: Column | int, m: Column | int) -> Column | b
 
 
 def _candidates(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be alike, from a row (x, y) for each shingle that the prefixes of both hold."""
-    low, high = F.least("x", "y"), F.greatest("x", "y")  # structs of rep, n, at, group
-    each = met.where("x.group <> y.group").select(*[side[c].alias(c + name) for side, name in ((low, "1"), (high, "2")) for c in ("rep", "n", "at")])
-    pairs = each.groupBy("rep1", "n1", "rep2", "n2").agg(F.count(F.lit(1)).alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
+    """The pairs (a, b) that may be alike, from a row (x, y) for each shingle that the prefixes of both hold.
+
+    Of the shingles in `wide` buckets, which have no rows here, the two share as many as either has at most.
+    """
+    low, high = F.least("x", "y"), F.greatest("x", "y")  # structs of rep, n, at, wide, group
+    each = met.where("x.group <> y.group").select(*[side[c].alias(c + name) for side, name in ((low, "1"), (high, "2")) for c in ("rep", "n", "at", "wide")])
+    pairs = each.groupBy("rep1", "n1", "wide1", "rep2", "n2", "wide2").agg((F.count(F.lit(1)) + F.least("wide1", "wide2")).alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
     least = 1 + F.floor(F.least("n1", "n2") / SHARED)
     after = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
     likely = pairs.where((F.col("c") >= least) & _alike(F.col("c") + after, F.col("n1"), F.col("n2")))
@@ -157,8 +160,11 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return cut(both.mapInArrow(_compare, "a long, b long").distinct())
 
 
-def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
-    """(rep, n, at, key, size) of the shingles that more than one prefix holds, and how many rows that are."""
+def _held(firsts: DataFrame, small_bucket: int = SMALL) -> tuple[DataFrame, int]:
+    """(rep, n, at, key, size, wide) of the shingles that more than one prefix holds, and how many rows that are.
+
+    wide: of how many shingles of its prefix a set has more than small_bucket holders beside it.
+    """
     entries = firsts.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "key"))
     repeated = cut(entries.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
     kinds, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
@@ -166,7 +172,8 @@ def _held(firsts: DataFrame) -> tuple[DataFrame, int]:
     words = cut(repeated.groupBy(exact_dedup.word_of(F.col("key"), bits).alias("word")).agg(F.bit_or(exact_dedup.bits_of(F.col("key"))).alias("mask")))
     likely = exact_dedup.in_filter(entries, "key", *exact_dedup.folded(words, bits, FILTER_WORDS)).where("_maybe").drop("_maybe")
     met = meet(likely, repeated.withColumn("size", F.col("_size")), "key", total).where("size is not null")
-    known = met.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("rep")))  # no more than the prefix of a set
+    own = Window.partitionBy("rep")  # no more than the prefix of a set
+    known = met.withColumns({"_held": F.count(F.lit(1)).over(own), "wide": F.count_if(F.col("size") > small_bucket).over(own)})
     return cut(known.where(F.col("_held") > F.floor(F.col("n") / (SHARED * 5 / 4))).drop("_held")), total
 
 
@@ -220,36 +227,34 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = lower
 
 
-def _first_shared(one: np.ndarray, other: np.ndarray) -> int:
-    """The first of the shingles that two prefixes share; both are in the order of the same rareness."""
-    return int(one[np.isin(one, other).argmax()])
-
-
-def _block_links(key: int, block: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(links, pairs to be compared by texts) of the rows (side, rep, group, n, held, prefix) of a block of holders of the shingle key.
 
-    Either of held, a whole set, and prefix is null.  A pair with a long set is given if key is the first that they share.
+    held is a whole set, or null if it is long; prefix is null if a set is so short that no long one is like it.  A pair
+    with a long set is given if no shingle before key, in the order of prefixes, is in both.
     """
-    sides = [[r for r in block if r[0] == k] for k in (0, 1)]
-    if not sides[0] or not sides[1]:
-        return [], []
-    data = [[np.asarray(r[4] if r[4] is not None else r[5], np.int64) for r in side] for side in sides]
-    shared = _shared(*data)
-    n, m = (np.array([r[3] for r in side], np.int64) for side in sides)
-    apart = np.array([r[2] for r in sides[0]])[:, None] != np.array([r[2] for r in sides[1]])[None, :]
-    sure = np.array([r[4] is not None for r in sides[0]])[:, None] & np.array([r[4] is not None for r in sides[1]])[None, :]
-    total = n[:, None] + m[None, :]
-    row, column = _forest(apart & sure & (shared * 9 >= total * 4))
-    names = [[r[1] for r in side] for side in sides]
-    links = [(names[0][k], names[0][to]) for k, to in enumerate(row.tolist()) if to != k]
-    links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row)]
-    least = np.minimum(n[:, None], m[None, :])
-    likely = apart & ~sure & (shared >= 1 + least // SHARED) & (least * 9 >= total * 4)
-    pairs = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True):
-        # a whole set is in no order, so a pair of one and a prefix is given in each block
-        if sides[0][i][4] is not None or sides[1][j][4] is not None or _first_shared(data[0][i], data[1][j]) == key:
-            pairs.append((names[0][i], names[1][j]))
+
+    def both(field: int) -> tuple[list[list[tuple]], np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of each side that have a field, whether their groups differ, and the larger and smaller size of each pair."""
+        sides = [[r for r in block if r[0] == k and r[field] is not None] for k in (0, 1)]
+        n, m = (np.array([r[3] for r in side], np.int64) for side in sides)
+        groups = [np.array([r[2] for r in side], np.int64) for side in sides]
+        return sides, groups[0][:, None] != groups[1][None, :], np.maximum(n[:, None], m[None, :]), np.minimum(n[:, None], m[None, :])
+
+    links, pairs = [], []
+    sides, apart, more, less = both(4)
+    if apart.size:
+        shared = _shared(*[[r[4] for r in side] for side in sides])
+        row, column = _forest(apart & (shared * 9 >= (more + less) * 4))
+        names = [[r[1] for r in side] for side in sides]
+        links = [(names[0][k], names[0][to]) for k, to in enumerate(row.tolist()) if to != k]
+        links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row)]
+    sides, apart, more, less = both(5)
+    if apart.size and more.max() > whole:
+        shared = _shared(*[[r[5] for r in side] for side in sides])
+        before = _shared(*[[r[5][: int((r[5] == key).argmax())] for r in side] for side in sides])
+        likely = apart & (more > whole) & (shared >= 1 + less // SHARED) & (less * 9 >= (more + less) * 4) & (before == 0)
+        pairs = [(sides[0][i][1], sides[1][j][1]) for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True)]
     return links, pairs
 
 
@@ -266,8 +271,8 @@ def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int)
     all_ = mixed.select("key", F.lit(1).alias("side"), every.alias("one"), own.alias("other"), "x")
     reps = mixed.select("x.rep").distinct()
     sets = _sets(reps, rows)
-    long = small(sets.where("held is null").select(F.col("rep").alias("_id")).distinct())
-    prefixes = firsts.join(long, "_id", "left_semi").select(F.col("_id").alias("rep"), F.col("n").alias("_n"), "prefix")
+    prefixes = firsts.join(small(reps.select(F.col("rep").alias("_id"))), "_id", "left_semi").where(F.col("n") >= WHOLE * 4 // 5)
+    prefixes = prefixes.select(F.col("_id").alias("rep"), F.col("n").alias("_n"), "prefix")
     known = sets.join(prefixes, "rep", "left").select("rep", "held", "prefix", F.coalesce(F.size("held"), "_n").alias("n"))
     dealt = others.unionByName(all_).select("key", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
 
@@ -275,7 +280,7 @@ def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int)
         at, block = None, []
 
         def done() -> pa.RecordBatch:
-            links, pairs = _block_links(at[0], block)
+            links, pairs = _block_links(at[0], block, WHOLE)
             a, b = ([r[k] for r in links + pairs] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(links) + [False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
 
@@ -311,10 +316,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = cut(firsts.groupBy("fp").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_size")))
     near = meet(firsts.select("_id", "fp"), prints, "fp", total).where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))
     pairs = near.unionByName(links(prints.select("fp", "rep")))
-    held, entries = _held(firsts)
+    held, entries = _held(firsts, small_bucket)
     large = held.where(F.col("size") > small_bucket)
     shortest = large.where(F.col("at") <= F.floor(F.col("n") / 5))
-    alone = large.select("key", "size", F.struct("rep", "n", "at", F.col("rep").alias("group")).alias("x"))
+    alone = large.select("key", "size", F.struct("rep", "n", "at", F.lit(0).cast("long").alias("wide"), F.col("rep").alias("group")).alias("x"))
     for k in range(pivots):
         pivot = alone.groupBy("key").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.rep")).alias("y"), F.count(F.lit(1)).alias("_size"))
         pairs = pairs.unionByName(_candidates(meet(alone, pivot, "key", entries)))
@@ -322,7 +327,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def members(part: DataFrame) -> DataFrame:
         named = part.join(groups, F.col("rep") == F.col("node"), "left")
-        return named.select("key", "size", F.struct("rep", "n", "at", F.coalesce("component", "rep").alias("group")).alias("x"))
+        return named.select("key", "size", F.struct("rep", "n", "at", "wide", F.coalesce("component", "rep").alias("group")).alias("x"))
 
     few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
