@@ -102,12 +102,6 @@ def test_cross_entropies_by_naive_probabilities():
             assert sizes[k] == len(logs) and got[k, 0] == pytest.approx(-sum(logs) / len(logs), rel=1e-9)
 
 
-def test_probabilities_sum_to_less_than_one():
-    counts = Counter("abca"[k : k + 2] for k in range(3))
-    total = sum(naive_probability(counts, "a", c) for c in "abc")
-    assert 0.9 < total < 1
-
-
 def test_equal_languages_go_to_the_first(spark):
     rows = [(k, "some words that both have", lang) for k, lang in enumerate(["b", "a"] * 40)]
     docs = spark.createDataFrame([*rows, (900, "some words", "b"), (900, "some words", "b")], "doc_id long, text string, lang string")
