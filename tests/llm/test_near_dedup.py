@@ -85,3 +85,25 @@ def test_shared_counts_and_forests():
         linked[i, j] = True
     row, column = near_dedup._forest(linked)
     assert row.tolist() == [0, 1, 1, 1] and column.tolist() == [1, 1, 4, 4]
+
+
+@pytest.mark.parametrize(("small", "whole"), [(2, 2048), (5, 8)])
+def test_pairs_that_share_rare_and_common_shingles(spark, monkeypatch, small, whole):
+    """Texts of passages of very different numbers of holders, edited in some words: links meet in small and in large buckets."""
+    import random
+
+    rng = random.Random(small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    passages = [" ".join(f"p{k}w{j}" for j in range(rng.randint(6, 30))) for k in range(14)]
+    bases = [[rng.choice(passages[: 1 + int(rng.expovariate(0.3))] or passages) for _ in range(rng.randint(3, 6))] for _ in range(30)]
+    rows = []
+    for k in range(180):
+        words = " ".join(rng.choice(bases)).split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(6)}"
+        rows.append((k, " ".join(words + [f"t{rng.randrange(3)}"] * rng.randint(0, 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert 5 < len(set(want.values())) < 150
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, pivots=0, small_bucket=small).collect()} == want
