@@ -18,8 +18,10 @@ from collections.abc import Iterable, Iterator
 
 from reelframe.llm.common import release
 
-KEPT = 200_000
+KEPT = 150_000
 BATCH_CHARS = 500_000
+#: Behind a word of letters these are one pre-token, whatever the kind of file; no added token ends with them alone.
+TAIL = "!#$%&()*+,-./:;=?@[]^_`{}~\\\""
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _DOUBLE_SPACE = re.compile(r"\s\s|\x00")
 
@@ -29,6 +31,12 @@ class PieceCache:
 
     def __init__(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of pre-tokens, which many pieces share
+
+    def forget(self, new: list[str]) -> None:
+        """Leaves KEPT words, the first ones."""
+        for word in new[max(0, KEPT - len(self.words) + len(new)) :]:
+            del self.words[word]
 
     def pieces(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -54,7 +62,7 @@ class PieceCache:
         try:
             yield self
         finally:
-            self.known = {}
+            self.known, self.words = {}, {}
             release()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -87,6 +95,7 @@ class LibraryCache(PieceCache):
         elif drops_spaces(said):
             self.kind = "words"
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
+        self.space = self.symbols[32]
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "words" and not _ODD_SPACE.search(text):
@@ -95,27 +104,37 @@ class LibraryCache(PieceCache):
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return [text]
 
-    def _units(self, piece: str) -> list[str] | None:
-        """The pre-tokens of a word of letters, alone or before a comma or full stop; None for other pieces."""
-        lead, body = (" ", piece[1:]) if self.kind == "spaced" and piece.startswith(" ") else ("", piece)
-        end = [body[-1]] if body[-1:] in (",", ".") else []
-        word = body[:-1] if end else body
+    def _parts(self, piece: str) -> tuple[str, str] | None:
+        """A word of letters, normalised, and what follows it; None for other pieces."""
+        word = piece.rstrip(TAIL)
+        if self.kind == "text" or not word[self.kind == "spaced" and word.startswith(" ") :].isalpha():
+            return None
+        tail = piece[len(word) :]
         if self.kind == "words":
             word = (word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")).lower()
-        if self.kind == "text" or not word.isalpha():
-            return None
-        return [(lead + word).encode().decode("latin-1").translate(self.symbols), *end]
+            if not word.isalpha():
+                return None
+        return word, tail
 
     def ids_of(self, pieces: list[str]) -> Iterable[bytes]:
         """Words of letters go to the library's model; all else takes its whole way, added tokens included."""
-        model = self.tokenizer.model.tokenize
+        model, known, new, out = self.tokenizer.model.tokenize, self.words, [], []
         for piece in pieces:
-            units = self._units(piece)
-            if units is None:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            else:
-                ids = [token.id for unit in units for token in model(unit)]
-            yield array("I", ids).tobytes()
+            parts = self._parts(piece)
+            if parts is None:
+                out.append(array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes())
+                continue
+            for word in parts:
+                if word not in known:
+                    if word.isascii():
+                        unit = self.space + word[1:] if word.startswith(" ") else word
+                    else:
+                        unit = word.encode().decode("latin-1").translate(self.symbols)
+                    known[word] = array("I", [token.id for token in model(unit)] if unit else []).tobytes()
+                    new.append(word)
+            out.append(known[parts[0]] + known[parts[1]])
+        self.forget(new)
+        return out
 
 
 def byte_symbols() -> list[str]:

@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from reelframe.llm.common import cut, new_path, packed
-from reelframe.llm.piece_cache import _ODD_SPACE, PieceCache, byte_symbols, drops_spaces
+from reelframe.llm.merges import Merges
+from reelframe.llm.piece_cache import _ODD_SPACE, TAIL, PieceCache, byte_symbols, drops_spaces
 
 OUTPUTS = ["ids", "decoded"]
 LEXICON_WORDS = 60_000
@@ -72,6 +73,8 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+        self.together = Merges((left, right, rank, made) for (left, right), (rank, made) in self.merges.items())
+        self.first, self.last = (np.array([self.ids[s + end] for s in byte_symbols()], np.int64) for end in ("", self.suffix))
         self.added = {t["content"]: t["id"] for t in said.get("added_tokens", [])}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -91,12 +94,27 @@ class Vocabulary:
             return [bytes(map(self.bytes.__getitem__, symbols)).decode() for symbols, _ in cut]
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def _symbols(self, word: str) -> list[int]:
+        symbols = word.encode().decode("latin-1").translate(self.table)
+        return [self.ids[s] for s in symbols[:-1]] + [self.ids[symbols[-1] + self.suffix]]
+
     def merged(self, word: str) -> list[int]:
         """The ids of a word."""
-        symbols = word.encode().decode("latin-1").translate(self.table)
-        ids = [self.ids[s] for s in symbols[:-1]] + [self.ids[symbols[-1] + self.suffix]]
+        ids = self._symbols(word)
         return self._merge(ids) if len(ids) <= LONG_WORD else self._merge_long(ids)
 
+    def merged_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers; all but long words are merged together."""
+        data = [word.encode() for word in words]
+        short = [d for d in data if len(d) <= LONG_WORD]
+        lengths = np.array([len(d) for d in short], np.int64)
+        flat = np.frombuffer(b"".join(short), np.uint8)
+        ids = self.first[flat]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last[flat[ends]]
+        coded = iter(self.together.merged(ids, lengths) if short else [])
+        return [next(coded) if len(d) <= LONG_WORD else array("I", self.merged(word)).tobytes() for d, word in zip(data, words, strict=True)]
+
     def _merge(self, ids: list[int]) -> list[int]:
         get = self.merges.get
         while len(ids) > 1:
@@ -249,6 +267,7 @@ class TransducerCache(PieceCache):
     def __init__(self, vocab: Vocabulary, lexicon: Transducer) -> None:
         super().__init__()
         self.vocab, self.lexicon = vocab, lexicon
+        self.flat_ids, self.offsets = lexicon.ids.tobytes(), lexicon.offsets.tolist()
 
     def pieces(self, text: str) -> list[str]:
         return [text] if _ODD_SPACE.search(text) else text.split()
@@ -258,19 +277,23 @@ class TransducerCache(PieceCache):
         if self.vocab.split_added and "<" in piece:
             cuts = self.vocab.split_added.split(piece)
             return [part for k, cut in enumerate(cuts) for part in ([(True, cut)] if k % 2 else [(False, w) for w in self.vocab.normal_words(cut)])]
+        word = piece.rstrip(TAIL)
+        if word.isascii() and word.isalpha():
+            return [(False, word.lower()), (False, piece[len(word) :])] if len(word) < len(piece) else [(False, word.lower())]
         return [(False, w) for w in self.vocab.normal_words(piece)]
 
     def ids_of(self, pieces: list[str]) -> Iterable[bytes]:
-        cuts = [self._parts(piece) for piece in pieces]
-        words = list({word for cut in cuts for added, word in cut if not added})
-        ids = {}
-        for word, rank in zip(words, self.lexicon.ranks(words).tolist() if words else [], strict=True):
-            if rank >= 0:
-                ids[word] = self.lexicon.ids[self.lexicon.offsets[rank] : self.lexicon.offsets[rank + 1]].tobytes()
-            else:
-                ids[word] = array("I", self.vocab.merged(word)).tobytes()
+        cuts, ids = [self._parts(piece) for piece in pieces], self.words
+        words = list({word for cut in cuts for added, word in cut if not added}.difference(ids))
+        ranks = self.lexicon.ranks(words).tolist() if words else []
+        data, offsets = self.flat_ids, self.offsets
+        ids.update((word, data[4 * offsets[rank] : 4 * offsets[rank + 1]]) for word, rank in zip(words, ranks, strict=True) if rank >= 0)
+        rest = [word for word, rank in zip(words, ranks, strict=True) if rank < 0]
+        ids.update(zip(rest, self.vocab.merged_all(rest), strict=True))
         tokens = {t: array("I", [i]).tobytes() for t, i in self.vocab.added.items()}
-        return [b"".join(tokens[word] if added else ids[word] for added, word in cut) for cut in cuts]
+        out = [b"".join([tokens[word] if added else ids[word] for added, word in cut]) for cut in cuts]
+        self.forget(words)
+        return out
 
 
 @functools.lru_cache(maxsize=4)
