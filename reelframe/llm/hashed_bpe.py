@@ -3,7 +3,8 @@
 Tier one is a minimal perfect hash of the vocabulary: a hash sends each entry to a bucket, and the bucket's displacement
 to a slot of its own among exactly as many slots as entries; a bucket of one entry names its slot.  A whole pre-token is
 found by one probe and one comparison, and is then a single id.  Tier two takes what the vocabulary does not have: its
-bytes are linked, and a heap gives again and again the pair with the lowest rank, the leftmost of equals.
+bytes are merged, again and again the pair with the lowest rank, the leftmost of equals: those of many pre-tokens
+together by arrays (see merges), those of long ones linked, with a heap.
 
 Texts are cut before each single space between other characters, over which no pre-token reaches, and each distinct
 piece is encoded once in a task (see piece_cache); pre-tokens are the matches of the pattern.
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelframe.llm.common import packed
-from reelframe.llm.piece_cache import _DOUBLE_SPACE, PieceCache
+from reelframe.llm.merges import Merges
+from reelframe.llm.piece_cache import _DOUBLE_SPACE, TAIL, PieceCache
 
 OUTPUTS = ["ids", "decoded"]
-BUCKET_ENTRIES, TRIES, YIELD_ROWS = 3, 256, 256
+BUCKET_ENTRIES, TRIES, YIELD_ROWS, LONG_WORD = 3, 256, 256, 64
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -110,6 +112,9 @@ class RankedCache(PieceCache):
         self.ranks, self.pattern = ranked, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranked.items()}
         self.whole, self.rank_of = PerfectHash(list(ranked)), list(ranked.values())
+        self.single = np.array([ranked.get(bytes([b]), -1) for b in range(256)], np.int64)
+        halves = ((ranked.get(token[:k]), ranked.get(token[k:]), rank, rank) for token, rank in ranked.items() for k in range(1, len(token)))
+        self.together = Merges(h for h in halves if h[0] is not None and h[1] is not None)
 
     def pieces(self, text: str) -> list[str]:
         if _DOUBLE_SPACE.search(text):
@@ -117,10 +122,29 @@ class RankedCache(PieceCache):
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")  # each single space begins a piece, a line end is one
 
     def ids_of(self, pieces: list[str]) -> Iterable[bytes]:
-        cuts = [[m.encode() for m in self.pattern.findall(piece)] for piece in pieces]
-        words = list({word for cut in cuts for word in cut})
-        ids = {word: array("I", [self.rank_of[k]] if k >= 0 else self.merged(word)).tobytes() for word, k in zip(words, self.whole.number(words), strict=True)}
-        return [b"".join(map(ids.__getitem__, cut)) for cut in cuts]
+        cuts, ids = [self._parts(piece) for piece in pieces], self.words
+        words = list({word for cut in cuts for word in cut}.difference(ids))
+        coded = [word.encode() for word in words]
+        places = self.whole.number(coded)
+        rest = iter(self.merged_all([data for data, k in zip(coded, places, strict=True) if k < 0]))
+        ids.update((word, next(rest) if k < 0 else self.rank_of[k].to_bytes(4, "little")) for word, k in zip(words, places, strict=True))
+        out = [b"".join(map(ids.__getitem__, cut)) for cut in cuts]
+        self.forget(words)
+        return out
+
+    def _parts(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece."""
+        word = piece.rstrip(TAIL)
+        if word.isascii() and word[word.startswith(" ") :].isalpha():
+            return [word, piece[len(word) :]] if len(word) < len(piece) else [word]
+        return self.pattern.findall(piece)
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian unsigned 32-bit integers; all but long ones are merged together."""
+        short = [word for word in words if len(word) <= LONG_WORD]
+        ids = self.single[np.frombuffer(b"".join(short), np.uint8)]
+        coded = iter(self.together.merged(ids, np.array([len(w) for w in short], np.int64)) if short else [])
+        return [next(coded) if len(word) <= LONG_WORD else array("I", self.merged(word)).tobytes() for word in words]
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of a pre-token; after[k] is where the part that begins at k ends, and so where the next one begins."""
