@@ -13,7 +13,7 @@ components are the groups.  Three steps find them, each of which leaves less to
 
 The members of a large group would all be candidates of each other.  So the members of each bucket (the holders of one
 shingle) of more than SMALL are first compared with PIVOTS pivots of it, and what is linked becomes one component; then
-those outside a bucket's largest component are compared with all others.  That happens in blocks of BLOCK members of
+those outside a bucket's largest component are compared with all others.  That happens in blocks of about BLOCK members of
 either side, to which the members bring their sets: products of matrices give what each two share, and only links leave
 a block, one a member at most.  No pair is a row before it is known to be a link, unless one of its sets has more than
 WHOLE members: these bring their prefixes, and the pairs that may be alike leave the block of the first shingle that they
@@ -51,7 +51,7 @@ from reelframe.llm.simhash_trees import combined, links
 
 WORDS, SEED, PIVOTS, SMALL, SAMPLE, COMMON = 5, 42, 1, 16, 4000, 2
 SHARED = 20  # alike sets of n members share 1 + n // SHARED members of their prefixes at least
-FILTER_WORDS, PARTNERS, BATCH, BLOCK, WHOLE, COLUMNS = 1 << 20, 256, 500, 512, 256, 4096
+FILTER_WORDS, PARTNERS, BATCH, BLOCK, WHOLE, COLUMNS, STEP = 1 << 20, 256, 500, 512, 256, 4096, 1.26
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -230,13 +230,13 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(links, pairs to be compared by texts) of the rows (side, rep, group, n, held, prefix) of a block of holders of the shingle key.
 
-    held is a whole set, or null if it is long; prefix is null if a set is so short that no long one is like it.  A pair
+    Side 0 meets side 1; rows of side 2 meet each other.  held is a whole set, or null if it is long; prefix is null if a set is so short that no long one is like it.  A pair
     with a long set is given if no shingle before key, in the order of prefixes, is in both.
     """
 
     def both(field: int) -> tuple[list[list[tuple]], np.ndarray, np.ndarray, np.ndarray]:
         """The rows of each side that have a field, whether their groups differ, and the larger and smaller size of each pair."""
-        sides = [[r for r in block if r[0] == k and r[field] is not None] for k in (0, 1)]
+        sides = [[r for r in block if r[0] in (k, 2) and r[field] is not None] for k in (0, 1)]
         n, m = (np.array([r[3] for r in side], np.int64) for side in sides)
         groups = [np.array([r[2] for r in side], np.int64) for side in sides]
         return sides, groups[0][:, None] != groups[1][None, :], np.maximum(n[:, None], m[None, :]), np.minimum(n[:, None], m[None, :])
@@ -245,10 +245,13 @@ def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list
     sides, apart, more, less = both(4)
     if apart.size:
         shared = _shared(*[[r[4] for r in side] for side in sides])
-        row, column = _forest(apart & (shared * 9 >= (more + less) * 4))
+        linked, itself = apart & (shared * 9 >= (more + less) * 4), block[0][0] == 2
+        if itself:
+            np.fill_diagonal(linked, True)
+        row, column = _forest(linked)
         names = [[r[1] for r in side] for side in sides]
         links = [(names[0][k], names[0][to]) for k, to in enumerate(row.tolist()) if to != k]
-        links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row)]
+        links += [(names[1][k], names[0][to]) for k, to in enumerate(column.tolist()) if to < len(row) and not itself]
     sides, apart, more, less = both(5)
     if apart.size and more.max() > whole:
         shared = _shared(*[[r[5] for r in side] for side in sides])
@@ -258,23 +261,43 @@ def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list
     return links, pairs
 
 
+def _placed(mixed: DataFrame) -> DataFrame:
+    """(key, window, one, other, side, x): the members of buckets in each block that they go to."""
+    own = F.floor(F.log("x.n") / np.log(STEP)).cast("int")
+    windows = F.when(F.col("size") > BLOCK, F.array(own, own + 1)).otherwise(F.array(F.lit(0)))
+    placed = mixed.select("key", "size", "in_main", "x", F.explode(windows).alias("window"))
+    sizes = placed.where(F.col("size") > BLOCK).groupBy("key", "window").agg(F.count_if("in_main").alias("m"), F.count_if(~F.col("in_main")).alias("o"))
+    fits = F.col("m") + F.col("o") <= BLOCK
+    parts = small(sizes.select("key", "window", F.when(fits, 0).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int").alias("mains"), F.when(fits, F.signum("o")).otherwise(F.ceil(F.col("o") / BLOCK)).cast("int").alias("others")))
+    cells = placed.join(parts, ["key", "window"], "left").withColumns({"mains": F.coalesce("mains", F.lit(0)), "others": F.coalesce("others", F.lit(1))}).where("others > 0")
+    stays = F.col("in_main") & (F.col("mains") > 0)
+    at = F.xxhash64("x.rep")
+    cells = cells.withColumn("part", F.when(stays, F.pmod(at, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(at, F.col("others"))).cast("int"))
+    met = F.explode(F.sequence(F.when(stays, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)).alias("q")
+    side = F.when(F.col("part") == F.col("q"), 2).when(F.col("part") < F.col("q"), 0).otherwise(1).alias("side")
+    return cells.select("key", "window", "part", "x", met).select("key", "window", F.least("part", "q").alias("one"), F.greatest("part", "q").alias("other"), side, "x")
+
+
 def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
     """(a, b, sure) between members of different components that share a large bucket; those of its largest one meet only the others.
 
+    Of shingles with the same holders, such as those of one passage, the first in the order of prefixes stands for all.
+    Sets of which one is more than 5/4 of the other are not alike.  So a bucket of more than BLOCK is cut into windows of
+    two neighbouring classes of sizes.  A window that still has more is cut into parts, of which each two meet in a block
+    of their own, those of the largest component only parts of the others.
     sure: whether the two are known to be alike.
     """
-    by_group = named.groupBy("key", F.col("x.group").alias("group")).agg(F.count(F.lit(1)).alias("c"))
-    main = by_group.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.sum("c").alias("_size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("keys", F.ceil(F.col("size") / BLOCK).cast("int")))
-    own, every = F.pmod(F.xxhash64("x.rep"), F.col("keys")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1))
-    others = mixed.where("x.group <> main").select("key", F.lit(0).alias("side"), own.alias("one"), every.alias("other"), "x")
-    all_ = mixed.select("key", F.lit(1).alias("side"), every.alias("one"), own.alias("other"), "x")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "x.rep")).alias(f"xor{k}") for k in (0, 1)]
+    by_group = named.groupBy("key", F.col("x.group").alias("group")).agg(F.count(F.lit(1)).alias("c"), *same, F.min(F.struct("x.rep", "x.at")).alias("least"))
+    main = by_group.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.sum("c").alias("_size"), F.count(F.lit(1)).alias("groups"), *[F.bit_xor(f"xor{k}").alias(f"xor{k}") for k in (0, 1)], F.min("least").alias("least"))
+    main = main.where("groups > 1").groupBy("xor0", "xor1", "_size", "least.rep").agg(F.min_by(F.struct("key", "main"), "least.at").alias("first")).select("first.key", "first.main", "_size")
+    mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("in_main", F.expr("x.group = main")))
     reps = mixed.select("x.rep").distinct()
     sets = _sets(reps, rows)
     prefixes = firsts.join(small(reps.select(F.col("rep").alias("_id"))), "_id", "left_semi").where(F.col("n") >= WHOLE * 4 // 5)
     prefixes = prefixes.select(F.col("_id").alias("rep"), F.col("n").alias("_n"), "prefix")
     known = sets.join(prefixes, "rep", "left").select("rep", "held", "prefix", F.coalesce(F.size("held"), "_n").alias("n"))
-    dealt = others.unionByName(all_).select("key", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
+    dealt = _placed(mixed).select("key", "window", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, []
@@ -285,20 +308,20 @@ def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(links) + [False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
 
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("key", "one", "other", "side", "rep", "group", "n")]
+            columns = [batch.column(name).to_pylist() for name in ("key", "window", "one", "other", "side", "rep", "group", "n")]
             held, prefix = batch.column("held"), batch.column("prefix")
-            for k, (key, one, other, side, rep, group, n) in enumerate(zip(*columns, strict=True)):
-                if (key, one, other) != at:
+            for k, (key, window, one, other, side, rep, group, n) in enumerate(zip(*columns, strict=True)):
+                if (key, window, one, other) != at:
                     if block:
                         yield done()
-                    at, block = (key, one, other), []
+                    at, block = (key, window, one, other), []
                 block.append((side, rep, group, n, held[k].values.to_numpy() if held[k].is_valid else None, prefix[k].values.to_numpy() if prefix[k].is_valid else None))
         if block:
             yield done()
         release()
 
     with batches_of(rows.sparkSession, BATCH):
-        ordered = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "side")
+        ordered = dealt.repartition("key", "window", "one", "other").sortWithinPartitions("key", "window", "one", "other", "side")
         return cut(ordered.mapInArrow(run, "a long, b long, sure boolean").distinct())
 
 
