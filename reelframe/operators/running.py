@@ -38,7 +38,7 @@ def _bounds(rows: DataFrame, ranges: int, total: int) -> list[Column]:
     """At most ranges - 1 values of _key that cut rows into ranges of about equal size; only the time depends on which."""
     share = min(1.0, DRAWN * ranges / max(1, total))
     drawn = rows.select("_key").where(F.rand(17) < share).distinct().orderBy("_key").collect() if ranges > 1 else []  # about DRAWN rows a range
-    step = max(1, len(drawn) // ranges)
+    step = max(1, len(drawn) // max(1, ranges))
     return [_literal(r["_key"], rows.schema["_key"].dataType) for r in drawn[step::step]]
 
 
