@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents.  A
 column of docs that a stage does not know passes through.
+
+Stages that hand texts to Python set the session's bytes in a batch to BATCH_BYTES, which stays set, as a frame is computed
+only after its stage has returned.  With Spark's 64 MB a task's whole partition goes over at once, and is in memory up to
+three times on either side.
 """
 
 from __future__ import annotations
@@ -14,8 +18,16 @@ from reelframe.llm import char_models, exact_dedup, near_dedup, secret_scan, tie
 from reelframe.llm.common import new_path, table
 
 
+BATCH_BYTES = 4 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a character model of some language accepts; those with no letters, or unlike any language, go."""
+    _bounded(spark)
     models = char_models.train(docs, F.lit(True))
     named = [f"_{k}" for k in range(len(docs.columns))]  # so that no result column replaces one of docs
     at = dict(zip(docs.columns, named, strict=True))
@@ -30,6 +42,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, Jaccard 0.8), that with the smallest doc_id."""
+    _bounded(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -44,6 +57,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 1024 tokens."""
+    _bounded(spark)
     return tier_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 

@@ -240,7 +240,9 @@ def train(df: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str
     totals = rows.groupBy("_lang").count().collect()
     if not totals:
         return Identifier(order, {}, {}, {}, margin)
-    shares = df.sparkSession.createDataFrame([(r["_lang"], min(1 << 30, int((1 << 30) * per_language / r["count"]))) for r in totals], "_lang string, _share long")
+    # frames of Arrow tables, as those of lists start Python workers of another kind on the executors
+    drawn = [min(1 << 30, int((1 << 30) * per_language / r["count"])) for r in totals]
+    shares = df.sparkSession.createDataFrame(pa.table({"_lang": pa.array([r["_lang"] for r in totals], pa.string()), "_share": pa.array(drawn, pa.int64())}))
     sample = rows.join(F.broadcast(shares), "_lang").where("_draw < _share").drop("_share")
     calibrates = F.col("_draw") % CALIBRATION == 0
     counts: dict[str, dict[str, int]] = {}
@@ -259,7 +261,7 @@ def train(df: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str
 
     seen = sample.where(calibrates).mapInPandas(measure, "lang string, h double, n long")
     mean = {r["lang"]: r["m"] for r in seen.groupBy("lang").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-    means = df.sparkSession.createDataFrame(list(mean.items()), "lang string, m double")
+    means = df.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(mean), pa.string()), "m": pa.array(list(mean.values()), pa.float64())}))
     excess = {r["lang"]: r["x"] for r in seen.join(F.broadcast(means), "lang").groupBy("lang").agg(F.percentile((F.col("h") - F.col("m")) * F.sqrt("n"), EXCESS).alias("x")).collect()}
     models.mean = {lang: mean.get(lang, 20.0) for lang in names}
     models.excess = {lang: max(0.0, excess.get(lang, 0.0)) for lang in names}

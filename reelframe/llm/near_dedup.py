@@ -16,8 +16,8 @@ shingle) of more than SMALL are first compared with PIVOTS pivots of it, and wha
 those outside a bucket's largest component are compared with all others.  That happens in blocks of about BLOCK members of
 either side, to which the members bring their sets: products of matrices give what each two share, and only links leave
 a block, one a member at most.  No pair is a row before it is known to be a link, unless one of its sets has more than
-WHOLE members: these bring their prefixes, and the pairs that may be alike leave the block of the first shingle that they
-share, to be compared by their texts.  For blocks the prefix that shares one member (L = 1) is enough.  So every pair that
+WHOLE members: these bring what others hold of their prefixes, by numbers, and the pairs that may be alike leave the block
+of the first shingle that they share, to be compared by their texts.  For blocks the prefix that shares one member (L = 1) is enough.  So every pair that
 may be alike is compared or in one component already.  A set of whose prefix too few members are held by any other has
 no partner, and takes no part from the start.
 
@@ -67,6 +67,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[WORDS - 1 :])] or [digest(joined, SEED)], np.uint64))  # noqa: B905
 
 
+def _prefix_size(n: int | np.ndarray) -> int | np.ndarray:
+    """Of a set of n members; an empty one has no more than it has."""
+    return n // 5 + n // SHARED + 1
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed(df, text_col, id_col, [], []).select(F.col("_id").cast("long").alias("_id"), "_text").where("_id is not null")
 
@@ -95,7 +100,7 @@ def _known(rows: DataFrame) -> DataFrame:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, held), len(keys) - 1)
             held = held[np.lexsort((held, np.where(keys[at] == held, counts[at], 0)))]
-        return held[: len(held) // 5 + len(held) // SHARED + 1].view(np.int64)
+        return held[: _prefix_size(len(held))].view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
@@ -163,15 +168,20 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _held(firsts: DataFrame, small_bucket: int = SMALL) -> tuple[DataFrame, int]:
     """(rep, n, at, key, size, wide) of the shingles that more than one prefix holds, and how many rows that are.
 
+    key: a number for each of these shingles, an int where there are few enough, as sets bring many to their blocks.
     wide: of how many shingles of its prefix a set has more than small_bucket holders beside it.
     """
     entries = firsts.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "key"))
-    repeated = cut(entries.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
-    kinds, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    counted = entries.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    repeated = cut(counted.withColumn("_number", F.monotonically_increasing_id()))  # a task's number, then 33 bits of a row's
+    task, row = F.shiftright("_number", 33), F.col("_number").bitwiseAND((1 << 33) - 1)
+    kinds, total, tasks, rows = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max(task), F.lit(0)) + 1, F.coalesce(F.max(row), F.lit(0)) + 1).first()
+    number = (row * tasks + task).cast("int" if rows * tasks < 1 << 31 else "long")
     bits = exact_dedup.filter_bits(4 * kinds)
     words = cut(repeated.groupBy(exact_dedup.word_of(F.col("key"), bits).alias("word")).agg(F.bit_or(exact_dedup.bits_of(F.col("key"))).alias("mask")))
     likely = exact_dedup.in_filter(entries, "key", *exact_dedup.folded(words, bits, FILTER_WORDS)).where("_maybe").drop("_maybe")
-    met = meet(likely, repeated.withColumn("size", F.col("_size")), "key", total).where("size is not null")
+    met = meet(likely, repeated.select("key", "_size", F.col("_size").alias("size"), number.alias("_key")), "key", total).where("size is not null")
+    met = met.withColumn("key", F.col("_key")).drop("_key")
     own = Window.partitionBy("rep")  # no more than the prefix of a set
     known = met.withColumns({"_held": F.count(F.lit(1)).over(own), "wide": F.count_if(F.col("size") > small_bucket).over(own)})
     return cut(known.where(F.col("_held") > F.floor(F.col("n") / (SHARED * 5 / 4))).drop("_held")), total
@@ -230,8 +240,10 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(links, pairs to be compared by texts) of the rows (side, rep, group, n, held, prefix) of a block of holders of the shingle key.
 
-    Side 0 meets side 1; rows of side 2 meet each other.  held is a whole set, or null if it is long; prefix is null if a set is so short that no long one is like it.  A pair
-    with a long set is given if no shingle before key, in the order of prefixes, is in both.
+    Side 0 meets side 1; rows of side 2 meet each other.  held is a whole set, or null if it is long; prefix has the
+    shingles of a set's prefix that others hold too, or is null if a set is so short that no long one is like it.  A pair
+    with a long set is given if no shingle before key, in the order of prefixes, is in both, and if what lies behind the
+    prefix that ends first could make up for the rest.
     """
 
     def both(field: int) -> tuple[list[list[tuple]], np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +268,8 @@ def _block_links(key: int, block: list[tuple], whole: int = WHOLE) -> tuple[list
     if apart.size and more.max() > whole:
         shared = _shared(*[[r[5] for r in side] for side in sides])
         before = _shared(*[[r[5][: int((r[5] == key).argmax())] for r in side] for side in sides])
-        likely = apart & (more > whole) & (shared >= 1 + less // SHARED) & (less * 9 >= (more + less) * 4) & (before == 0)
+        behind = np.maximum(more - _prefix_size(more), less - _prefix_size(less))
+        likely = apart & (more > whole) & (shared >= 1 + less // SHARED) & (np.minimum(less, shared + behind) * 9 >= (more + less) * 4) & (before == 0)
         pairs = [(sides[0][i][1], sides[1][j][1]) for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True)]
     return links, pairs
 
@@ -278,7 +291,7 @@ def _placed(mixed: DataFrame) -> DataFrame:
     return cells.select("key", "window", "part", "x", met).select("key", "window", F.least("part", "q").alias("one"), F.greatest("part", "q").alias("other"), side, "x")
 
 
-def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+def _in_blocks(named: DataFrame, rows: DataFrame, held: DataFrame, total: int) -> DataFrame:
     """(a, b, sure) between members of different components that share a large bucket; those of its largest one meet only the others.
 
     Of shingles with the same holders, such as those of one passage, the first in the order of prefixes stands for all.
@@ -294,8 +307,8 @@ def _in_blocks(named: DataFrame, rows: DataFrame, firsts: DataFrame, total: int)
     mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("in_main", F.expr("x.group = main")))
     reps = mixed.select("x.rep").distinct()
     sets = _sets(reps, rows)
-    prefixes = firsts.join(small(reps.select(F.col("rep").alias("_id"))), "_id", "left_semi").where(F.col("n") >= WHOLE * 4 // 5)
-    prefixes = prefixes.select(F.col("_id").alias("rep"), F.col("n").alias("_n"), "prefix")
+    long = held.where(F.col("n") >= WHOLE * 4 // 5).join(small(reps), "rep", "left_semi")
+    prefixes = long.groupBy("rep").agg(F.max("n").alias("_n"), F.array_sort(F.collect_list(F.struct("at", "key"))).getField("key").alias("prefix"))
     known = sets.join(prefixes, "rep", "left").select("rep", "held", "prefix", F.coalesce(F.size("held"), "_n").alias("n"))
     dealt = _placed(mixed).select("key", "window", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
 
@@ -354,7 +367,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     few = members(held.where(F.col("size") <= small_bucket)).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("k", "x")).select("x", F.explode(F.expr("slice(all, k + 2, size(all))")).alias("y"))
-    met = _in_blocks(members(shortest), rows, firsts, entries)
+    met = _in_blocks(members(shortest), rows, held, entries)
     more = _linked(_candidates(few).unionByName(met.where("not sure").select("a", "b")), rows).unionByName(met.where("sure").select("a", "b"))
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = known.select("_id").join(groups, F.col("_id") == F.col("node"), "left")
