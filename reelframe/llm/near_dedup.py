@@ -42,7 +42,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reelframe.llm import exact_dedup
 from reelframe.llm.common import batches_of, cut, meet, packed, release, small
@@ -166,10 +165,11 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _held(firsts: DataFrame, small_bucket: int = SMALL) -> tuple[DataFrame, int]:
-    """(rep, n, at, key, size, wide) of the shingles that more than one prefix holds, and how many rows that are.
+    """(rep, n, at, key, size, wide, prefix) of the shingles that more than one prefix holds, and how many rows that are.
 
     key: a number for each of these shingles, an int where there are few enough, as sets bring many to their blocks.
     wide: of how many shingles of its prefix a set has more than small_bucket holders beside it.
+    prefix: on the first row of a set that may be like a long one, all its keys in order; null on other rows.
     """
     entries = firsts.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "key"))
     counted = entries.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
@@ -182,9 +182,12 @@ def _held(firsts: DataFrame, small_bucket: int = SMALL) -> tuple[DataFrame, int]
     likely = exact_dedup.in_filter(entries, "key", *exact_dedup.folded(words, bits, FILTER_WORDS)).where("_maybe").drop("_maybe")
     met = meet(likely, repeated.select("key", "_size", F.col("_size").alias("size"), number.alias("_key")), "key", total).where("size is not null")
     met = met.withColumn("key", F.col("_key")).drop("_key")
-    own = Window.partitionBy("rep")  # no more than the prefix of a set
-    known = met.withColumns({"_held": F.count(F.lit(1)).over(own), "wide": F.count_if(F.col("size") > small_bucket).over(own)})
-    return cut(known.where(F.col("_held") > F.floor(F.col("n") / (SHARED * 5 / 4))).drop("_held")), total
+    by_set = met.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("at", "key", "size"))).alias("all"))  # no more than its prefix
+    known = by_set.where(F.size("all") > F.floor(F.col("n") / (SHARED * 5 / 4)))
+    wide = F.size(F.filter("all", lambda x: x["size"] > small_bucket)).cast("long").alias("wide")
+    long = F.col("n") >= WHOLE * 4 // 5
+    each = F.transform("all", lambda x, k: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["size"].alias("size"), F.when((k == 0) & long, F.col("all.key")).alias("prefix")))
+    return cut(known.select("rep", "n", wide, F.inline(each)).select("rep", "n", "at", "key", "size", "wide", "prefix")), total
 
 
 def _sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
@@ -307,8 +310,7 @@ def _in_blocks(named: DataFrame, rows: DataFrame, held: DataFrame, total: int) -
     mixed = cut(meet(named, main, "key", total).where("main is not null").withColumn("in_main", F.expr("x.group = main")))
     reps = mixed.select("x.rep").distinct()
     sets = _sets(reps, rows)
-    long = held.where(F.col("n") >= WHOLE * 4 // 5).join(small(reps), "rep", "left_semi")
-    prefixes = long.groupBy("rep").agg(F.max("n").alias("_n"), F.array_sort(F.collect_list(F.struct("at", "key"))).getField("key").alias("prefix"))
+    prefixes = held.where("prefix is not null").select("rep", F.col("n").alias("_n"), "prefix").join(small(reps), "rep", "left_semi")
     known = sets.join(prefixes, "rep", "left").select("rep", "held", "prefix", F.coalesce(F.size("held"), "_n").alias("n"))
     dealt = _placed(mixed).select("key", "window", "one", "other", "side", "x.rep", "x.group").join(known, "rep")
 
