@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "reelframe", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key to all cores, for small rows that are made into large ones: a table of one row group is one task."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def package_zip(folder: str) -> str:
     """The library as one zip in a folder, for --py-files or ship()."""
     root = Path(__file__).resolve().parent
