@@ -644,7 +644,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS file_id, CASE p_partkey % 5 WHEN 1 THEN 'ma
 def container_rewrites_declined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same containers rewritten: why one is declined, or its new offsets."""
     made = rewrites.rewrite(_odd_containers(spark, sf_dir))
-    tables = containers.boxes(made, payloads=True).where(F.col("type").isin("stco", "co64"))
+    tables = containers.boxes(made, payloads=True, kinds=("stco", "co64"), columns=("file_id", "node_id", "type", "payload"))
     at = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", binary.read_offsets(F.col("payload"), F.col("type")).alias("o")))), lambda x: F.array_join(x["o"].cast("array<string>"), ",")), ",")
     return made.select("file_id", "error").join(tables.groupBy("file_id").agg(at.alias("offsets")), "file_id", "left").withColumn("offsets", F.coalesce("offsets", F.lit("")))
 

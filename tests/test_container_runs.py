@@ -4,10 +4,10 @@ import random
 import struct
 
 import pytest
-from test_rewrites import box, two_tracks
+from test_rewrites import box, placed, two_tracks
 
 from reelframe import registry
-from reelframe.sources import containers
+from reelframe.sources import containers, rewrites
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,5 +43,14 @@ def test_a_file_of_many_paddings_is_read_in_few_steps(spark):
     assert sorted(kept.collect()) == sorted(containers.boxes(files, payloads=True).where("type = 'stco'").collect()) and kept.count() == 2
 
 
+def test_rewriting_many_paddings_takes_few_steps(monkeypatch):
+    source, steps = two_tracks(box(b"free") * 5000), []
+    plain = containers.header
+    monkeypatch.setattr(containers, "header", lambda *a: steps.append(1) or plain(*a))
+    made, moved, _ = rewrites.rewritten(source)
+    assert placed(made) == placed(source) == [[b"AAAA"], [b"BBBB"]] and moved == 2 and made.count(box(b"free")) == 5000
+    assert len(steps) < 500
+
+
 def test_odd_containers_are_made_by_many_tasks(spark):
     assert registry._odd_containers(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
