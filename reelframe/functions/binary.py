@@ -10,7 +10,8 @@ def unsigned(data: Column, offset: Column | int, width: int) -> Column:
     """The unsigned integer of `width` bytes at a byte offset, as a long; null beyond the end."""
     at = offset if isinstance(offset, Column) else F.lit(offset)
     part = F.substring(data, (at + 1).cast("int"), F.lit(width))
-    return F.when(F.octet_length(part) == width, F.conv(F.hex(part), 16, 10).cast("decimal(20,0)").cast("long"))
+    value = F.conv(F.hex(part), 16, 10)
+    return F.when(F.octet_length(part) == width, (value if width < 8 else value.cast("decimal(20,0)")).cast("long"))
 
 
 def encoded(value: Column, width: int) -> Column:

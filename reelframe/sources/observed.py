@@ -97,6 +97,7 @@ def _tracks(nodes: DataFrame) -> DataFrame:
     format_ = F.min_by(F.when(F.col("rel").rlike("^mdia/minf/stbl/stsd/[^/]+$"), F.col("type")), F.when(F.col("rel").rlike("^mdia/minf/stbl/stsd/[^/]+$"), F.col("place"))).alias("format")
     counts = [F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("stsz", "stco", "co64")]
     place = F.max(F.when(F.col("rel") == "", F.col("place"))).alias("place")
+    inside = inside.where(F.col("rel").isin("", "mdia/minf/stbl/stsd", *TABLES) | F.col("rel").rlike("^mdia/minf/stbl/stsd/[^/]+$") | F.col("type").isin("stsz", "stco", "co64"))
     rows = inside.groupBy("file_id", "trak").agg(place, stsd, format_, *payloads, *counts)
     kind = F.when(F.octet_length("hdlr.payload") >= 12, F.substring("hdlr.payload", 9, 4).cast("string"))
     return rows.withColumn("handler", kind)
@@ -113,13 +114,16 @@ def _facts(lengths: DataFrame, top: DataFrame, nodes: DataFrame) -> DataFrame:
     media = F.struct((F.col("_mdat.start") + F.col("_mdat.header_size")).alias("start"), (F.col("_mdat.start") + F.col("_mdat.size")).alias("end"))
     whole = lengths.select("file_id", F.col("file_size").alias("_length")).join(boxes, "file_id", "left").withColumn("_media", media)
     tracks = kept(_tracks(nodes))
-    numbers = nodes.where("type = 'tkhd'").groupBy("file_id").agg(F.max(binary.track_number(F.col("payload"))).alias("_most"), F.bool_or(binary.track_number(F.col("payload")).isNull()).alias("_unnumbered"))
-    header = nodes.where("type = 'mvhd' AND depth = 1").groupBy("file_id").agg(F.min_by(F.struct("path", "payload"), "place").alias("mvhd"))
-    wide = nodes.groupBy("file_id").agg(F.count_if(F.col("type") == "co64").alias("_wide"), F.bool_or((F.col("type") == "stco") & ~binary.is_exact_table(F.col("payload"), 4)).alias("_inexact"))
+    kind = F.col("type")
+    heads = nodes.where(kind.isin("tkhd", "mvhd", "stco", "co64")).groupBy("file_id").agg(
+        F.max(F.when(kind == "tkhd", binary.track_number(F.col("payload")))).alias("_most"), F.bool_or(F.when(kind == "tkhd", binary.track_number(F.col("payload")).isNull())).alias("_unnumbered"),
+        F.min_by(F.when((kind == "mvhd") & (F.col("depth") == 1), F.struct("path", "payload")), F.when((kind == "mvhd") & (F.col("depth") == 1), F.col("place"))).alias("mvhd"),
+        F.count_if(kind == "co64").alias("_wide"), F.bool_or((kind == "stco") & ~binary.is_exact_table(F.col("payload"), 4)).alias("_inexact"),
+    )
     sounds = tracks.groupBy("file_id").agg(F.count_if(F.col("handler") == "vide").alias("_videos"), F.count_if(F.col("handler") == "soun").alias("_sounds"), F.max("place").alias("_last"))
     sound = tracks.where("handler = 'soun'").groupBy("file_id").agg(F.min_by(F.struct("trak", "format", "stsd", "n_stsz", "n_stco", *[t.rsplit("/", 1)[-1] for t in TABLES]), "place").alias("s"))
     rows = whole
-    for side in (numbers, header, wide, sounds, sound):
+    for side in (heads, sounds, sound):
         rows = rows.join(side, "file_id", "left")
     n, timescale = binary.unsigned(F.col("s.stsz.payload"), 8, 4), _timescale(F.col("s.mdhd.payload"))
     rows = rows.withColumn("_sizes", size_error(F.col("s.stsz.payload")))
@@ -182,7 +186,7 @@ def transform(files: DataFrame, tag: str | None = None, key: str = "file_id", co
     pad_samples times PATTERN.  tag: the text of an encoder tag, or None to leave tags as they are.
     """
     files = files.select(F.col(key).cast("string").alias("file_id"), F.col(content).alias("content"))
-    top = kept(containers.boxes(files).where("depth = 0"))
+    top = kept(containers.boxes(files, deepest=0))
     brand = F.expr("substring(content, CAST(start + 1 AS int), CAST(size AS int))")
     brands = files.join(top.where("type = 'ftyp'"), "file_id").groupBy("file_id").agg(F.min_by(brand, "start").alias("_brand"))
     return transform_index(files.select("file_id", F.octet_length("content").cast("long").alias("file_size")), top, brands, files, tag)
@@ -198,7 +202,8 @@ def transform_index(lengths: DataFrame, top: DataFrame, brands: DataFrame, index
     facts = kept(_facts(lengths, top, nodes))
     good = facts.where("error IS NULL")
     edited = kept(_edits(nodes, good, tag))
-    sizes = trees.measured(edited).where("path NOT LIKE '%/%'").select("file_id", F.col("size").alias("_index"))
+    own = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("before", "payload", "after")), F.lit(8).cast("long"))
+    sizes = edited.groupBy("file_id").agg(F.sum(own).alias("_index"))  # an index that fits a row has headers of eight bytes alone
     laid = good.join(sizes, "file_id").join(brands, "file_id")
     begins = F.octet_length("_brand") + F.col("_index") + F.col("_mdat.header_size")
     length = F.col("_mdat.size") - F.col("_mdat.header_size")

@@ -3,8 +3,8 @@
 A row is a box, named by its path within its file: its parent's path, its place among its siblings, its type and its
 bytes.  Those are the payload of a box without boxes; of one with boxes, what lies before the first and behind the last
 of them.  An edit takes rows and gives rows, so edits combine, and nothing holds an offset or a size that an edit would
-make wrong.  Sizes and bytes are built from the deepest boxes up, one grouping and one join a level.  All of these are by
-file, so rows that are dealt out by file once shuffle no more.
+make wrong.  Sizes are built from the deepest boxes up, one grouping and one join a level; bytes by a task that has a file's
+rows together.  All of these are by file, so rows that are dealt out by file once shuffle no more.
 
 Defined results: a file whose tree is malformed has one row with the reason in `error`, which edits leave alone, and no
 bytes; a null content has no row; boxes that repeat in a place keep the order of their paths; an empty table gives an
@@ -13,14 +13,15 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.functions import binary
 from reelframe.functions.decoders import AUDIO_HEAD, QT_EXTRA, VISUAL_HEAD
 from reelframe.sources.containers import MAX_TOP_LEVEL, Malformed, Rows, headers, tree
 from reelframe.storage import kept
@@ -123,8 +124,14 @@ def within(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def replaced(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """nodes with other payloads: changes has (file_id, path, payload), a row for a box at most."""
-    return nodes.join(changes.select("file_id", "path", F.col("payload").alias("_new")), ["file_id", "path"], "left").select(*[F.coalesce("_new", "payload").alias("payload") if c == "payload" else c for c in nodes.columns])
+    """nodes with other payloads: changes has (file_id, path, payload), a row for a box at most.
+
+    The few changes of a file meet its rows as a map, so that the join is by file as all others.
+    """
+    each = F.map_from_entries(F.collect_list(F.struct("path", "payload"))).alias("_new")
+    new = changes.where("path IS NOT NULL AND payload IS NOT NULL").groupBy("file_id").agg(each)
+    value = F.coalesce(F.try_element_at("_new", F.col("path")), F.col("payload"))
+    return nodes.join(new, "file_id", "left").select(*[value.alias("payload") if c == "payload" else c for c in nodes.columns])
 
 
 def added(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -144,8 +151,9 @@ def added(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def copied(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The boxes of roots (file_id, path, copy, place) and all within, as rows of their own: copy is the new path of the root, place its place."""
-    inside = _marked(nodes, roots).where("_root IS NOT NULL").join(roots.select("file_id", F.col("path").alias("_root"), "copy", F.col("place").alias("_place")), ["file_id", "_root"])
+    inside = nodes.join(roots.select("file_id", F.col("path").alias("_root"), "copy", F.col("place").alias("_place")), "file_id")
     is_root = F.col("path") == F.col("_root")
+    inside = inside.where(is_root | F.col("path").startswith(F.concat("_root", F.lit("/"))))
     moved = {
         "path": F.concat("copy", F.expr("substring(path, length(_root) + 1)")),
         "parent": F.when(is_root, F.col("parent")).otherwise(F.concat("copy", F.expr("substring(parent, length(_root) + 1)"))),
@@ -191,26 +199,50 @@ def size_of(body: Column) -> Column:
     return body + F.when(body + 8 > (1 << 32) - 1, 16).otherwise(8)
 
 
-def assembled(nodes: DataFrame) -> DataFrame:
-    """(file_id, content): the bytes of the top-level boxes of each file, one behind the other."""
-    nothing = F.unhex(F.lit(""))
+@lru_cache(4096)
+def _name(kind: str) -> bytes | None:
+    """binary.unescaped() of a type."""
+    parts = re.findall(r"(?s)\\x[0-9a-f]{2}|.", kind)
+    return b"".join(bytes.fromhex(x[2:]) if len(x) == 4 else x.encode("latin-1", "replace") for x in parts) if len(parts) == 4 else None
+
+
+def _together(rows: list[tuple]) -> bytes | None:
+    """The bytes of one file's boxes (path, parent, depth, place, type, before, payload, after), from the deepest up; None if none is at the top."""
+    inside: dict[tuple, list] = {}
+    for path, parent, depth, place, kind, before, payload, after in sorted(rows, key=lambda r: -r[2]):
+        held = b"".join(made for *_, made in sorted(inside.get((depth + 1, path), ())))
+        body, name = b"".join((before or b"", payload or b"", held, after or b"")), _name(kind)
+        if name is not None:
+            inside.setdefault((depth, parent if depth else None), []).append((place, path, struct.pack(">I", len(body) + 8) + name + body))
+    top = inside.get((0, None))
+    return None if top is None else b"".join(made for *_, made in sorted(top))
 
-    def joined(a: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(a, lambda x: F.hex(x["made"])), ""))
 
-    def boxed(_: Column) -> Column:
-        body = F.concat(*[F.coalesce(c, nothing) for c in ("before", "payload", "_inside", "after")])
-        return F.concat(binary.encoded(F.octet_length(body).cast("long") + 8, 4), binary.unescaped(F.col("type")), body)
+def assembled(nodes: DataFrame) -> DataFrame:
+    """(file_id, content): the bytes of the top-level boxes of each file, one behind the other; one shuffle brings a file's rows together."""
+    schema = "file_id string, content binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, file, rows = Rows(schema), None, []
+        for batch in batches:
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != file and rows:
+                    if (content := _together(rows)) is not None:
+                        yield from out.add([(file, content)], len(content))
+                    rows = []
+                file = name
+                rows.append(tuple(row))
+        if rows and (content := _together(rows)) is not None:
+            yield from out.add([(file, content)], len(content))
+        yield from out.rest()
 
-    levels = _levels(nodes, F.lit(None), joined, boxed, nothing)
-    if not levels:
-        return nodes.sparkSession.createDataFrame([], "file_id string, content binary")
-    return levels[-1].groupBy("file_id").agg(joined(F.array_sort(F.collect_list(F.struct("place", "path", "made")))).alias("content"))
+    rows = nodes.where("error IS NULL").select("file_id", "path", "parent", "depth", "place", "type", "before", "payload", "after")
+    return rows.repartition("file_id").sortWithinPartitions("file_id").mapInArrow(run, schema)
 
 
 def without_edit_lists(nodes: DataFrame) -> DataFrame:
-    """nodes without the edit lists of tracks."""
-    return without(nodes, edit_lists(nodes))
+    """nodes without the edit lists of tracks; a path says by itself whether it leads through one."""
+    return nodes.where(~F.col("path").rlike(r"(^|/)trak(\[[^\]]*\])*/edts\[[^\]]*\](/|$)"))
 
 
 def edit_lists(nodes: DataFrame) -> DataFrame:
