@@ -15,6 +15,7 @@ from reelframe.plans import steps
 from reelframe.registry import _FACTS_SQL, _event_gaps, _facts, _fixed_sql, _hist_sql, _made_containers, query
 from reelframe.session import spread, table
 from reelframe.sources import containers, observed, rewrites, trees
+from reelframe.storage import kept
 
 
 def _text(value: Column | str) -> Column:
@@ -300,13 +301,14 @@ SELECT file_id, CAST(10 AS DOUBLE) AS ratio, 72 * s AS trailing_bytes, 9 * s AS
 def observed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rewrite leaves: ten times the samples in a second sound track, a pattern behind all boxes, and a bitrate that was set."""
     files = _sounding(spark, sf_dir)
-    made = observed.whole(observed.transform(files), files)
-    boxes = containers.boxes(made, payloads=True)
-    ratio = compare.cloned_sound(analysis.tracks(containers.boxes(files, payloads=True)), analysis.tracks(boxes))
-    last = boxes.where("depth = 0").groupBy("file_id").agg(F.max("end").alias("_end"))
+    made = kept(observed.whole(observed.transform(files), files))
+    before, after = (analysis.tracks(containers.boxes(f, payloads=True, kinds=analysis.TRACK_TYPES, columns=analysis.TRACK_COLUMNS), timed=False) for f in (files, made))
+    ratio = compare.cloned_sound(before, after)
+    last = containers.boxes(made, deepest=0, columns=("file_id", "end")).groupBy("file_id").agg(F.max("end").alias("_end"))
     tail = F.expr("substring(content, CAST(_end + 1 AS int), octet_length(content))")
     ends = made.join(last, "file_id").select("file_id", F.octet_length(tail).cast("long").alias("trailing_bytes"), compare.repeated_pattern(tail).alias("times"))
-    clocks = boxes.where("path LIKE 'moov[1]/trak[3]/%/mdhd[0]'").select("file_id", binary.media_duration(F.col("payload")).alias("ticks"))
+    heads = containers.boxes(made, payloads=True, kinds=("mdhd",), columns=("file_id", "path", "payload"))
+    clocks = heads.where("path LIKE 'moov[1]/trak[3]/%/mdhd[0]'").select("file_id", binary.media_duration(F.col("payload")).alias("ticks"))
     rates = trees.parts(made, entries=True).where("type = 'esds' AND path LIKE 'moov[1]/trak[3]/%'").select("file_id", descriptors.maximum_bitrate(F.col("payload")).alias("bitrate"))
     return ratio.join(ends, "file_id").join(clocks, "file_id").join(rates, "file_id")
 

@@ -21,6 +21,9 @@ CODECS = {
 }
 _TRACK_BOXES = {"tkhd": "tkhd", "mdhd": "mdia/mdhd", "hdlr": "mdia/hdlr", "elst": "edts/elst"} | {k: f"mdia/minf/stbl/{k}" for k in ("stsd", "stts", "stsz", "stz2", "stco", "co64")}
 
+#: All that track_boxes() and tracks() read, as containers.boxes takes it.
+TRACK_TYPES, TRACK_COLUMNS = ("trak", *_TRACK_BOXES), ("file_id", "node_id", "path", "payload")
+
 
 def codec_label(form: Column) -> Column:
     """The name of a sample entry's format, or the format itself."""
@@ -51,8 +54,8 @@ def track_boxes(boxes: DataFrame) -> DataFrame:
     return wanted.groupBy("file_id", "trak").agg(F.min("node_id").alias("ord"), *firsts).withColumn("moov", F.regexp_extract("trak", r"^moov\[(\d+)\]", 1).cast("int"))
 
 
-def tracks(boxes: DataFrame) -> DataFrame:
-    """One row a track: header, sample entry, sizes, colour, edit list, and timing of videos."""
+def tracks(boxes: DataFrame, timed: bool = True) -> DataFrame:
+    """One row a track: header, sample entry, sizes, colour, edit list, and timing of videos, which is left out unless timed."""
     rows = track_boxes(boxes)
     name = decoders.handler(F.col("hdlr"))
     rows = rows.where("mdhd IS NOT NULL AND hdlr IS NOT NULL").withColumn("kind", decoders.kind(name)).withColumn("handler", name)
@@ -77,6 +80,8 @@ def tracks(boxes: DataFrame) -> DataFrame:
         "edit", F.col("e.entries").alias("sample_entries"), F.when(F.col("stco").isNotNull(), "stco").when(F.col("co64").isNotNull(), "co64").otherwise("none").alias("offsets_kind"),
         F.coalesce(binary.unsigned(F.coalesce("stco", "co64"), 4, 4), F.lit(0)).alias("chunks"), F.when((F.col("kind") == "video") & (F.col("m.timescale") > 0), binary.read_stts(F.col("stts"))).alias("_runs"),
     )
+    if not timed:
+        return out.drop("_runs")
     runs = out.select(F.struct("file_id", "ord").alias("key"), F.posexplode("_runs").alias("nth", "run")).select("key", F.col("nth").alias("ord"), F.col("run.delta").alias("delta"), F.col("run.count").alias("n"))
     timed = timing.summarize(timing.histogram(runs)).select(F.col("key.file_id").alias("file_id"), F.col("key.ord").alias("ord"), "mode", "reference", F.col("n").alias("_n"), "low", "high", "steady")
     regular = [(F.col("steady") / F.col("_n")).alias("steady_share"), F.when(F.col("reference") > 0, (F.col("high") - F.col("low")) / F.col("reference") * 100).alias("jitter")]
